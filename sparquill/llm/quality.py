@@ -25,34 +25,24 @@ from pyspark.sql import functions as F
 from sparquill.llm.columns import documents
 
 # The characters of a word, and the symbols that are counted.
-SPACES = " \t\n\x0b\f\r"
-SYMBOLS = "#*$%&|<>"
+SPACE_RUN = r"[ \t-\r]+"
+HAS_WORD = r"[^ \t-\r]"
+SYMBOL = r"[#*$%&|<>]"
 
 BUCKETS = 16_384
 MAX_TRUSTED = 20_000
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
-THRESHOLD = -0.25
-
-
-def words_of(text: Column) -> Column:
-    """The words of a text: maximal runs without ASCII white space."""
-    return F.filter(F.split(F.translate(text, SPACES, " " * len(SPACES)), " "), lambda w: w != "")
+THRESHOLD = -0.075
 
 
 def with_words(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("words", words_of(F.col("text"))).withColumn("n_words", F.size("words").cast("long"))
+    """Adds ``words`` (maximal runs without ASCII white space) and ``n_words``."""
+    return docs.withColumn("words", F.array_remove(F.split("text", SPACE_RUN), "")).withColumn("n_words", F.size("words").cast("long"))
 
 
-def ngram_buckets(words: Column, buckets: int) -> Column:
-    """Buckets of all unigrams, then of all bigrams."""
-    unigrams = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)))
-    bigrams = F.zip_with(
-        F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))),
-        F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))),
-        lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(buckets)),
-    )
-    return F.concat(unigrams, bigrams)
+def bucket(hashed: Column, buckets: int) -> Column:
+    return F.pmod(hashed, F.lit(buckets)).cast("int")
 
 
 def trusted_ids(labels: DataFrame, max_trusted: int = MAX_TRUSTED) -> DataFrame:
@@ -65,7 +55,9 @@ def bucket_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, ma
     """Log ratio of each bucket. One row a bucket reaches the driver; their number is a parameter."""
     chosen = F.broadcast(trusted_ids(labels, max_trusted).select(F.col("doc_id").alias("trusted_id")))
     marked = documents(docs).join(chosen, F.col("doc_id") == F.col("trusted_id"), "left")
-    grams = with_words(marked).select(F.explode(ngram_buckets(F.col("words"), buckets)).alias("bucket"), F.col("trusted_id").isNotNull().cast("long").alias("t"))
+    pairs = with_words(marked).select(F.explode(F.arrays_zip("words", F.expr("slice(words, 2, n_words)").alias("next"))).alias("p"), F.col("trusted_id").isNotNull().cast("long").alias("t"))
+    first, second = F.xxhash64("p.words"), F.xxhash64("p.next")
+    grams = pairs.select(F.explode(F.array(bucket(first, buckets), F.when(F.col("p.next").isNotNull(), bucket(F.xxhash64(first, second), buckets)))).alias("bucket"), "t").filter("bucket IS NOT NULL")
     raw, target = [0] * buckets, [0] * buckets
     for row in grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target")).collect():
         raw[row.bucket], target[row.bucket] = row.raw, row.target
@@ -81,30 +73,33 @@ def scored(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD) -
     """Features, length-normalised ratio and verdict of every document."""
     buckets = len(ratios)
     table = F.split(F.lit(",".join(repr(r) for r in ratios)), ",").cast("array<double>")  # folded to one literal
-    base = with_words(documents(docs))
-    windows = F.transform(
-        F.sequence(F.lit(0), F.col("n_words").cast("int") - 3),
-        lambda i: F.struct(F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)).alias("h"), i.alias("i")),
-    )
-    # Each of the next columns is used several times below, so it is computed once and not inlined.
-    base = base.withColumn("sorted", F.when(F.col("n_words") >= 3, F.array_sort(windows)))
+    # Each column is used more than once further on, so the optimizer computes it once and does not inline it.
+    base = with_words(documents(docs)).withColumn("h1", F.transform("words", lambda w: F.xxhash64(w)))
+    window = F.transform("h1", lambda h, i: F.xxhash64(h, F.get("h1", i + 1), F.get("h1", i + 2)))
+    base = base.withColumn("h3", F.slice(window, 1, F.greatest(F.size("h1") - 2, F.lit(0))))
+    # Most texts repeat no window; only the others sort their windows.
+    placed = F.sort_array(F.zip_with("h3", F.sequence(F.lit(1), F.size("h3")), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    base = base.withColumn("sorted", F.when(F.size(F.array_distinct("h3")) < F.size("h3"), placed))
     repeated = F.filter("sorted", lambda x, k: (x["h"] == F.get("sorted", k - 1)["h"]) | (x["h"] == F.get("sorted", k + 1)["h"]))
-    base = base.withColumn("starts", F.array_sort(F.transform(repeated, lambda x: x["i"])))
+    base = base.withColumn("starts", F.sort_array(F.transform(repeated, lambda x: x["i"])))
     covered = F.aggregate(
         F.zip_with("starts", F.slice("starts", 2, F.size("starts")), lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3))),
         F.lit(0).cast("long"),
         lambda s, x: s + x,
     )
-    lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(HAS_WORD))
     base = base.withColumn("lines", lines)
-    grams = ngram_buckets(F.col("words"), buckets)
-    total = F.aggregate(grams, F.lit(0.0), lambda s, b: s + F.get(table, b.cast("int")))
+    gain = F.transform(
+        "h1",
+        lambda h, i: F.get(table, bucket(h, buckets)) + F.when(i + 1 < F.size("h1"), F.get(table, bucket(F.xxhash64(h, F.get("h1", i + 1)), buckets))).otherwise(0.0),
+    )
+    total = F.aggregate(gain, F.lit(0.0), lambda s, x: s + x)
     length = F.col("n_words") * 2 - 1
     featured = base.select(
         "doc_id",
         "n_words",
-        F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        (F.length("text") - F.length(F.regexp_replace("text", SYMBOL, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"),
         F.when(F.col("n_words") > 0, total / length).otherwise(F.lit(0.0)).alias("ratio"),
