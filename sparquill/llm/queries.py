@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparquill.llm import bpe, chat, quality, token_counts
+from sparquill.llm import bpe, chat, near_dedup, quality, token_counts
 
 
 def vocabulary(name: str) -> str:
@@ -21,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four-word shingles at 80 percent."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=80)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     out = bpe.encoded(table(spark, sf_dir, "documents"), path or vocabulary("word_bpe_49k.json"))
@@ -43,6 +48,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_near_dedup": op3_near_dedup,
         "op7_bpe": op7_bpe,
         "op8_quality_rules": op8_quality_rules,
         "op9_token_counts": op9_token_counts,
@@ -51,4 +57,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat_format": chat.SQL}
+    return {"op3_near_dedup": near_dedup.oracle(4, 80), "op10_chat_format": chat.SQL}
