@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from sparquill.llm.columns import documents
 
 LONG_WORD = 256
-CACHE_WORDS = 250_000
+CACHE_CHUNKS, CACHE_WORDS = 400_000, 250_000
 NO_RANK = 1 << 60
 
 
@@ -62,11 +62,13 @@ class WordBPE:
         self.words = regex.compile(model["pattern"])
         self.alphabet = byte_alphabet()
         self.cut = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
+        self.letters = str.maketrans({chr(b): c for b, c in enumerate(self.alphabet)})
         self.cache: dict[bytes, tuple[str, str]] = {}
+        self.pieces: dict[str, tuple[str, str]] = {}  # the same for single pre-tokens
 
     def parts(self, word: str) -> list[str]:
         """The merged parts of one pre-token."""
-        chars = [self.alphabet[b] for b in word.encode()]
+        chars = list(word.encode().decode("latin-1").translate(self.letters))
         chars[-1] += self.suffix
         return self._heap(chars) if len(chars) > LONG_WORD else self._scan(chars)
 
@@ -106,10 +108,19 @@ class WordBPE:
                     heapq.heappush(heap, (r, a, p))
         return [p for p in part if p is not None]
 
+    def _word(self, word: str) -> tuple[str, str]:
+        hit = self.pieces.get(word)
+        if hit is None:
+            if len(self.pieces) >= CACHE_WORDS:
+                self.pieces.clear()
+            parts = self.parts(word)
+            hit = self.pieces[word] = " ".join([str(self.vocab[p]) for p in parts]), " ".join(parts)
+        return hit
+
     def _chunk(self, chunk: bytes) -> tuple[str, str]:
         """Ids and tokens of a run without ASCII white space, each joined by spaces."""
-        parts = [p for w in self.words.findall(chunk.decode()) for p in self.parts(w)]
-        return " ".join(str(self.vocab[p]) for p in parts), " ".join(parts)
+        found = [self._word(w) for w in self.words.findall(chunk.decode())]
+        return found[0] if len(found) == 1 else (" ".join([i for i, _ in found]), " ".join([t for _, t in found]))
 
     def encode_joined(self, text: str) -> tuple[str, str]:
         """Decimal ids joined by one space, and the decoded text."""
@@ -126,7 +137,7 @@ class WordBPE:
             for chunk in plain.encode().split():
                 hit = cache.get(chunk)
                 if hit is None:
-                    if len(cache) >= CACHE_WORDS:
+                    if len(cache) >= CACHE_CHUNKS:
                         cache.clear()
                     hit = cache[chunk] = self._chunk(chunk)
                 if hit[0]:
