@@ -16,5 +16,5 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *mo
 
 
 def fold(id_column, modulus: int):
-    """crc32 of the id as text, modulo ``modulus``: the fold of a document (null for a null id)."""
-    return F.crc32(id_column.cast("string").cast("binary")) % modulus
+    """crc32 of the id as text, modulo ``modulus``: the fold of a document (-1 for a null id)."""
+    return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % modulus, F.lit(-1))

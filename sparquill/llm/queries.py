@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparquill.llm import bpe, chat, near_dedup, quality, token_counts
+from sparquill.llm import bpe, chat, language_id, near_dedup, quality, token_counts, toxicity
+from sparquill.llm.columns import fold
 
 
 def vocabulary(name: str) -> str:
@@ -21,11 +22,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fold 2 of 4 is held out of training; language, source and id are no inputs of a prediction."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    remainder = fold(F.col("doc_id"), 4)
+    model = language_id.fit(docs, remainder != 2)
+    return language_id.identify(docs.withColumn("held_out", remainder == 2), model, "held_out")
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four-word shingles at 80 percent."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=80)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain goes from low quality to toxic, the two categories that the labels have."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    chain = toxicity.fit(docs, labels, {"low_quality": "quality = 0", "toxic": "toxic = 1"})
+    return toxicity.toxicity(docs, chain)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     out = bpe.encoded(table(spark, sf_dir, "documents"), path or vocabulary("word_bpe_49k.json"))
@@ -48,7 +64,9 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
         "op3_near_dedup": op3_near_dedup,
+        "op5_toxicity": op5_toxicity,
         "op7_bpe": op7_bpe,
         "op8_quality_rules": op8_quality_rules,
         "op9_token_counts": op9_token_counts,
