@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparquill.llm import bpe, chat, language_id, near_dedup, quality, token_counts, toxicity
+from sparquill.llm import bpe, chat, decontaminate, language_id, near_dedup, quality, token_counts, toxicity
 from sparquill.llm.columns import fold
 
 
@@ -42,6 +42,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, chain)
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     out = bpe.encoded(table(spark, sf_dir, "documents"), path or vocabulary("word_bpe_49k.json"))
@@ -67,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": op1_language_id,
         "op3_near_dedup": op3_near_dedup,
         "op5_toxicity": op5_toxicity,
+        "op6_decontaminate": op6_decontaminate,
         "op7_bpe": op7_bpe,
         "op8_quality_rules": op8_quality_rules,
         "op9_token_counts": op9_token_counts,
@@ -75,4 +80,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_near_dedup": near_dedup.oracle(4, 80), "op10_chat_format": chat.SQL}
+    return {"op3_near_dedup": near_dedup.oracle(4, 80), "op6_decontaminate": decontaminate.oracle(), "op10_chat_format": chat.SQL}
