@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparquill.llm import bpe, chat, decontaminate, language_id, near_dedup, quality, token_counts, toxicity
+from sparquill.llm import bpe, chat, decontaminate, language_id, line_dedup, near_dedup, quality, token_counts, toxicity
 from sparquill.llm.columns import fold
 
 
@@ -35,6 +35,11 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=80)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return out.withColumn("dropped", F.array_join("dropped", ","))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chain goes from low quality to toxic, the two categories that the labels have."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -70,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op3_near_dedup": op3_near_dedup,
+        "op4_line_dedup": op4_line_dedup,
         "op5_toxicity": op5_toxicity,
         "op6_decontaminate": op6_decontaminate,
         "op7_bpe": op7_bpe,
