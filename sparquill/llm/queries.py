@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparquill.llm import bpe, chat, decontaminate, language_id, line_dedup, near_dedup, quality, token_counts, toxicity
-from sparquill.llm.columns import fold
+from sparquill.llm import bpe, chat, decontaminate, language_id, line_dedup, lm_score, near_dedup, quality, token_counts, toxicity
+from sparquill.llm.columns import documents, fold
 
 
 def vocabulary(name: str) -> str:
@@ -30,6 +30,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.withColumn("held_out", remainder == 2), model, "held_out")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fold 2 of 7 is held out of training."""
+    return lm_score.scores(documents(table(spark, sf_dir, "documents")), fold(F.col("doc_id"), 7) != 2)
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four-word shingles at 80 percent."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=80)
@@ -74,6 +79,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op2_lm_score": op2_lm_score,
         "op3_near_dedup": op3_near_dedup,
         "op4_line_dedup": op4_line_dedup,
         "op5_toxicity": op5_toxicity,
