@@ -6,17 +6,16 @@ in two sets with their Jaccard similarity as probability), and as they come from
 one permutation the estimate varies less than from two permutations.
 
 1. Documents of equal shingle set are one class from the start; its least ``doc_id`` stands for it.
-2. Signatures are cut into bands. Of a bucket (equal band values) no pairs are made: each member
-   is linked with the bucket's least member, and these links are confirmed on full shingle sets.
-   The confirmed links give components.
+2. Signatures are cut into bands. Of a bucket (equal band values) not all pairs are made: each
+   member is linked with the bucket's least and greatest member, and these links are confirmed on
+   full shingle sets. The confirmed links give components.
 3. Buckets that still hold several components are gone through exactly: members are dealt into
-   blocks, every two blocks of a bucket meet in one task, and pairs of different components whose
-   signatures agree in at least ``min_agree`` values are confirmed on full sets as well. Pairs
-   inside a component need no look, so large groups of copies drop out, and no pair is capped.
+   blocks with their shingle sets, every two blocks of a bucket meet in one task, and links between
+   different components are sought on the full sets there. Buckets of one component drop out, as
+   most large groups of copies do; no pair leaves a task unless it links, and no pair is capped.
 
 With 65 permutations (130 values in 26 bands of 5), two documents at similarity 0.8 miss all
-buckets with probability 3e-5, and fall under ``min_agree`` (4.5 deviations below the mean) with
-4e-6; higher similarities still less.
+buckets with probability 3e-5; at higher similarities still less.
 
 Defined results: a null or blank text has no shingles, is linked with nothing and kept; texts with
 fewer words than a shingle count as one shingle; of rows that share a ``doc_id`` each is treated
@@ -26,7 +25,6 @@ extra columns are ignored.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +37,7 @@ from sparquill.llm.columns import documents
 from sparquill.llm.components import components
 from sparquill.llm.storage import written
 
-PERMUTATIONS, BAND, BLOCK = 65, 5, 512
+PERMUTATIONS, BAND, BLOCK = 65, 5, 256
 CHUNK = 4096  # shingles permuted at a time, so that long texts need no more memory
 SEED = 20_240_607
 
@@ -70,7 +68,7 @@ def band_keys(sig: np.ndarray, band: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame, n: int, permutations: int, band: int) -> DataFrame:
-    """``doc_id``, ``n_shingles``, set fingerprint ``f1, f2``, bucket keys and signature bytes of each text (null without shingles)."""
+    """``doc_id``, ``n_shingles``, set fingerprint ``f1, f2``, and bucket keys of each text (null without shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _permutations(permutations)
@@ -78,26 +76,24 @@ def signed(docs: DataFrame, n: int, permutations: int, band: int) -> DataFrame:
             ids = batch.column(0)
             for at in range(0, len(ids), 512):
                 texts = [hashing.lowered(t) for t in batch.column(1)[at : at + 512].to_pylist()]
-                sizes, f1, f2, keys, sigs = [], [], [], [], []
+                sizes, f1, f2, keys = [], [], [], []
                 for _, some in hashing.slices(texts):
                     words, offsets = hashing.word_hashes(some)
                     for i in range(len(some)):
                         s = np.unique(hashing.shingle_hashes(words[offsets[i] : offsets[i + 1]], n))
                         sizes.append(len(s))
                         if not len(s):
-                            f1.append(None), f2.append(None), keys.append(None), sigs.append(None)
+                            f1.append(None), f2.append(None), keys.append(None)
                             continue
-                        sig = signature(s, a, b)
                         f1.append(int(np.bitwise_xor.reduce(s).view(np.int64)))
                         f2.append(int(hashing.mix(s + np.uint64(1)).sum(dtype=np.uint64).view(np.int64)))
-                        keys.append(band_keys(sig, band))
-                        sigs.append((sig & np.uint64(255)).astype(np.uint8).tobytes())
+                        keys.append(band_keys(signature(s, a, b), band))
                 yield pa.RecordBatch.from_arrays(
-                    [ids[at : at + 512], pa.array(sizes, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-                    names=["doc_id", "n_shingles", "f1", "f2", "keys", "sig"],
+                    [ids[at : at + 512], pa.array(sizes, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                    names=["doc_id", "n_shingles", "f1", "f2", "keys"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>, sig binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -127,28 +123,31 @@ def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
     return both.mapInArrow(run, "a long, b long")
 
 
-def block_pairs(members: DataFrame, min_agree: int, block: int = BLOCK) -> DataFrame:
-    """Pairs ``(a, b)`` of different ``component`` in one bucket (``key``) whose signatures agree in ``min_agree`` values or more.
+def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
+    """``doc_id`` and its sorted shingle hashes, as bytes."""
 
-    A bucket of m members is dealt into ceil(m / block) blocks; each two blocks meet under a key of their own.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                sets = [hashing.distinct_shingles(hashing.lowered(t), n).tobytes() for t in batch.column(1)[at : at + 256].to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 256], pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary")
+
+
+def block_links(members: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links ``(a, b)`` that join different ``component``s of one bucket (``key``), confirmed on the full sets in ``shingles``.
+
+    A bucket of m members is dealt into ceil(m / block) blocks; each two blocks meet under a key of
+    their own, so a task holds two blocks at a time. Within a meeting, shared shingles are counted
+    through an inverted list, and links that close a circle are left out.
     """
     counted = members.join(members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "key")
     dealt = counted.withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("meeting"), "doc_id", "component", "sig")
+    met = met.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("meeting"), "doc_id", "component", "shingles")
     sorted_rows = met.repartition("meeting").sortWithinPartitions("meeting", "doc_id")
 
-    def found(ids: np.ndarray, parts: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        left, right = [], []
-        for i in range(len(ids) - 1):
-            rest = slice(i + 1, None)
-            ok = (parts[rest] != parts[i]) & (ids[rest] != ids[i])
-            ok[ok] = (sigs[rest][ok] == sigs[i]).sum(axis=1) >= min_agree
-            hits = ids[rest][ok]
-            left.append(np.full(len(hits), ids[i]))
-            right.append(hits)
-        return np.concatenate(left), np.concatenate(right)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         for batch in _ended(batches):
@@ -165,15 +164,39 @@ def block_pairs(members: DataFrame, min_agree: int, block: int = BLOCK) -> DataF
             if ready.num_rows == 0:
                 continue
             meeting, ids, parts = (ready.column(k).to_numpy() for k in range(3))
-            sigs = np.frombuffer(b"".join(ready.column(3).to_pylist()), np.uint8).reshape(len(ids), -1)
             cuts = np.flatnonzero(np.diff(meeting)) + 1
             for s, e in zip([0, *cuts], [*cuts, len(ids)], strict=True):
-                if e - s > 1 and (parts[s:e] != parts[s]).any():
-                    a, b = found(ids[s:e], parts[s:e], sigs[s:e])
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    return sorted_rows.mapInArrow(run, "a long, b long").distinct()
+                if (parts[s:e] != parts[s]).any():
+                    links = linked(ids[s:e], parts[s:e], [np.frombuffer(x.as_py(), np.uint64) for x in ready.column(3)[s:e]], percent)
+                    if links:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
+
+    return sorted_rows.mapInArrow(run, "a long, b long")
+
+
+def linked(ids: np.ndarray, parts: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between members of different components, one for each two components that any link joins, directly or over others."""
+    sizes = np.array([len(s) for s in sets])
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(code, kind="stable")
+    owner_of, start = owner[order], np.searchsorted(code[order], np.arange(code.max() + 2))
+    _, group = np.unique(parts, return_inverse=True)
+    first = np.concatenate(([0], np.cumsum(sizes)))
+    out = []
+    for i in range(len(ids)):
+        if (group == group[i]).all():
+            break
+        own = code[first[i] : first[i + 1]]
+        runs, lengths = start[own], start[own + 1] - start[own]
+        at = np.repeat(runs - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
+        shared = np.bincount(owner_of[at], minlength=len(ids))
+        good = (100 * shared >= percent * (sizes + sizes[i] - shared)) & (group != group[i])
+        for j in np.flatnonzero(good):
+            if group[j] != group[i]:
+                out.append((int(ids[i]), int(ids[j])))
+                group[group == group[j]] = group[i]
+    return out
 
 
 def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -201,21 +224,19 @@ def near_duplicates(
     reps = usable.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "f1", "f2", "n_shingles"], "left_semi").dropDuplicates(["doc_id", "f1", "f2"])
     entries = reps.select("doc_id", F.explode("keys").alias("key"))
     buckets = entries.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
-    shared = written(entries.join(buckets, "key").select("key", "doc_id", "least"), "shared")
+    shared = written(entries.join(buckets, "key").select("key", "doc_id", "least", "most"), "shared")
     nodes = docs.filter("doc_id IS NOT NULL")
-    star = shared.filter("doc_id > least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
+    ends = F.array(F.struct(F.least("least", "doc_id").alias("a"), F.greatest("least", "doc_id").alias("b")), F.struct(F.least("most", "doc_id").alias("a"), F.greatest("most", "doc_id").alias("b")))
+    star = shared.select(F.explode(ends).alias("e")).select("e.*").filter("a < b").distinct()
     links = written(confirmed(star, nodes, n, percent), "links")
     first = components(links)
 
     # What the stars left apart: buckets that hold several components.
-    labelled = shared.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")).drop("least")
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("m")).filter("c1 < c2 AND m > 2")
-    apart = labelled.join(mixed.select("key"), "key").join(reps.select("doc_id", "sig"), "doc_id")
-    length = 2 * permutations // band * band
-    sure = int(percent / 100 * length - 4.5 * math.sqrt(length * 0.01 * percent * (1 - 0.01 * percent)))
-    rest = block_pairs(apart.select("key", "doc_id", "component", "sig"), sure)
-    rest = rest.join(star, ["a", "b"], "left_anti")
-    more = confirmed(rest, nodes, n, percent)
+    labelled = shared.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("m")).filter("c1 < c2 AND m > 3")
+    apart = written(labelled.join(mixed.select("key"), "key"), "apart")
+    sets = shingle_sets(nodes.join(apart.select("doc_id").distinct(), "doc_id", "left_semi"), n)
+    more = block_links(apart.join(sets, "doc_id"), percent)
     parts = components(links.unionAll(more))
 
     of_rep = classes.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("component"))
