@@ -32,6 +32,7 @@ PER_LANGUAGE = 400
 CLUSTERS = 4
 FLOOR_SHARE = 0.25
 MAX_LANGUAGES = 1000
+MERGERS = 8
 ROWS = 256
 UNDETERMINED = "und"
 
@@ -104,18 +105,29 @@ def fit(docs: DataFrame, training: Column, per_language: int = PER_LANGUAGE, clu
             used = np.flatnonzero(row)
             yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([key], pa.int64()), pa.array([used.astype(np.int32).tobytes()]), pa.array([row[used].tobytes()]), pa.array([n], pa.int64())], names=["lang", "key", "at", "n", "seen"])
 
+    schema = "lang string, key long, at binary, n binary, seen long"
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, seen = np.zeros(dimensions), 0
+        for batch in batches:
+            is_count = np.array([x is None for x in batch.column(0).to_pylist()], bool)
+            for r in batch.filter(pa.array(is_count)).to_pylist():
+                df[np.frombuffer(r["at"], np.int32)] += np.frombuffer(r["n"], np.float64)
+                seen += r["seen"]
+            yield batch.filter(pa.array(~is_count))
+        if seen:
+            used = np.flatnonzero(df)
+            yield pa.RecordBatch.from_pylist([{"lang": None, "key": -1, "at": used.astype(np.int32).tobytes(), "n": df[used].tobytes(), "seen": seen}], pa.schema([("lang", pa.string()), ("key", pa.int64()), ("at", pa.binary()), ("n", pa.binary()), ("seen", pa.int64())]))
+
     df, seen, sample = np.zeros(dimensions), 0, {}
-    scanned = usable.mapInArrow(scan, "lang string, key long, at binary, n binary, seen long")
-    for r in scanned.toLocalIterator():  # one partition's rows at a time
+    # The driver gets MERGERS rows of counts, and of each language about twice the bound of samples.
+    for r in usable.mapInArrow(scan, schema).repartition(MERGERS).mapInArrow(merged, schema).collect():
         at, values = np.frombuffer(r.at, np.int32), np.frombuffer(r.n, np.float64)
         if r.lang is None:
             df[at] += values
             seen += r.seen
         else:
-            some = sample.setdefault(r.lang, [])
-            some.append((r.key, at, values.astype(np.float32)))
-            if len(some) > 2 * per_language:
-                sample[r.lang] = sorted(some, key=lambda p: p[0])[:per_language]
+            sample.setdefault(r.lang, []).append((r.key, at, values.astype(np.float32)))
     idf = np.log((1 + seen) / (1 + df)).astype(np.float32) + np.float32(1)
     names, centres, floors = [], [], []
     for lang in sorted(sample):
