@@ -64,48 +64,54 @@ def cosine() -> Column:
     return F.when(F.col("doc_norm") > 0, inner / (F.col("doc_norm") * F.sqrt(F.col("w2").cast("double")))).otherwise(F.lit(0.0))
 
 
-def proximity(avg_dl: int) -> Column:
-    """Ordered-pair proximity, inside the row.
+def with_proximity(rows: DataFrame, avg_dl: int) -> DataFrame:
+    """``rows`` of ``matches`` with ``proximity``, found inside each row.
 
     A pair of query terms (a before b) counts if b is in the document and so are all query terms from
     the first to a. Of the positions in such pairs, in text order, neighbours that form a pair
     themselves add (idf_a + idf_b) / distance**2; the sum runs on from term to term of the query.
+    Every intermediate column is used at least twice, so it is computed once per row and not inlined
+    into the loops.
     """
     hits = F.col("hits")
-    prefix = F.size(F.filter(hits, lambda h, i: h["qpos"] == i))  # terms present from the first on
-    ends = F.transform(hits, lambda h: F.struct(h["qpos"].alias("q"), F.array_min(h["positions"]).alias("lo"), F.array_max(h["positions"]).alias("hi")))
+    every = rows.withColumn("prefix", F.size(F.filter(hits, lambda h, i: h["qpos"] == i)))  # terms present from the first on
     places = F.flatten(F.transform(hits, lambda h: F.transform(h["positions"], lambda p: F.struct(p.alias("p"), h["qpos"].alias("q")))))
+    ends = F.transform(hits, lambda h: F.struct(h["qpos"].alias("q"), F.array_min(h["positions"]).alias("lo"), F.array_max(h["positions"]).alias("hi")))
+    # A single term, or a document without the query's first term, has no pairs and needs no list.
+    every = every.withColumn("pairs", (F.size("hits") > 1) & (F.col("prefix") > 0))
+    every = every.withColumn("places", F.when(F.col("pairs"), places)).withColumn("ends", F.when(F.col("pairs"), ends))
 
     def paired(x: Column) -> Column:
-        before = (x["q"] < prefix) & F.exists(ends, lambda e: (e["q"] > x["q"]) & (e["hi"] > x["p"]))
-        after = F.exists(ends, lambda e: (e["q"] < x["q"]) & (e["q"] < prefix) & (e["lo"] < x["p"]))
+        before = (x["q"] < F.col("prefix")) & F.exists("ends", lambda e: (e["q"] > x["q"]) & (e["hi"] > x["p"]))
+        after = F.exists("ends", lambda e: (e["q"] < x["q"]) & (e["q"] < F.col("prefix")) & (e["lo"] < x["p"]))
         return before | after
 
-    line = F.sort_array(F.filter(places, paired))
+    every = every.withColumn("line", F.when(F.size("places") > 1, F.sort_array(F.filter("places", paired))))
     steps = F.zip_with(
-        F.slice(line, 1, F.greatest(F.size(line) - 1, F.lit(0))),
-        F.slice(line, 2, F.greatest(F.size(line) - 1, F.lit(0))),
+        F.slice("line", 1, F.greatest(F.size("line") - 1, F.lit(0))),
+        F.slice("line", 2, F.greatest(F.size("line") - 1, F.lit(0))),
         lambda a, b: F.struct(
             a["q"].alias("a"),
             b["q"].alias("b"),
             ((F.get("idfs", a["q"]) + F.get("idfs", b["q"])) / ((b["p"] - a["p"]).cast("double") * (b["p"] - a["p"]))).alias("gain"),
         ),
     )
-    kept = F.filter(steps, lambda s: (s["a"] < s["b"]) & (s["a"] < prefix))
+    every = every.withColumn("kept", F.filter(steps, lambda s: (s["a"] < s["b"]) & (s["a"] < F.col("prefix"))))
     k = F.lit(K1) * (F.lit(1 - B_PROXIMITY) + F.lit(B_PROXIMITY) * F.col("n_terms") / F.lit(float(avg_dl)))
 
     def of_term(idf: Column, i: Column) -> Column:
-        acc = _sum(kept, lambda s: s["gain"] * ((s["a"] <= i).cast("int") + (s["b"] <= i).cast("int")))
-        return F.least(F.lit(1.0), idf) * acc * (K1 + 1) / (acc + k)
+        acc = _sum(F.col("kept"), lambda s: s["gain"] * ((s["a"] <= i).cast("int") + (s["b"] <= i).cast("int")))
+        return F.least(F.lit(1.0), idf) * (F.lit(K1 + 1) - (K1 + 1) * k / (acc + k))  # acc*(k1+1)/(acc+k), with acc taken once
 
-    return F.when(F.size("idfs") > 1, _sum(F.transform("idfs", of_term), lambda x: x)).otherwise(F.lit(0.0))
+    value = F.when((F.size("kept") > 0) & (F.size("idfs") > 1), _sum(F.transform("idfs", of_term), lambda x: x)).otherwise(F.lit(0.0))
+    return every.withColumn("proximity", value).drop("prefix", "pairs", "places", "ends", "line", "kept")
 
 
 def scored(index: Index, query_terms: DataFrame, languages: list[str] | None = None) -> DataFrame:
     """``query_id, variant_id, doc_id, bm25, cosine, proximity, score`` of every candidate; score is rounded half-even to 3."""
     weight = COSINE_WEIGHT_STEMMED if index.stem else COSINE_WEIGHT
-    rows = matches(index, query_terms, languages)
-    parts = rows.select(*VARIANT, "doc_id", bm25(index.n_docs, index.avg_dl).alias("bm25"), cosine().alias("cosine"), proximity(index.avg_dl).alias("proximity"))
+    rows = with_proximity(matches(index, query_terms, languages), index.avg_dl)
+    parts = rows.select(*VARIANT, "doc_id", bm25(index.n_docs, index.avg_dl).alias("bm25"), cosine().alias("cosine"), "proximity")
     return parts.withColumn("score", F.bround(F.col("bm25") + F.col("cosine") * weight + F.col("proximity"), 3))
 
 

@@ -160,13 +160,13 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "batch_queries": batch_queries,
         "batch_chat_queries": batch_chat_queries,
         "trec_run": lambda s, d: exports.run_lines(ranking.best(literal_scores(s, d))),
-        "language_filter": lambda s, d: ranking.best(literal_scores(s, d, ["fr", "de"])),
+        "language_filter": lambda s, d: ranking.best(literal_scores(s, d, ["en", "es"])),
         "all_terms_filter": lambda s, d: ranking.with_all_terms(literal_scores(s, d), built(s, d), literal_query(s)).select("query_id", "doc_id", "score"),
         "language_facet": lambda s, d: corpus.languages(table(s, d, "documents")),
         "language_normalise": language_normalise,
         "important_words": important_words,
         "ngram_jaccard": ngram_jaccard,
-        "vocab_neighbours": lambda s, d: expansion.neighbours(literal_query(s), built(s, d).dictionary),
+        "vocab_neighbours": lambda s, d: expansion.neighbours(built(s, d).dictionary.filter("df >= 5"), built(s, d).dictionary),
         "expand_variants": neighbour_variants,
         "variant_merge": lambda s, d: ranking.best(ranking.scored(built(s, d), neighbour_variants(s, d))),
         "search_expanded": search_expanded,

@@ -88,7 +88,7 @@ def jaccard(a: str, b: str) -> str:
 
 NEIGHBOURS = f"""
 ranks AS (SELECT term, row_number() OVER (ORDER BY term) AS place FROM dict),
-near_terms AS (SELECT o.term, c.term AS candidate, CAST(c.place - o.place AS INT) AS step FROM qt JOIN ranks o USING (term) JOIN ranks c ON c.place - o.place BETWEEN -2 AND 2 AND c.place <> o.place
+near_terms AS (SELECT o.term, c.term AS candidate, step FROM qt JOIN ranks o USING (term) JOIN (VALUES (-2), (-1), (1), (2)) AS v(step) ON true JOIN ranks c ON c.place = o.place + step
   WHERE {jaccard("o.term", "c.term")} >= 0.71)
 """
 VARIANTS = """
@@ -131,13 +131,13 @@ def all_sql() -> dict[str, str]:
         "combined_top50": index_sql(BEST, LITERAL, SCORES),
         "batch_queries": index_sql(BEST, BATCH, SCORES),
         "trec_run": index_sql(f"SELECT query_id || ' 0 ' || doc_id || ' ' || score || ' 1 3' AS value FROM ({BEST})", LITERAL, SCORES),
-        "language_filter": index_sql(BEST.replace("FROM scores", "FROM scores JOIN docs USING (doc_id) WHERE lang IN ('fr', 'de')"), LITERAL, SCORES),
+        "language_filter": index_sql(BEST.replace("FROM scores", "FROM scores JOIN docs USING (doc_id) WHERE lang IN ('en', 'es')"), LITERAL, SCORES),
         "all_terms_filter": index_sql(f"SELECT query_id, doc_id, score FROM scores JOIN (SELECT doc_id FROM post WHERE term IN ({', '.join(repr(t) for t in fixtures.QUERY)}) GROUP BY doc_id HAVING count(*) = {len(fixtures.QUERY)}) USING (doc_id)", LITERAL, SCORES),
         "language_facet": "SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL",
         "language_normalise": f"SELECT raw, CASE {FIRST_WORD} {NORMALISE} ELSE {FIRST_WORD} END AS lang FROM {values([(x,) for x in fixtures.LANGUAGES], 'raw')}",
         "important_words": f"SELECT q.query_id, q.qpos, q.term FROM {values(fixtures.QUERY_TERMS, 'query_id, qpos, term')} q WHERE q.term NOT IN ({', '.join(repr(t) for t in fixtures.THESAURUS)})",
         "ngram_jaccard": index_sql(f"SELECT term, next_term, round_even({jaccard('term', 'next_term')}, 4) AS similarity FROM (SELECT term, lead(term) OVER (ORDER BY term) AS next_term FROM dict WHERE length(term) > 1) WHERE next_term IS NOT NULL AND {jaccard('term', 'next_term')} >= 0.71"),
-        "vocab_neighbours": index_sql("SELECT term, candidate, step FROM near_terms", LITERAL, NEIGHBOURS),
+        "vocab_neighbours": index_sql("SELECT term, candidate, step FROM near_terms", "qt AS (SELECT term FROM dict WHERE df >= 5)", NEIGHBOURS),
         "expand_variants": index_sql("SELECT query_id, variant_id, qpos, term, weight FROM full_qt", LITERAL, NEIGHBOURS, VARIANTS),
         "variant_merge": index_sql(BEST, LITERAL.replace("qt AS", "qt0 AS"), NEIGHBOURS.replace("FROM qt ", "FROM qt0 "), VARIANTS.replace("FROM qt ", "FROM qt0 ").replace("FROM qt)", "FROM qt0)").replace("JOIN qt q", "JOIN qt0 q").replace("full_qt AS", "qt AS"), SCORES),
         "title_lang_from_pages": f"SELECT page_id, {PAGE_TITLE} AS title, {PAGE_LANG} AS lang FROM pages",
