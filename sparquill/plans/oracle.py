@@ -87,9 +87,9 @@ def jaccard(a: str, b: str) -> str:
 
 
 NEIGHBOURS = f"""
-ranks AS (SELECT term, row_number() OVER (ORDER BY term) AS place FROM dict),
-near_terms AS (SELECT o.term, c.term AS candidate, step FROM qt JOIN ranks o USING (term) JOIN (VALUES (-2), (-1), (1), (2)) AS v(step) ON true JOIN ranks c ON c.place = o.place + step
-  WHERE {jaccard("o.term", "c.term")} >= 0.71)
+around AS (SELECT term, [lag(term, 2) OVER w, lag(term, 1) OVER w, lead(term, 1) OVER w, lead(term, 2) OVER w] AS c FROM dict WINDOW w AS (ORDER BY term)),
+near_pairs AS MATERIALIZED (SELECT term, unnest(c) AS candidate, unnest([-2, -1, 1, 2]) AS step FROM around WHERE term IN (SELECT term FROM qt)),
+near_terms AS (SELECT term, candidate, step FROM near_pairs WHERE candidate IS NOT NULL AND {jaccard("term", "candidate")} >= 0.71)
 """
 VARIANTS = """
 cand AS (SELECT DISTINCT term, candidate FROM near_terms UNION SELECT term, term FROM qt),
@@ -139,7 +139,7 @@ def all_sql() -> dict[str, str]:
         "ngram_jaccard": index_sql(f"SELECT term, next_term, round_even({jaccard('term', 'next_term')}, 4) AS similarity FROM (SELECT term, lead(term) OVER (ORDER BY term) AS next_term FROM dict WHERE length(term) > 1) WHERE next_term IS NOT NULL AND {jaccard('term', 'next_term')} >= 0.71"),
         "vocab_neighbours": index_sql("SELECT term, candidate, step FROM near_terms", "qt AS (SELECT term FROM dict WHERE df >= 5)", NEIGHBOURS),
         "expand_variants": index_sql("SELECT query_id, variant_id, qpos, term, weight FROM full_qt", LITERAL, NEIGHBOURS, VARIANTS),
-        "variant_merge": index_sql(BEST, LITERAL.replace("qt AS", "qt0 AS"), NEIGHBOURS.replace("FROM qt ", "FROM qt0 "), VARIANTS.replace("FROM qt ", "FROM qt0 ").replace("FROM qt)", "FROM qt0)").replace("JOIN qt q", "JOIN qt0 q").replace("full_qt AS", "qt AS"), SCORES),
+        "variant_merge": index_sql(BEST, LITERAL.replace("qt AS", "qt0 AS"), NEIGHBOURS.replace("FROM qt)", "FROM qt0)"), VARIANTS.replace("FROM qt ", "FROM qt0 ").replace("FROM qt)", "FROM qt0)").replace("JOIN qt q", "JOIN qt0 q").replace("full_qt AS", "qt AS"), SCORES),
         "title_lang_from_pages": f"SELECT page_id, {PAGE_TITLE} AS title, {PAGE_LANG} AS lang FROM pages",
         "sgml_parse": "SELECT 'D-' || doc_id AS doc_id, 'title ' || doc_id AS title, lang, array_to_string(list_transform(list_filter(string_split(replace(text, chr(13), ''), chr(10)), lambda x: x <> ''), lambda x: ' ' || lower(x)), '') AS text FROM documents",
         "tf_over_maxtf": index_sql(f"SELECT doc_id, round_even(tf / max_tf, 5) AS score FROM post JOIN docs USING (doc_id) WHERE term = '{fixtures.QUERY[0]}'"),
