@@ -68,7 +68,7 @@ def plain_number(x: str, d: Spark = SPARK) -> str:
 def amount(x: str, d: Spark = SPARK) -> str:
     """Numbers of a million and more in millions: 1500000 is '1.5 m'."""
     whole = f"CAST({x} AS DECIMAL(38,6))"
-    millions = f"CAST(({x}) / 1000000 AS DECIMAL(38,6))"
+    millions = f"CAST(CAST({x} AS DECIMAL(30,6)) * CAST('0.000001' AS DECIMAL(7,6)) AS DECIMAL(38,6))"
     return f"CASE WHEN {x} >= 1000000 THEN concat({plain_number(millions, d)}, ' m') ELSE {plain_number(whole, d)} END"
 
 
