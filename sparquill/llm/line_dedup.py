@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -39,8 +40,9 @@ EDITS = 2
 NEAR_MIN = 24
 ASCII_SPACE = " \t\n\x0b\f\r"
 # Frequent letters whose counts thin out the pairs.
-COUNTED = "etaonisr"
+COUNTED = "etaoinsrhldcumfp"
 LAST_ID = (1 << 63) - 1
+FILTER_BITS, MERGERS = 25, 4
 
 
 def signed(x: int) -> int:
@@ -52,8 +54,8 @@ def line_id(line: str) -> int:
 
 
 def letter_counts(line: str) -> int:
-    """Counts of the eight letters, modulo 256, a byte each."""
-    return signed(int.from_bytes(bytes([line.count(c) & 255 for c in COUNTED]), "little"))
+    """Counts of the letters, modulo 16, four bits each."""
+    return signed(sum((line.count(c) & 15) << 4 * k for k, c in enumerate(COUNTED)))
 
 
 def segments(length: int, edits: int) -> list[tuple[int, int]]:
@@ -70,8 +72,8 @@ def indexed(line: str, edits: int) -> Iterator[int]:
         yield signed(xxhash.xxh3_64_intdigest(line[at : at + size].encode(), len(line) * 64 + i))
 
 
-def probed(line: str, edits: int, least: int) -> Iterator[int]:
-    """Keys under which shorter or equal lines in reach may be indexed (multi-match-aware substring bounds)."""
+def probed(line: str, edits: int, least: int) -> Iterator[tuple[int, bool]]:
+    """Keys under which lines in reach may be indexed that are shorter or (True) as long (multi-match-aware substring bounds)."""
     n = len(line)
     for length in range(max(least, n - edits), n + 1):
         shift = n - length
@@ -79,7 +81,7 @@ def probed(line: str, edits: int, least: int) -> Iterator[int]:
             low = max(0, at - i, at + shift - (edits - i))
             high = min(n - size, at + i, at + shift + (edits - i))
             for start in range(low, high + 1):
-                yield signed(xxhash.xxh3_64_intdigest(line[start : start + size].encode(), length * 64 + i))
+                yield signed(xxhash.xxh3_64_intdigest(line[start : start + size].encode(), length * 64 + i)), not shift
 
 
 def within(a: str, b: str, edits: int) -> bool:
@@ -159,54 +161,83 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "row", "text").mapInArrow(run, "doc_id long, row long, line int, id long, chars long")
 
 
-def distinct_lines(docs: DataFrame, least: int) -> DataFrame:
-    """``id, line`` of each distinct line of ``least`` characters or more; repeats within a batch do not leave it."""
+def id_filter(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A bit for each low part that an id of ``ids(id)`` has. Its size is fixed, whatever the number of ids."""
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(1 << bits, bool)
+        for batch in batches:
+            own[batch.column(0).to_numpy() & ((1 << bits) - 1)] = True
+        if own.any():
+            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(own).tobytes()])], names=["bits"])
+
+    parts = ids.repartition(MERGERS).mapInArrow(marked, "bits binary").collect()  # MERGERS rows at most
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in parts:
+        out |= np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def distinct_lines(docs: DataFrame, least: int, only: np.ndarray | None = None) -> DataFrame:
+    """``id, line`` of each distinct line of ``least`` characters or more; repeats within a batch do not leave it.
+
+    ``only`` is an ``id_filter``: lines whose id it surely lacks are left out before the shuffle.
+    """
+    shared = None if only is None else docs.sparkSession.sparkContext.broadcast(only)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
-                found = {x for t in batch.column(0)[at : at + 1024].to_pylist() for x in _lines(t) if len(x) >= least}
-                yield pa.RecordBatch.from_arrays([pa.array([line_id(x) for x in found], pa.int64()), pa.array(list(found), pa.string())], names=["id", "line"])
+                found = list({x for t in batch.column(0)[at : at + 1024].to_pylist() for x in _lines(t) if len(x) >= least})
+                ids = np.array([line_id(x) for x in found], np.int64)
+                if shared is not None and len(ids):
+                    low = ids & (8 * len(shared.value) - 1)
+                    hit = np.flatnonzero(shared.value[low >> 3] >> (7 - (low & 7)).astype(np.uint8) & 1)
+                    ids, found = ids[hit], [found[i] for i in hit]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], names=["id", "line"])
 
     return docs.select("text").mapInArrow(run, "id long, line string").dropDuplicates(["id"])
 
 
 def entries(lines: DataFrame, edits: int, least: int, probes: bool) -> DataFrame:
-    """``key, id, letters`` for each index or probe entry of each line."""
+    """``key, id, letters, level`` for each index or probe entry of each line; ``level`` probes look for lines as long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
-                keys, ids, letters = [], [], []
+                keys, ids, letters, level = [], [], [], []
                 for i, x in zip(batch.column(0)[at : at + 4096].to_pylist(), batch.column(1)[at : at + 4096].to_pylist(), strict=True):
-                    own = [*probed(x, edits, least)] if probes else [*indexed(x, edits)]
-                    keys += own
+                    own = [*probed(x, edits, least)] if probes else [(key, False) for key in indexed(x, edits)]
+                    keys += [key for key, _ in own]
+                    level += [same for _, same in own]
                     ids += [i] * len(own)
                     letters += [letter_counts(x)] * len(own)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (keys, ids, letters)], names=["key", "id", "letters"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (keys, ids, letters)), pa.array(level, pa.bool_())], names=["key", "id", "letters", "level"])
 
-    return lines.mapInArrow(run, "key long, id long, letters long")
+    return lines.mapInArrow(run, "key long, id long, letters long, level boolean")
 
 
 def letter_distance(a: Column, b: Column) -> Column:
-    """Summed differences of the packed counts, each the shorter way round modulo 256."""
+    """Summed differences of the packed counts, each the shorter way round modulo 16."""
     total = F.lit(0)
     for k in range(len(COUNTED)):
-        d = F.abs(F.shiftright(a, 8 * k).bitwiseAND(255) - F.shiftright(b, 8 * k).bitwiseAND(255))
-        total = total + F.least(d, 256 - d)
+        d = F.abs(F.shiftright(a, 4 * k).bitwiseAND(15) - F.shiftright(b, 4 * k).bitwiseAND(15))
+        total = total + F.least(d, 16 - d)
     return total
 
 
 def linked_lines(docs: DataFrame, edits: int = EDITS, least: int = NEAR_MIN) -> DataFrame:
     """``a < b``: ids of different lines within ``edits``; exact and complete."""
     lines = distinct_lines(docs, least)
-    index = entries(lines, edits, least, probes=False).toDF("key", "id_a", "letters_a")
-    probe = entries(lines, edits, least, probes=True).toDF("key", "id_b", "letters_b")
-    near = (F.col("id_a") != F.col("id_b")) & (letter_distance(F.col("letters_a"), F.col("letters_b")) <= 2 * edits)
+    index = entries(lines, edits, least, probes=False).select("key", F.col("id").alias("id_a"), F.col("letters").alias("letters_a"))
+    probe = entries(lines, edits, least, probes=True).select("key", F.col("id").alias("id_b"), F.col("letters").alias("letters_b"), "level")
+    # Two lines of equal length find each other both ways; one way is enough.
+    apart = F.when(F.col("level"), F.col("id_a") < F.col("id_b")).otherwise(F.col("id_a") != F.col("id_b"))
+    near = apart & (letter_distance(F.col("letters_a"), F.col("letters_b")) <= 2 * edits)
     met = index.join(probe, (index["key"] == probe["key"]) & near)
     pairs = written(met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct(), "line-pairs")
     wanted = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
-    texts = written(distinct_lines(docs, least).join(wanted, "id", "left_semi"), "line-texts")
+    texts = written(distinct_lines(docs, least, id_filter(wanted)).join(wanted, "id", "left_semi"), "line-texts")
     both = pairs.join(texts.toDF("a", "line_a"), "a").join(texts.toDF("b", "line_b"), "b").select("a", "b", "line_a", "line_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
