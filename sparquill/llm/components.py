@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparquill.llm.storage import written
+from sparquill.storage import written
 
 
 def _picked(edges: DataFrame, seed: int) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from sparquill.llm.columns import documents
 from sparquill.llm.components import components
-from sparquill.llm.storage import written
+from sparquill.storage import written
 
 EDITS = 2
 NEAR_MIN = 24

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from sparquill.llm import hashing
 from sparquill.llm.columns import documents
 from sparquill.llm.components import components
-from sparquill.llm.storage import written
+from sparquill.storage import written
 
 PERMUTATIONS, BAND, BLOCK = 65, 5, 256
 CHUNK = 4096  # shingles permuted at a time, so that long texts need no more memory
