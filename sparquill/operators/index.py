@@ -126,7 +126,10 @@ class Index:
         spark = docs.sparkSession
         path = path or new_path(spark, "index")
         extra = [c for c in ("lang", "header") if c in docs.columns]
-        one = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), *extra)).alias("d")).select("doc_id", "d.*")
+        one = docs.filter("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *extra)
+        # Only ids are shuffled to see whether any repeats; texts are only where one does.
+        if not one.groupBy("doc_id").count().filter("count > 1").isEmpty():
+            one = one.groupBy("doc_id").agg(F.min(F.struct("text", *extra)).alias("d")).select("doc_id", "d.*")
         toks = tokens(terms(one, mode, stop_words))
         if stem:
             toks = stemmed(toks)

@@ -173,3 +173,11 @@ def test_registered_queries_have_results(spark):
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() == 50
+
+
+def test_repeated_and_null_ids(spark):
+    docs = spark.createDataFrame([(1, "bb"), (1, "aa aa"), (None, "cc"), (2, None)], "doc_id long, text string")
+    built = Index.build(docs)
+    assert {(r.term, r.doc_id, r.tf) for r in built.postings.collect()} == {("aa", 1, 2)} and built.n_docs == 2
+    nothing = Index.build(docs.filter("false"))
+    assert (nothing.n_docs, nothing.avg_dl) == (0, 0) and not score(spark, nothing, "aa")
