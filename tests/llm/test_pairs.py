@@ -23,9 +23,10 @@ def classes(links, nodes):
 def test_components(spark):
     r = random.Random(0)
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(30)] + [(7, 7), (None, 3)]
-    got = {x.node: x.component for x in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     real = [(a, b) for a, b in edges if a is not None and a != b]
-    assert got == classes(real, {x for e in real for x in e})
+    for local in (1000, 60, 0):  # in one task, by contraction and one task, by contraction alone
+        got = {x.node: x.component for x in components.components(spark.createDataFrame(edges, "a long, b long"), local).collect()}
+        assert got == classes(real, {x for e in real for x in e})
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
