@@ -58,13 +58,6 @@ def batch_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.best(ranking.scored(ix, expansion.plain(expansion.parsed(queries))))
 
 
-def batch_chat_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The users' first turns as queries."""
-    turns = table(spark, sf_dir, "conversations").filter("role = 'user' AND turn <= 1 AND conv_id < 50")
-    queries = turns.groupBy("conv_id").agg(F.min_by("text", "turn").alias("text")).select(F.col("conv_id").alias("query_id"), "text")
-    return ranking.best(ranking.scored(built(spark, sf_dir), expansion.plain(expansion.parsed(queries))))
-
-
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     ix = built(spark, sf_dir)
     return index.corpus_stats(ix.docs).crossJoin(ix.dictionary.agg(F.count(F.lit(1)).alias("n_terms")))
@@ -158,7 +151,6 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "proximity": lambda s, d: literal_scores(s, d).select("doc_id", F.bround("proximity", 4).alias("proximity")),
         "combined_top50": lambda s, d: ranking.best(literal_scores(s, d)),
         "batch_queries": batch_queries,
-        "batch_chat_queries": batch_chat_queries,
         "trec_run": lambda s, d: exports.run_lines(ranking.best(literal_scores(s, d))),
         "language_filter": lambda s, d: ranking.best(literal_scores(s, d, ["en", "es"])),
         "all_terms_filter": lambda s, d: ranking.with_all_terms(literal_scores(s, d), built(s, d), literal_query(s)).select("query_id", "doc_id", "score"),
