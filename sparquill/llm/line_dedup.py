@@ -25,6 +25,7 @@ extra columns are ignored, or carried by ``without_repeated_lines``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +37,14 @@ from sparquill.llm.columns import documents
 from sparquill.llm.components import components
 from sparquill.storage import written
 
+digest = xxhash.xxh3_64_intdigest  # of the UTF-8 form of a text
+
 EDITS = 2
 NEAR_MIN = 24
 ASCII_SPACE = " \t\n\x0b\f\r"
 # Frequent letters whose counts thin out the pairs.
 COUNTED = "etaoinsrhldcumfp"
+LETTER_PLACES = tuple((c, 4 * k) for k, c in enumerate(COUNTED))
 LAST_ID = (1 << 63) - 1
 FILTER_BITS, MERGERS = 25, 4
 
@@ -50,12 +54,15 @@ def signed(x: int) -> int:
 
 
 def line_id(line: str) -> int:
-    return signed(xxhash.xxh3_64_intdigest(line.encode()))
+    return signed(digest(line))
 
 
 def letter_counts(line: str) -> int:
-    """Counts of the letters, modulo 16, four bits each."""
-    return signed(sum((line.count(c) & 15) << 4 * k for k, c in enumerate(COUNTED)))
+    """Counts of the letters, modulo 16, four bits each; unsigned."""
+    out, count = 0, line.count
+    for c, shift in LETTER_PLACES:
+        out |= (count(c) & 15) << shift
+    return out
 
 
 def segments(length: int, edits: int) -> list[tuple[int, int]]:
@@ -66,22 +73,32 @@ def segments(length: int, edits: int) -> list[tuple[int, int]]:
     return [(sum(sizes[:i]), s) for i, s in enumerate(sizes)]
 
 
-def indexed(line: str, edits: int) -> Iterator[int]:
-    """Keys of a line's own segments."""
-    for i, (at, size) in enumerate(segments(len(line), edits)):
-        yield signed(xxhash.xxh3_64_intdigest(line[at : at + size].encode(), len(line) * 64 + i))
+@lru_cache(8192)
+def index_plan(length: int, edits: int) -> tuple[tuple[int, int, int], ...]:
+    """Start, end and seed of the segments of a line of ``length``; the seed tells length and segment number."""
+    return tuple((at, at + size, length * 64 + i) for i, (at, size) in enumerate(segments(length, edits)))
+
 
+@lru_cache(8192)
+def probe_plan(n: int, edits: int, least: int) -> tuple[tuple[tuple[int, int, int], ...], np.ndarray]:
+    """Start, end and seed of the substrings under which lines in reach of one of length ``n`` may be indexed, and which of them look for lines as long.
 
-def probed(line: str, edits: int, least: int) -> Iterator[tuple[int, bool]]:
-    """Keys under which lines in reach may be indexed that are shorter or (True) as long (multi-match-aware substring bounds)."""
-    n = len(line)
+    Lines in reach are as long or shorter; the bounds on a substring's place are the multi-match-aware ones.
+    """
+    spans, level = [], []
     for length in range(max(least, n - edits), n + 1):
         shift = n - length
         for i, (at, size) in enumerate(segments(length, edits)):
             low = max(0, at - i, at + shift - (edits - i))
             high = min(n - size, at + i, at + shift + (edits - i))
-            for start in range(low, high + 1):
-                yield signed(xxhash.xxh3_64_intdigest(line[start : start + size].encode(), length * 64 + i)), not shift
+            spans += [(start, start + size, length * 64 + i) for start in range(low, high + 1)]
+            level += [not shift] * (high + 1 - low)
+    return tuple(spans), np.array(level, bool)
+
+
+def keys_of(line: str, plan: tuple[tuple[int, int, int], ...]) -> list[int]:
+    """A key for each substring of the plan; unsigned."""
+    return [digest(line[start:end], seed) for start, end, seed in plan]
 
 
 def within(a: str, b: str, edits: int) -> bool:
@@ -189,7 +206,7 @@ def distinct_lines(docs: DataFrame, least: int, only: np.ndarray | None = None)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 found = list({x for t in batch.column(0)[at : at + 1024].to_pylist() for x in _lines(t) if len(x) >= least})
-                ids = np.array([line_id(x) for x in found], np.int64)
+                ids = np.array([digest(x) for x in found], np.uint64).view(np.int64)
                 if shared is not None and len(ids):
                     low = ids & (8 * len(shared.value) - 1)
                     hit = np.flatnonzero(shared.value[low >> 3] >> (7 - (low & 7)).astype(np.uint8) & 1)
@@ -205,14 +222,18 @@ def entries(lines: DataFrame, edits: int, least: int, probes: bool) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
-                keys, ids, letters, level = [], [], [], []
-                for i, x in zip(batch.column(0)[at : at + 4096].to_pylist(), batch.column(1)[at : at + 4096].to_pylist(), strict=True):
-                    own = [*probed(x, edits, least)] if probes else [(key, False) for key in indexed(x, edits)]
-                    keys += [key for key, _ in own]
-                    level += [same for _, same in own]
-                    ids += [i] * len(own)
-                    letters += [letter_counts(x)] * len(own)
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (keys, ids, letters)), pa.array(level, pa.bool_())], names=["key", "id", "letters", "level"])
+                ids, texts = batch.column(0)[at : at + 4096].to_numpy(), batch.column(1)[at : at + 4096].to_pylist()
+                if not texts:
+                    continue
+                if probes:
+                    plans, levels = zip(*(probe_plan(len(x), edits, least) for x in texts), strict=True)
+                else:
+                    plans = [index_plan(len(x), edits) for x in texts]
+                keys = np.array([key for x, plan in zip(texts, plans, strict=True) for key in keys_of(x, plan)], np.uint64).view(np.int64)
+                letters = np.array([letter_counts(x) for x in texts], np.uint64).view(np.int64)
+                each = np.fromiter(map(len, plans), np.int64, len(plans))
+                level = np.concatenate(levels) if probes else np.zeros(len(keys), bool)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(ids, each)), pa.array(np.repeat(letters, each)), pa.array(level)], names=["key", "id", "letters", "level"])
 
     return lines.mapInArrow(run, "key long, id long, letters long, level boolean")
 

@@ -104,7 +104,10 @@ def test_edit_distance_and_segments():
         assert line_dedup.within(a, b, k) == near
         short, long = sorted((a, b), key=len)
         if near and len(short) > k:
-            assert {*line_dedup.indexed(short, k)} & {key for key, _ in line_dedup.probed(long, k, k + 1)}
+            own = line_dedup.keys_of(short, line_dedup.index_plan(len(short), k))
+            spans, level = line_dedup.probe_plan(len(long), k, k + 1)
+            found = [key for key, same in zip(line_dedup.keys_of(long, spans), level, strict=True) if same == (len(short) == len(long))]
+            assert {*own} & {*found}
 
 
 def brute_lines(docs):
