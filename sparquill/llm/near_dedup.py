@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparquill.llm import hashing
@@ -135,16 +135,29 @@ def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary")
 
 
-def block_links(members: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """Links ``(a, b)`` that join different ``component``s of one bucket (``key``), confirmed on the full sets in ``shingles``.
+def block_links(members: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links ``(a, b)`` that join different ``component``s of one bucket (``key``), confirmed on the full ``sets(doc_id, shingles)``.
 
-    A bucket of m members is dealt into ceil(m / block) blocks; each two blocks meet under a key of
-    their own, so a task holds two blocks at a time. Within a meeting, shared shingles are counted
-    through an inverted list, and links that close a circle are left out.
+    A component with ``block`` members or more in a bucket is dealt into blocks of its own, the rest
+    of the bucket into shared ones, all of about ``block`` members. Each two blocks meet under a key
+    of their own, so a task holds two blocks at a time; blocks of one component do not meet, so a
+    large group costs its meetings with the others only. Within a meeting, shared shingles are
+    counted through an inverted list, and links that close a circle are left out.
     """
-    counted = members.join(members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "key")
-    dealt = counted.withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    large, of_block = F.col("n") >= block, lambda n: F.ceil(n / block).cast("int")
+    totals = sizes.groupBy("key").agg(
+        F.coalesce(of_block(F.sum(F.when(~large, F.col("n")))), F.lit(0)).alias("shared"),
+        F.coalesce(F.sum(F.when(large, of_block(F.col("n")))), F.lit(0)).cast("int").alias("owned"),
+    )
+    # At most one row for ``block`` members of a bucket comes into its window.
+    before = F.sum("own").over(Window.partitionBy("key").orderBy("component")) - F.col("own")
+    own = sizes.filter(large).withColumn("own", of_block(F.col("n"))).select("key", "component", "own", before.cast("int").alias("before"))
+    dealt = members.join(totals, "key").join(own, ["key", "component"], "left").withColumn("first", F.col("shared") + F.coalesce("before", F.lit(0)))
+    place = F.xxhash64("doc_id")
+    mine = F.when(F.col("own").isNull(), F.pmod(place, F.greatest("shared", F.lit(1)))).otherwise(F.col("first") + F.pmod(place, F.col("own")))
+    others = F.filter(F.sequence(F.lit(0), F.col("shared") + F.col("owned") - 1), lambda x: F.col("own").isNull() | (x < F.col("first")) | (x >= F.col("first") + F.col("own")))
+    met = dealt.select("key", "doc_id", "component", mine.cast("int").alias("mine"), F.explode(others).alias("other")).join(sets, "doc_id")
     met = met.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("meeting"), "doc_id", "component", "shingles")
     sorted_rows = met.repartition("meeting").sortWithinPartitions("meeting", "doc_id")
 
@@ -236,7 +249,7 @@ def near_duplicates(
     mixed = labelled.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("m")).filter("c1 < c2 AND m > 3")
     apart = written(labelled.join(mixed.select("key"), "key"), "apart")
     sets = shingle_sets(nodes.join(apart.select("doc_id").distinct(), "doc_id", "left_semi"), n)
-    more = block_links(apart.join(sets, "doc_id"), percent)
+    more = block_links(apart, sets, percent)
     parts = components(links.unionAll(more))
 
     of_rep = classes.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("component"))

@@ -64,12 +64,13 @@ def test_leftover_buckets_are_resolved_in_blocks(spark):
     import numpy as np
 
     sets = {i: np.array(sorted({*range(i * 3, i * 3 + 40)}), np.uint64) for i in range(30)}
-    rows = [(1, i, i, s.tobytes()) for i, s in sets.items()]
-    members = spark.createDataFrame([(k, d, c, bytearray(b)) for k, d, c, b in rows], "key long, doc_id long, component long, shingles binary")
-    for block in (256, 4):
-        links = [(x.a, x.b) for x in near_dedup.block_links(members, 80, block).collect()]
-        assert set(classes(links, sets).values()) == {0}
-        assert all(100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b])) for a, b in links)
+    stored = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in sets.items()], "doc_id long, shingles binary")
+    for block, known in ((256, 1), (4, 1), (4, 3), (4, 10), (4, 15)):  # the first ones of a bucket are already known as components of ``known`` documents
+        component = {i: i // known * known if i < 20 else i for i in sets}
+        members = spark.createDataFrame([(1, i, component[i]) for i in sets] + [(2, i, 0) for i in (3, 9)], "key long, doc_id long, component long")
+        links = [(x.a, x.b) for x in near_dedup.block_links(members, stored, 80, block).collect()]
+        assert set(classes([*links, *component.items()], sets).values()) == {0}
+        assert all(component[a] != component[b] and 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b])) for a, b in links)
 
 
 def edit_distance(a, b):
