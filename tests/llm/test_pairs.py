@@ -179,3 +179,24 @@ def test_pipeline_stages(spark, tmp_path):
     assert names == ["language", "lines", "near_duplicates", "decontamination"]
     out = {x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert out == set(range(40))
+
+
+def test_shared_passages_lose_their_repeated_lines(spark):
+    import corpus_pipeline
+
+    r = random.Random(12)
+    line = lambda: " ".join("".join(r.choices("abcdefghijklmnop", k=6)) for _ in range(9))
+    docs = {i: [line() for _ in range(10)] for i in range(12)}
+    for i in range(20, 26):  # half, or two lines, of one other document: under 0.8
+        docs[i] = docs[i - 20][: 5 if i % 2 else 2] + [line() for _ in range(5)]
+    docs[30] = docs[7] + ["one more"]  # 0.8 and over
+    sets = {i: shingles(" ".join(x), 5) for i, x in docs.items()}
+    near = {j for i in docs for j in docs if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert near == {30}
+    seen, expected = set(), {}
+    for i in sorted(docs.keys() - near):
+        expected[i] = [x for x in docs[i] if x not in seen]
+        seen.update(docs[i])
+    df = spark.createDataFrame([(i, "\n".join(x), "en", "src", 0) for i, x in docs.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    found = {x.doc_id: x.text.split("\n") for x in corpus_pipeline.by_lines(spark, df, "").collect()}
+    assert found == expected
