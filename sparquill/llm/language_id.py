@@ -3,9 +3,10 @@
 A text is the vector of its character 1-, 2- and 3-grams (case-folded, digits and punctuation
 taken as spaces), hashed into ``DIMENSIONS`` features, weighted by sublinear TF times IDF and
 normalised. Each language has several centroids, found by spherical k-means; a text takes the
-language of the centroid of greatest cosine. It is rejected when that cosine is below the
-centroid's floor: ``FLOOR_SHARE`` of the least cosine among the training texts of its language, so
-what is farther from all centroids than anything learned from goes, and ordinary texts stay.
+language of the centroid of greatest cosine. It is rejected when that cosine is below the floor of
+that language and the text's length: ``FLOOR_SHARE`` of a low quantile of the cosines among
+training texts of the language that are about as long, so no single odd text sets it. Short texts
+score lower; under the lengths that training texts have, the floor falls with the root of the length.
 
 Document frequencies are taken over all training texts. The centroids are fitted on a bounded,
 documented sample: for each language the ``per_language`` texts of least id hash.
@@ -30,7 +31,9 @@ from sparquill.llm.hashing import mix
 DIMENSIONS = 4096
 PER_LANGUAGE = 400
 CLUSTERS = 4
-FLOOR_SHARE = 0.25
+FLOOR_SHARE, FLOOR_QUANTILE = 0.5, 0.05
+FLOOR_TEXTS = 20  # texts that a floor is taken from, where the language has as many
+LENGTHS = 32  # floors a language, one for each factor of two in length
 MAX_LANGUAGES = 1000
 MERGERS = 8
 ROWS = 256
@@ -76,6 +79,23 @@ def clustered(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
+def length_class(tf: np.ndarray) -> np.ndarray:
+    """Logarithm of the length of texts, from their feature counts: a text of n code points has 3n - 3 features."""
+    return np.log2(np.maximum(tf.sum(axis=1, dtype=np.float64) / 3, 1)).astype(np.int64)
+
+
+def length_floors(cosine: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Least cosine for each length class, from training texts at most one class away."""
+    near = [cosine[np.abs(length - k) <= 1] for k in range(LENGTHS)]
+    enough = min(FLOOR_TEXTS, max(map(len, near)))
+    usable = np.array([k for k in range(LENGTHS) if len(near[k]) >= enough])
+    out = np.zeros(LENGTHS)
+    for k in range(LENGTHS):
+        source = usable[np.abs(usable - k).argmin()]
+        out[k] = FLOOR_SHARE * np.quantile(near[source], FLOOR_QUANTILE) * 2.0 ** (min(k - source, 0) / 2)
+    return out
+
+
 def fit(docs: DataFrame, training: Column, per_language: int = PER_LANGUAGE, clusters: int = CLUSTERS, dimensions: int = DIMENSIONS) -> dict:
     """Centroids, their languages and floors, and IDF, from the rows of ``docs(doc_id, text, lang)`` where ``training`` holds."""
     usable = docs.filter(training & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
@@ -139,8 +159,8 @@ def fit(docs: DataFrame, training: Column, per_language: int = PER_LANGUAGE, clu
         own = clustered(x, clusters)
         names += [lang] * len(own)
         centres.append(own)
-        floors += [FLOOR_SHARE * float((x @ own.T).max(axis=1).min())] * len(own)
-    return {"langs": names, "centres": np.vstack(centres).astype(np.float32) if centres else np.zeros((0, dimensions), np.float32), "floors": floors, "idf": idf}
+        floors += [length_floors((x @ own.T).max(axis=1), length_class(tf))] * len(own)
+    return {"langs": names, "centres": np.vstack(centres).astype(np.float32) if centres else np.zeros((0, dimensions), np.float32), "floors": np.array(floors).reshape(-1, LENGTHS), "idf": idf}
 
 
 def identify(docs: DataFrame, model: dict, *carried: str) -> DataFrame:
@@ -151,17 +171,18 @@ def identify(docs: DataFrame, model: dict, *carried: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         dimensions = len(m["idf"])
-        centres, floors, langs = m["centres"].T, np.array(m["floors"]), np.array(m["langs"], object)
+        centres, floors, langs = m["centres"].T, m["floors"], np.array(m["langs"], object)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 texts = [t or "" for t in part.column(0).to_pylist()]
                 lettered = np.array([any(map(str.isalpha, t)) for t in texts], bool)
                 if len(langs):
-                    cosine = weighted(counts(texts, dimensions), m["idf"]) @ centres
+                    tf = counts(texts, dimensions)
+                    cosine = weighted(tf, m["idf"]) @ centres
                     best = cosine.argmax(axis=1)
                     score = np.clip(cosine[np.arange(len(texts)), best].astype(np.float64), 0, 1)
-                    known, far = langs[best], score < floors[best]
+                    known, far = langs[best], score < floors[best, length_class(tf)]
                 else:
                     known, score, far = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts)), np.ones(len(texts), bool)
                 known, score, far = np.where(lettered, known, UNDETERMINED), np.where(lettered, score, 0.0), far | ~lettered

@@ -132,6 +132,29 @@ def test_language_of_held_out_texts(spark, odd):
     assert {x.lang_pred for x in language_id.identify(docs, nothing).collect()} == {"und"}
 
 
+def test_language_rejects_what_is_far(spark):
+    import base64
+
+    r = random.Random(13)
+    say = {
+        "en": "the thing with and that they which would there should other about before people their where house water never again morning through between against little".split(),
+        "de": "der und nicht die das mit werden auch eine zwischen immer schon wieder gegen haben sich durch unter morgen wasser können straße leben jahre freund".split(),
+        "es": "que los una por con para como pero sobre entre cuando también donde después siempre tiempo hombre mujer nunca todo ciudad mañana año agua corazón".split(),
+    }
+    clean = lambda lang, k: " ".join(r.choices(say[lang], k=k))
+    lengths = [2, 3, 5, 8, 12, 20, 40, 80, 150, 300]
+    training = [(clean(lang, r.choice(lengths)), lang) for lang in say for _ in range(120)] + [(t, lang) for lang in say for t in ("zq", "q", "jk vx", "ww qq", "xj")]
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(training)], "doc_id long, text string, lang string")
+    polish = "w tym roku nie ma juz takich ludzi ktorzy chca pracowac dla dobra wspolnego bo kazdy mysli tylko o sobie jednak zdarza sie ze ktos pomaga innym bez zadnej nagrody".split()
+    letters = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randrange(3, 9)))
+    far = [f(k) for k in (8, 20, 60, 200) for f in (lambda k: base64.b64encode(r.randbytes(5 * k)).decode(), lambda k: " ".join(r.choices(polish, k=k)), lambda k: " ".join(letters() for _ in range(k)))]
+    held = [clean(lang, k) for lang in say for k in lengths for _ in range(10)]
+    model = language_id.fit(docs, F.lit(True))
+    texts = spark.createDataFrame(list(enumerate(held + far)), "doc_id long, text string")
+    rejected = {x.doc_id for x in language_id.identify(texts, model).collect() if x.rejected}
+    assert rejected == set(range(len(held), len(held) + len(far)))
+
+
 def test_toxicity_chain(spark, odd):
     r = random.Random(8)
     words = [f"word{i}" for i in range(200)]
