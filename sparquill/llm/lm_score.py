@@ -11,9 +11,8 @@ network (``gru``). A word that is no symbol costs log P(other | state) plus its
 such words, so the model is a proper distribution over whole texts with one unseen word. The
 network starts from the unigram model of the symbols. It learns by parameter averaging: in each
 round every partition trains a replica on its own texts, and the replicas' mean, weighted by
-symbols, starts the next round. The rounds read ``shares`` of the training texts, by id hash: a
-part that grows with the corpus, a quarter in all by default, as training costs several times
-what scoring does.
+symbols, starts the next round. The rounds read ``shares`` of the training texts, by id hash, which
+by default are all of them, each once.
 
 *Scores.* Documents are scored in one pass with the state carried from first to last symbol.
 
@@ -38,7 +37,7 @@ from sparquill.storage import written
 
 HOT = 50_000
 SYMBOLS, CLASSES, HIDDEN = 1024, 32, 16
-SHARES = ((0, 1), (1, 4))  # sixteenths of the training texts that each round reads, from and to
+SHARES = ((0, 1), (1, 4), (4, 16))  # sixteenths of the training texts that each round reads, from and to
 HELD_WORDS = 300_000  # distinct words a task counts before it lets them go
 HELD_TOKENS = 3_000_000  # symbols a task gathers before it runs them through the network
 MERGERS = 16

@@ -232,6 +232,14 @@ def test_language_model_scores(spark, odd):
     assert len(nothing) == len(docs) and {x.train_tokens for x in nothing} == {0} and {x.n_known for x in nothing} == {0}
 
 
+def test_network_learns_from_every_training_text(spark, monkeypatch):
+    df = spark.createDataFrame([(i if i % 9 else None, f"text {i}") for i in range(200)], "doc_id long, text string")
+    read = []
+    monkeypatch.setattr(lm_score, "trained", lambda texts, vocabulary, weights: read.extend(x.text for x in texts.collect()) or weights)
+    lm_score.scores(df, F.col("text") != "text 7", symbols=6, classes=4, hidden=4)
+    assert sorted(read) == sorted(f"text {i}" for i in range(200) if i != 7)
+
+
 def test_recurrent_model_is_a_distribution_and_learns():
     from sparquill.llm import gru
 
