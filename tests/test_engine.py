@@ -181,3 +181,17 @@ def test_repeated_and_null_ids(spark):
     assert {(r.term, r.doc_id, r.tf) for r in built.postings.collect()} == {("aa", 1, 2)} and built.n_docs == 2
     nothing = Index.build(docs.filter("false"))
     assert (nothing.n_docs, nothing.avg_dl) == (0, 0) and not score(spark, nothing, "aa")
+
+
+def test_neighbours_of_the_whole_dictionary(spark, tmp_path):
+    from sparquill.plans import catalog
+
+    texts = ["internal international internationally walking walkings", "nationally nationals zebra zebras walking", "walkingly wal q"]
+    rows = [(i, t, "en") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    words = sorted({w for t in texts for w in t.split()})
+    pairs = {w: {w[i : i + 2] for i in range(len(w) - 1)} for w in words}
+    alike = lambda a, b: len(pairs[a] & pairs[b]) >= 0.71 * len(pairs[a] | pairs[b]) > 0
+    expected = {(a, b, j - i) for i, a in enumerate(words) for j, b in enumerate(words) if 0 < abs(i - j) <= 2 and alike(a, b)}
+    found = [tuple(x) for x in catalog.all_queries()["vocab_neighbours_all"](spark, str(tmp_path)).select("term", "candidate", "step").collect()]
+    assert expected and sorted(found) == sorted(expected)
