@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparquill.llm import bpe, chat, decontaminate, hashing, language_id, lm_score, quality, token_counts, toxicity
+from sparquill.llm import bpe, chat, decontaminate, hashing, language_id, quality, token_counts, toxicity
 from sparquill.llm.queries import vocabulary
 
 ODD = [(1, None), (2, ""), (3, " \t\n"), (4, "Hello, World's END 42!"), (4, "Hello, World's END 42!"), (None, "no id"), (5, "x" * 3000), (6, "<|endoftext|> ça Σ ñ é 漢字 😀\n#$% a"), (7, "word " * 5000)]
@@ -164,17 +164,72 @@ def test_toxicity_chain(spark, odd):
     chain = toxicity.fit(docs.select("doc_id", "text"), labels, {"low": "quality = 0", "toxic": "toxic = 1"})
     flagged = {x.doc_id for x in toxicity.toxicity(docs, chain).filter("flagged AND doc_id >= 200").collect()}
     assert flagged == {i for i, _, y in rows if y and i >= 200}
-    assert toxicity.toxicity(odd, chain).count() == len(ODD)
+    rows = toxicity.toxicity(odd, chain).collect()
+    assert len(rows) == len(ODD) and len({x.p_toxic for x in rows if x.doc_id in (1, 2, 3)}) == 1 and len({x.p_toxic for x in rows if x.doc_id == 4}) == 1
+    assert toxicity.toxicity(empty(odd), chain).count() == 0
+    doubled = toxicity.fit(docs.select("doc_id", "text").union(docs.select(F.lit(None).cast("long"), F.lit("vile nasty"))), labels.union(labels), {"toxic": "toxic = 1"})
+    assert len(doubled["out_of_fold"]) == 400  # a label that occurs twice counts twice, a null id is not learned from
     unlabelled = toxicity.fit(docs, labels.filter("false"), {"toxic": "toxic = 1"})
     assert {x.flagged for x in toxicity.toxicity(docs, unlabelled).collect()} == {False}
 
 
-def test_later_models_see_out_of_fold_probabilities():
-    rows = [np.array([i % 3, 10 + i]) for i in range(60)]
-    y = np.array([[i % 3 == 0, i % 3 == 0] for i in range(60)], float)
-    chain = toxicity.fit_chain(rows, y)
-    assert chain["models"][1][chain["width"]] > 0  # the weight of the first category's probability
-    assert toxicity.chain_probabilities(rows, chain).shape == (60, 2)
+def labelled_rows(n, seed):
+    """Rows of 30 common features; toxic rows hold one of five telling ones, and long rows hide it among many others."""
+    r = random.Random(seed)
+    toxic = [r.random() < 0.25 for _ in range(n)]
+    rows = [np.unique([*r.choices(range(1000), k=r.choice((15, 40, 400))), *([r.randrange(2000, 2005)] if y else [])]) for y in toxic]
+    low = [float(y and r.random() < 0.8) for y in toxic]
+    return rows, np.array([low, toxic], float).T
+
+
+def plain_logistic(rows, extra, y, width):
+    """The same rule on a full matrix: unit rows, features times the size of their log ratio."""
+    present = np.zeros((len(rows), width))
+    for i, r in enumerate(rows):
+        present[i, r] = 1
+    shares = [(present[y == k].sum(axis=0) + 1) / ((y == k).sum() + 2) for k in (0, 1)]
+    size = np.where(present.any(axis=0), np.abs(np.log(shares[1] / shares[0])), 0)
+    x = full(rows, extra, width) * np.append(size, np.ones(extra.shape[1] + 1))
+    w, past = np.zeros(x.shape[1]), 1e-8
+    w[-1] = np.log(y.mean() / (1 - y.mean()))
+    for _ in range(toxicity.STEPS):
+        g = x.T @ ((1 / (1 + np.exp(-x @ w)) - y) / len(y)) + toxicity.PENALTY * np.append(w[:-1], 0)
+        past = past + g * g
+        w -= g / np.sqrt(past)
+    return w * np.append(size, np.ones(extra.shape[1] + 1))
+
+
+def full(rows, extra, width):
+    x = np.zeros((len(rows), width))
+    for i, r in enumerate(rows):
+        x[i, r] = len(r) ** -0.5
+    return np.column_stack((x, extra, np.ones(len(rows))))
+
+
+def test_chain_equals_full_matrices(spark):
+    rows, y = labelled_rows(120, 3)
+    for fits in (toxicity.Fits(rows, y), toxicity.SparkFits(spark, rows, y)):
+        chain = toxicity.fit_chain(fits)
+        own, earlier = [chain["place"][r][chain["place"][r] >= 0] for r in rows], np.zeros((120, 0))
+        fold, width = np.arange(120) % toxicity.FOLDS, chain["width"]
+        for j in range(2):
+            out = np.zeros(120)
+            for f in range(toxicity.FOLDS):
+                inside = np.flatnonzero(fold != f)
+                w = plain_logistic([own[i] for i in inside], earlier[inside], y[inside, j], width)
+                out[fold == f] = (1 / (1 + np.exp(-full(own, earlier, width) @ w)))[fold == f]  # from a model that has not seen these rows
+            assert chain["models"][j] == pytest.approx(plain_logistic(own, earlier, y[:, j], width), abs=1e-6)
+            assert chain["out_of_fold"][:, j] == pytest.approx(out, abs=1e-6)
+            earlier = np.column_stack((earlier, out))
+
+
+def test_chain_finds_held_out_toxic_rows_long_and_short():
+    rows, y = labelled_rows(1500, 4)
+    chain = toxicity.fit_chain(toxicity.Fits(rows[:1000], y[:1000]))
+    p, held = toxicity.chain_probabilities(rows[1000:], chain), y[1000:, 1] == 1
+    assert (p[held, 1] > np.quantile(p[~held, 1], 0.9)).mean() > 0.95
+    assert chain["models"][1][chain["width"]] > 0  # the first category, which tells of the second here, is leaned on
+    assert 0.97 < (p[~held, 1] <= chain["threshold"]).mean()
 
 
 def test_containment_against_brute_force(spark, odd):
@@ -208,49 +263,3 @@ def test_chat_perspectives(spark):
     assert [ann.text[s.start : s.end] for s in ann.spans] == ["hé", ""] and (ann.n_turns, ann.n_own_turns) == (4, 2)
     bob = out[1, 0, "bob"]
     assert [bob.text[s.start : s.end] for s in bob.spans] == ["yo"] and chat.perspectives(turns.filter("false")).count() == 0
-
-
-def test_language_model_scores(spark, odd):
-    import math
-    import zlib
-    from collections import Counter
-
-    r = random.Random(11)
-    docs = [(i, " ".join(r.choices([f"w{k}" for k in range(40)], k=r.randrange(30)))) for i in range(80)] + [(500, None), (501, "Unseen WORDS")]
-    df = spark.createDataFrame(docs, "doc_id long, text string").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in docs}
-    training = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
-    c = Counter(w for i, t in docs if not held[i] for w in [*(t or "").lower().split(), "\n"])
-    n, v = sum(c.values()), len(c)
-    for hot, symbols in ((1000, 64), (10, 6)):
-        for x in lm_score.scores(df, training, hot=hot, symbols=symbols, classes=4, hidden=4).collect():
-            own = [*(dict(docs)[x.doc_id] or "").lower().split(), "\n"]
-            assert x.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in own))
-            assert (x.n_tokens, x.n_known, x.train_tokens, x.held_out) == (len(own), sum(c[w] > 0 for w in own), n, held[x.doc_id])
-            assert x.score < 0
-    nothing = lm_score.scores(df, F.lit(False)).collect()
-    assert len(nothing) == len(docs) and {x.train_tokens for x in nothing} == {0} and {x.n_known for x in nothing} == {0}
-
-
-def test_network_learns_from_every_training_text(spark, monkeypatch):
-    df = spark.createDataFrame([(i if i % 9 else None, f"text {i}") for i in range(200)], "doc_id long, text string")
-    read = []
-    monkeypatch.setattr(lm_score, "trained", lambda texts, vocabulary, weights: read.extend(x.text for x in texts.collect()) or weights)
-    lm_score.scores(df, F.col("text") != "text 7", symbols=6, classes=4, hidden=4)
-    assert sorted(read) == sorted(f"text {i}" for i in range(200) if i != 7)
-
-
-def test_recurrent_model_is_a_distribution_and_learns():
-    from sparquill.llm import gru
-
-    r = np.random.default_rng(0)
-    docs = [np.array([*np.tile([1, 2, 3], r.integers(3, 9)), 0], np.int32) for _ in range(60)]
-    p = gru.initial(5, 2, 6, np.bincount(np.concatenate(docs), minlength=5))
-    state = r.standard_normal((1, 6)).astype(np.float32)
-    assert sum(np.exp(gru.log_probabilities(p, state, np.array([s])))[0] for s in range(5)) == pytest.approx(1, abs=1e-4)
-    before = gru.score(p, docs).sum()
-    for _ in range(30):
-        p, _, _ = gru.train(p, docs, rate=0.03, n=8)
-    after = gru.score(p, docs)
-    assert after.sum() > before / 2
-    assert gru.score(p, docs, steps=3, n=4) == pytest.approx(after, rel=1e-3)  # windows and streams change nothing
