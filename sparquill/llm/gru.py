@@ -4,7 +4,9 @@ Symbols are numbered by falling frequency; symbol s is in class ``s // size``. T
 log P(symbol) = log P(class | state) + log P(symbol | class, state), so a step costs the classes
 plus one class, not all symbols. Documents run side by side in streams, one after the other; the
 state is reset where a document begins and carried over every window boundary, so windows bound
-memory and backpropagation but not what the model has read.
+backpropagation but not what the model has read. Streams are ragged: memory follows the symbols
+held and one window, whatever the longest document. In training a document goes in pieces of
+``PIECE`` symbols, as a few very long ones would leave most streams idle; scoring takes it whole.
 """
 
 from __future__ import annotations
@@ -12,7 +14,9 @@ from __future__ import annotations
 import numpy as np
 
 F32 = np.float32
-TRAIN_STEPS, SCORE_STEPS, STREAMS = 16, 64, 256
+TRAIN_STEPS, SCORE_STEPS, STREAMS = 16, 32, 256
+PIECE = 2048
+LIMIT = F32(60)  # of a softmax's inputs, so that their exponentials stay finite and above 0
 
 
 def initial(symbols: int, classes: int, hidden: int, counts: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
@@ -26,9 +30,9 @@ def initial(symbols: int, classes: int, hidden: int, counts: np.ndarray, seed: i
     total = np.log(np.exp(word - top).sum(axis=1)) + top[:, 0]
     small = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(F32)
     return {
-        "E": small(symbols + 1, 3 * hidden),  # the last row starts a document
-        "U": small(hidden, 3 * hidden),
-        "b": np.zeros(3 * hidden, F32),
+        "E": small(3, symbols + 1, hidden),  # of the reset gate, the update gate and the candidate; the last row starts a document
+        "U": small(3, hidden, hidden),
+        "b": np.zeros((3, 1, hidden), F32),
         "Wc": np.zeros((hidden, classes), F32),
         "bc": (total - total.max()).astype(F32),
         "Wo": np.zeros((classes, hidden, size), F32),
@@ -36,159 +40,204 @@ def initial(symbols: int, classes: int, hidden: int, counts: np.ndarray, seed: i
     }
 
 
-def streams(docs: list[np.ndarray], start: int, n: int = STREAMS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Targets, inputs and document numbers as (step, stream) arrays, longest stream first; -1 where a stream has ended.
-
-    Documents are dealt longest first to the shortest stream so far.
-    """
-    import heapq
-
-    n = max(1, min(n, len(docs)))
-    load = [(0, s, []) for s in range(n)]
-    for d in sorted(range(len(docs)), key=lambda d: -len(docs[d])):
-        total, s, own = load[0]
-        own.append(d)
-        heapq.heapreplace(load, (total + len(docs[d]), s, own))
-    load.sort(key=lambda x: (-x[0], x[1]))
-    steps = load[0][0] if load else 0
-    y, x, owner = (np.full((steps, n), -1, np.int32) for _ in range(3))
-    for s, (_, _, own) in enumerate(load):
-        at = 0
-        for d in own:
-            t = docs[d]
-            y[at : at + len(t), s] = t
-            x[at, s] = start
-            x[at + 1 : at + len(t), s] = t[:-1]
-            owner[at : at + len(t), s] = d
-            at += len(t)
-    return y, x, owner
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
-def forward(p: dict, x: np.ndarray, h: np.ndarray, start: int, keep: bool = False) -> tuple[np.ndarray, np.ndarray, list]:
-    """States after each step of a window (no stream of which has ended), the last state, and what backpropagation needs."""
-    hidden = h.shape[1]
-    out, kept = np.empty((*x.shape, hidden), F32), []
-    for t in range(len(x)):
-        h = np.where((x[t] == start)[:, None], F32(0), h)
-        gx, gh = p["E"][x[t]], h @ p["U"] + p["b"]
-        rz = _sigmoid(gx[:, : 2 * hidden] + gh[:, : 2 * hidden])
-        r, z = rz[:, :hidden], rz[:, hidden:]
-        n = np.tanh(gx[:, 2 * hidden :] + r * gh[:, 2 * hidden :])
-        if keep:
-            kept.append((h, r, z, n, gh[:, 2 * hidden :]))
-        h = n + z * (h - n)
-        out[t] = h
-    return out, h, kept
-
-
-def _log_softmax(a: np.ndarray) -> np.ndarray:
-    a = a - a.max(axis=1, keepdims=True)
-    return a - np.log(np.exp(a).sum(axis=1, keepdims=True))
+class Streams:
+    """Documents dealt, longest first, to the shortest of ``n`` streams so far; the longest stream comes first."""
+
+    def __init__(self, docs: list[np.ndarray], start: int, n: int = STREAMS):
+        import heapq
+
+        self.start = start
+        load = [(0, s, []) for s in range(max(1, min(n, len(docs))))]
+        for d in sorted(range(len(docs)), key=lambda d: -len(docs[d])):
+            total, s, own = load[0]
+            own.append(d)
+            heapq.heapreplace(load, (total + len(docs[d]), s, own))
+        load.sort(key=lambda x: (-x[0], x[1]))
+        order = [d for _, _, own in load for d in own]
+        sizes = np.array([len(docs[d]) for d in order], np.int64)
+        self.length = np.array([total for total, _, _ in load], np.int64)
+        self.end = np.cumsum(self.length)
+        self.y = np.concatenate([docs[d] for d in order]).astype(np.int32) if order else np.zeros(0, np.int32)
+        self.x = np.append(np.int32(start), self.y[:-1])
+        self.x[(np.cumsum(sizes) - sizes)[sizes > 0]] = start
+        self.owner = np.repeat(np.array(order, np.int64), sizes)
+
+    def windows(self, steps: int):
+        """Targets (-1 where a stream has ended), inputs and owners as (step, stream) arrays, one window after the other."""
+        for a in range(0, int(self.length.max(initial=0)), steps):
+            alive = int((self.length > a).sum())
+            at = (self.end - self.length)[:alive] + np.arange(a, min(a + steps, int(self.length[0])))[:, None]
+            over = at >= self.end[:alive]
+            at[over] = 0
+            y, x = self.y[at], self.x[at]
+            y[over], x[over] = -1, self.start
+            yield y, x, self.owner[at]
+
+
+def forward(p: dict, x: np.ndarray, h: np.ndarray, start: int) -> tuple[np.ndarray, dict]:
+    """States after each step of a window, and what backpropagation needs."""
+    (steps, n), hidden = x.shape, h.shape[1]
+    gx = np.stack([e[x] for e in p["E"]])
+    gx += p["b"][:, None]
+    before, out, cand, gh_n = (np.empty((steps, n, hidden), F32) for _ in range(4))
+    fresh = x == start
+    for t, new in enumerate(fresh.any(axis=1)):
+        before[t] = h
+        if new:
+            before[t, fresh[t]] = 0
+        gate = gx[:2, t]  # becomes the reset and the update gate
+        gate += np.matmul(before[t], p["U"][:2])
+        np.negative(gate, out=gate)
+        np.exp(gate, out=gate)
+        gate += F32(1)
+        np.reciprocal(gate, out=gate)
+        np.matmul(before[t], p["U"][2], out=gh_n[t])
+        c = np.multiply(gate[0], gh_n[t], out=cand[t])
+        c += gx[2, t]
+        np.tanh(c, out=c)
+        h = np.subtract(before[t], c, out=out[t])
+        h *= gate[1]
+        h += c
+    return out, {"before": before, "r": gx[0], "z": gx[1], "cand": cand, "gh_n": gh_n}
+
+
+def _exponentials(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the clipped inputs, in place, and their row sums."""
+    np.exp(a, out=a)
+    return a, a @ np.ones(a.shape[1], F32)
+
+
+class Targets:
+    """Targets ordered by class, so that each class is one slice."""
+
+    def __init__(self, p: dict, y: np.ndarray):
+        classes, size = p["bo"].shape
+        c = (y // size).astype(np.int16)
+        self.order = np.argsort(c, kind="stable")
+        self.c = c[self.order].astype(np.int64)
+        self.at = y[self.order] - self.c * size
+        edges = np.searchsorted(self.c, np.arange(classes + 1))
+        self.slices = [(k, slice(edges[k], edges[k + 1])) for k in range(classes) if edges[k] < edges[k + 1]]
+        self.row = np.arange(len(y))
+
+    def inputs(self, p: dict, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Inputs of both softmaxes for the ordered states ``h``."""
+        a = h @ p["Wc"]
+        a += p["bc"]
+        b = np.empty((len(h), p["bo"].shape[1]), F32)
+        for k, own in self.slices:
+            np.matmul(h[own], p["Wo"][k], out=b[own])
+            b[own] += p["bo"][k]
+        return np.clip(a, -LIMIT, LIMIT, out=a), np.clip(b, -LIMIT, LIMIT, out=b)
 
 
 def log_probabilities(p: dict, h: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Natural log probability of each target under its state."""
-    size = p["bo"].shape[1]
-    c = y // size
-    out = _log_softmax(h @ p["Wc"] + p["bc"])[np.arange(len(y)), c]
-    order = np.argsort(c, kind="stable")
-    for k, own in _groups(c, order, len(p["bc"])):
-        out[own] += _log_softmax(h[own] @ p["Wo"][k] + p["bo"][k])[np.arange(len(own)), y[own] - k * size]
+    t = Targets(p, y)
+    a, b = t.inputs(p, h[t.order])
+    chosen = a[t.row, t.c] + b[t.row, t.at]
+    out = np.empty(len(y), F32)
+    out[t.order] = chosen - np.log(_exponentials(a)[1]) - np.log(_exponentials(b)[1])
     return out
 
 
-def _groups(c: np.ndarray, order: np.ndarray, classes: int):
-    edges = np.searchsorted(c[order], np.arange(classes + 1))
-    for k in range(classes):
-        if edges[k] < edges[k + 1]:
-            yield k, order[edges[k] : edges[k + 1]]
-
-
-def gradients(p: dict, x: np.ndarray, y: np.ndarray, h0: np.ndarray, start: int) -> tuple[dict, np.ndarray, float]:
-    """Mean gradients over a window, the state after it, and the summed loss."""
-    steps, n = x.shape
-    hidden, size = h0.shape[1], p["bo"].shape[1]
-    out, last, kept = forward(p, x, h0, start, keep=True)
-    h, flat, scale = out.reshape(-1, hidden), y.ravel(), F32(1 / y.size)
-    g = {k: np.zeros_like(v) for k, v in p.items()}
-    c = flat // size
-    logp = _log_softmax(h @ p["Wc"] + p["bc"])
-    loss = -float(logp[np.arange(len(c)), c].sum())
-    d = np.exp(logp)
-    d[np.arange(len(c)), c] -= 1
-    d *= scale
-    g["Wc"], g["bc"], dh = h.T @ d, d.sum(axis=0), d @ p["Wc"].T
-    for k, own in _groups(c, np.argsort(c, kind="stable"), len(p["bc"])):
-        mine, at = h[own], flat[own] - k * size
-        logp = _log_softmax(mine @ p["Wo"][k] + p["bo"][k])
-        loss -= float(logp[np.arange(len(own)), at].sum())
-        d = np.exp(logp)
-        d[np.arange(len(own)), at] -= 1
-        d *= scale
-        g["Wo"][k], g["bo"][k] = mine.T @ d, d.sum(axis=0)
-        dh[own] += d @ p["Wo"][k].T
-    dh = dh.reshape(steps, n, hidden)
-    dx, back = np.empty((steps, n, 3 * hidden), F32), np.zeros((n, hidden), F32)
-    for t in reversed(range(steps)):
-        before, r, z, cand, gh_n = kept[t]
-        da = dh[t] + back
-        dz = da * (before - cand) * z * (1 - z)
-        dn = da * (1 - z) * (1 - cand * cand)
-        dr = dn * gh_n * r * (1 - r)
-        dx[t] = np.concatenate((dr, dz, dn), axis=1)
-        dgh = np.concatenate((dr, dz, dn * r), axis=1)
-        g["U"] += before.T @ dgh
-        g["b"] += dgh.sum(axis=0)
-        back = (da * z + dgh @ p["U"].T) * (x[t] != start)[:, None]
-    order = np.argsort(x.ravel(), kind="stable")
+def gradients(p: dict, x: np.ndarray, y: np.ndarray, h0: np.ndarray, start: int, g: dict) -> tuple[np.ndarray, float, int]:
+    """Mean gradients over a window into ``g``; the state after it, the summed loss and the number of targets."""
+    (steps, n), hidden = x.shape, h0.shape[1]
+    out, kept = forward(p, x, h0, start)
+    valid = np.flatnonzero(y.ravel() >= 0)
+    t = Targets(p, y.ravel()[valid])
+    place, scale = valid[t.order], F32(1 / len(valid))
+    h = out.reshape(-1, hidden)[place]
+    a, b = t.inputs(p, h)
+    loss = -float((a[t.row, t.c] + b[t.row, t.at]).sum())
+    for d, at in ((a, t.c), (b, t.at)):
+        total = _exponentials(d)[1]
+        loss += float(np.log(total).sum())
+        d *= (scale / total)[:, None]
+        d[t.row, at] -= scale
+    one = np.ones(len(h), F32)
+    np.matmul(h.T, a, out=g["Wc"])
+    np.matmul(one, a, out=g["bc"])
+    dh = a @ p["Wc"].T
+    g["Wo"][:], g["bo"][:] = 0, 0
+    for k, own in t.slices:
+        np.matmul(h[own].T, b[own], out=g["Wo"][k])
+        np.matmul(one[own], b[own], out=g["bo"][k])
+        dh[own] += b[own] @ p["Wo"][k].T
+    back_in = np.zeros((steps * n, hidden), F32)
+    back_in[place] = dh
+    back_in = back_in.reshape(steps, n, hidden)
+    before, cand, r, z = (kept[k] for k in ("before", "cand", "r", "z"))
+    keep = 1 - z
+    of_z = (before - cand) * z
+    of_z *= keep
+    keep *= 1 - cand * cand
+    of_r = kept["gh_n"] * r
+    of_r *= 1 - r
+    dx, dgh_n = np.empty((3, steps, n, hidden), F32), np.empty((steps, n, hidden), F32)
+    back, turned = np.zeros((n, hidden), F32), np.ascontiguousarray(p["U"].transpose(0, 2, 1))
+    fresh = x == start
+    for s in reversed(range(steps)):
+        da = np.add(back, back_in[s], out=back)
+        dn = np.multiply(da, keep[s], out=dx[2, s])
+        np.multiply(dn, of_r[s], out=dx[0, s])
+        np.multiply(da, of_z[s], out=dx[1, s])
+        np.multiply(dn, r[s], out=dgh_n[s])
+        da *= z[s]
+        da += dx[0, s] @ turned[0]
+        da += dx[1, s] @ turned[1]
+        da += dgh_n[s] @ turned[2]
+        da[fresh[s]] = 0
+    flat, state = dx.reshape(3, -1, hidden), before.reshape(-1, hidden).T
+    for k, d in enumerate((flat[0], flat[1], dgh_n.reshape(-1, hidden))):
+        np.matmul(state, d, out=g["U"][k])
+    np.matmul(np.ones(flat.shape[1], F32), flat, out=g["b"][:, 0])
+    order = np.argsort(x.ravel().astype(np.int16), kind="stable")
     rows, first = np.unique(x.ravel()[order], return_index=True)
-    g["E"][rows] = np.add.reduceat(dx.reshape(-1, 3 * hidden)[order], first, axis=0)
-    return g, last, loss
+    g["E"][:] = 0
+    g["E"][:, rows] = np.add.reduceat(np.concatenate([d[order] for d in flat], axis=1), first, axis=0).reshape(-1, 3, hidden).transpose(1, 0, 2)
+    return out[-1], loss, len(valid)
 
 
-def windows(y: np.ndarray, steps: int):
-    """(first step, last step, streams alive): windows in which no stream ends."""
-    alive = (y >= 0).sum(axis=1)
-    at = 0
-    while at < len(y):
-        end = min(at + steps, len(y))
-        end = at + int(np.searchsorted(-alive[at:end], -alive[at], side="right"))  # up to the next stream's end
-        yield at, end, int(alive[at])
-        at = end
+def packed(p: dict) -> tuple[np.ndarray, dict]:
+    """All weights in one array, and views of it by name."""
+    flat, views, at = np.empty(sum(v.size for v in p.values()), F32), {}, 0
+    for k in sorted(p):
+        views[k] = flat[at : at + p[k].size].reshape(p[k].shape)
+        views[k][...] = p[k]
+        at += p[k].size
+    return flat, views
 
 
-def train(p: dict, docs: list[np.ndarray], rate: float = 0.01, steps: int = TRAIN_STEPS, n: int = STREAMS) -> tuple[dict, float, int]:
+def train(p: dict, docs: list[np.ndarray], rate: float = 0.02, steps: int = TRAIN_STEPS, n: int = STREAMS, piece: int = PIECE) -> tuple[dict, float, int]:
     """Adam over all windows of ``docs``, in order; the new weights, the summed loss and the number of symbols."""
-    start, hidden = len(p["E"]) - 1, len(p["U"])
-    p = {k: v.copy() for k, v in p.items()}
-    mean, square = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    y, x, _ = streams(docs, start, n)
-    h, loss, seen = np.zeros((y.shape[1], hidden), F32), 0.0, 0
-    for i, (a, b, k) in enumerate(windows(y, steps), 1):
-        g, last, lost = gradients(p, x[a:b, :k], y[a:b, :k], h[:k], start)
-        h = last
-        loss, seen = loss + lost, seen + (b - a) * k
-        weight = min(1.0, (b - a) * k / (steps * n))  # narrow windows count less
-        for name, v in p.items():
-            m, s = mean[name], square[name]
-            m += F32(0.1) * (g[name] - m)
-            s += F32(0.01) * (g[name] ** 2 - s)
-            fix = F32(rate * weight * np.sqrt(1 - 0.99**i) / (1 - 0.9**i))
-            v -= fix * m / (np.sqrt(s) + F32(1e-6))
+    start, hidden = p["E"].shape[1] - 1, p["E"].shape[2]
+    w, p = packed(p)
+    grad, g = packed(p)
+    mean, square = np.zeros_like(w), np.zeros_like(w)
+    pieces = [d[at : at + piece] for d in docs for at in range(0, len(d), piece)]
+    streams = Streams(pieces, start, n)
+    h, loss, seen = np.zeros((len(streams.length), hidden), F32), 0.0, 0
+    for i, (y, x, _) in enumerate(streams.windows(steps), 1):
+        h, lost, m = gradients(p, x, y, h[: x.shape[1]], start, g)
+        loss, seen = loss + lost, seen + m
+        weight = min(1.0, m / (steps * n))  # narrow windows count less
+        mean += F32(0.1) * (grad - mean)
+        square += F32(0.01) * (grad * grad - square)
+        fix = F32(rate * weight * np.sqrt(1 - 0.99**i) / (1 - 0.9**i))
+        w -= fix * mean / (np.sqrt(square) + F32(1e-6))
     return p, loss, seen
 
 
 def score(p: dict, docs: list[np.ndarray], steps: int = SCORE_STEPS, n: int = STREAMS) -> np.ndarray:
     """Natural log-likelihood of each document."""
-    start, hidden = len(p["E"]) - 1, len(p["U"])
-    y, x, owner = streams(docs, start, n)
-    total, h = np.zeros(len(docs)), np.zeros((y.shape[1], hidden), F32)
-    for a, b, k in windows(y, steps):
-        out, h, _ = forward(p, x[a:b, :k], h[:k], start)
-        lp = log_probabilities(p, out.reshape(-1, hidden), y[a:b, :k].ravel())
-        total += np.bincount(owner[a:b, :k].ravel(), lp, len(docs))
+    start, hidden = p["E"].shape[1] - 1, p["E"].shape[2]
+    streams = Streams(docs, start, n)
+    total, h = np.zeros(len(docs)), np.zeros((len(streams.length), hidden), F32)
+    for y, x, owner in streams.windows(steps):
+        out, _ = forward(p, x, h[: x.shape[1]], start)
+        h = out[-1]
+        valid = np.flatnonzero(y.ravel() >= 0)
+        total += np.bincount(owner.ravel()[valid], log_probabilities(p, out.reshape(-1, hidden)[valid], y.ravel()[valid]), len(docs))
     return total

@@ -6,19 +6,24 @@ Words are runs without ASCII white space, A-Z in lower case; every text ends wit
 distributed. Only the most frequent words, ``hot`` at most (a parameter), are broadcast; occurrences of other
 words join the table by word. Such words are rare by choice, so no key of that join is hot.
 
-*Model.* The ``symbols`` most frequent words, the end and "other" are the symbols of a recurrent
-network (``gru``). A word that is no symbol costs log P(other | state) plus its add-one share among
-such words, so the model is a proper distribution over whole texts with one unseen word. The
-network starts from the unigram model of the symbols. It learns by parameter averaging: in each
-round every partition trains a replica on its own texts, and the replicas' mean, weighted by
-symbols, starts the next round. The rounds read ``shares`` of the training texts, by id hash, which
-by default are all of them, each once.
+*Symbols.* One pass turns every text into the symbols of the network (the ``symbols`` most frequent
+words, the end and "other") and its rare words. Training and scoring read that table, not the texts.
+
+*Model.* A word that is no symbol costs log P(other | state) plus its add-one share among such
+words, so the model is a proper distribution over whole texts with one unseen word. The recurrent
+network (``gru``) starts from the unigram model of the symbols and learns from all training texts,
+each once, by parameter averaging: texts are dealt by their hash to replicas of about
+``replica_tokens`` tokens, so neither files nor partitions shape the model; in each round every
+replica trains on its own texts, and the mean of the round's replicas, weighted by symbols, starts
+the next. Rounds grow by factors of four from ``FIRST`` replicas on, so their number grows with the
+logarithm of the corpus and the early, cheap ones take the weights away from their start.
 
 *Scores.* Documents are scored in one pass with the state carried from first to last symbol.
 
 Defined results: a null text is empty and costs its end token; a null ``doc_id`` is in no held-out
 fold; without training texts both scores come from uniform models; repeated rows are each scored;
-whole texts are read; extra columns are ignored.
+whole texts are read, in memory that follows the symbols held, not the longest text; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -37,9 +42,10 @@ from sparquill.storage import written
 
 HOT = 50_000
 SYMBOLS, CLASSES, HIDDEN = 1024, 32, 16
-SHARES = ((0, 1), (1, 4), (4, 16))  # sixteenths of the training texts that each round reads, from and to
+REPLICA_TOKENS = 2_000_000
+FIRST, GROWTH = 2, 4  # replicas of the first round, and by how much each round is larger than all before it
 HELD_WORDS = 300_000  # distinct words a task counts before it lets them go
-HELD_TOKENS = 3_000_000  # symbols a task gathers before it runs them through the network
+HELD_TOKENS = 3_000_000  # symbols a task gathers before it scores them
 MERGERS = 16
 LEVEL = "CAST(floor(log2(n) * 8) AS INT)"
 
@@ -105,7 +111,7 @@ class Vocabulary:
         return np.fromiter((get(w, -1) for w in words), np.int32, len(words))
 
     def symbols(self, at: np.ndarray) -> np.ndarray:
-        return np.append(self.symbol[at], np.int32(self.end))
+        return np.append(self.symbol[at], np.int32(self.end)).astype(np.uint16)
 
 
 def _packed(weights: dict) -> bytes:
@@ -120,91 +126,128 @@ def _unpacked(data: bytes | np.ndarray, like: dict) -> dict:
     return out
 
 
-def trained(texts: DataFrame, vocabulary: Vocabulary, weights: dict) -> dict:
-    """The mean of the replicas that each partition of ``texts(text)`` trains from ``weights``."""
-    shared = texts.sparkSession.sparkContext.broadcast((vocabulary, weights))
+def rounds(replicas: int, first: int = FIRST, growth: int = GROWTH) -> list[tuple[int, int]]:
+    """Replica numbers of each round, from and to; the last round is the largest."""
+    out = [(0, first if replicas > 2 * first else replicas)]
+    while out[-1][1] < replicas:
+        done = out[-1][1]
+        out.append((done, growth * done if 2 * growth * done <= replicas else replicas))
+    return out
+
+
+def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """A row for each of ``docs(doc_id, training, text)``: sums of log counts, ``symbols`` (16 bits each) and rare words (``tail``)."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # of parameter size
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, logs double, other_logs double, n_other long, tail array<binary>, symbols binary"
+    names = [field.split()[0] for field in schema.split(", ")]
+    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.binary()), pa.binary())
 
-    def replica(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, p = shared.value
-        docs: list[np.ndarray] = []
-        held = seen = 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                docs += [v.symbols(v.encoded(words_of(t))) for t in batch.column(0)[at : at + 256].to_pylist()]
-                held += sum(map(len, docs[-256:]))
-                if held > HELD_TOKENS:
-                    p, _, n = gru.train(p, docs)
-                    seen, held, docs = seen + n, 0, []
-        if docs:
-            p, _, n = gru.train(p, docs)
-            seen += n
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([_packed(p)]), pa.array([seen], pa.int64())], names=["weights", "n"])
+                rows = []
+                for row, doc_id, is_training, text in zip(*(c[at : at + 256].to_pylist() for c in batch.columns), strict=True):
+                    words = words_of(text)
+                    index = v.encoded(words)
+                    own = v.symbols(index)
+                    logs = v.log_counts[index]
+                    other = own[:-1] == v.other
+                    tail = [words[i] for i in np.flatnonzero(index < 0)]
+                    rows.append((row, doc_id, not is_training, len(words) + 1, float(logs.sum()) + v.end_log_count, float(logs[other].sum()), int(other.sum()), tail, own.tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "training", "text").mapInArrow(run, schema)
+
+
+def dealt(texts: DataFrame, replicas: int) -> DataFrame:
+    """``replica, place, symbols`` of the training texts, each replica's texts together and in the order of their hashes."""
+    place = F.xxhash64("doc_id", "symbols")
+    parts = min(replicas, max(4 * texts.sparkSession.sparkContext.defaultParallelism, replicas // 16))
+    return texts.filter("NOT held_out").select(F.pmod(place, F.lit(replicas)).alias("replica"), place.alias("place"), "symbols").repartition(parts, "replica").sortWithinPartitions("replica", "place", "symbols")
+
 
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def trained(texts: DataFrame, weights: dict, replicas: int) -> dict:
+    """The mean of the models that the ``replicas`` of ``texts``, rows of ``dealt``, train from ``weights``."""
+    shared = texts.sparkSession.sparkContext.broadcast(weights)
+
+    def summed(parts: Iterator[tuple[np.ndarray, int]]) -> Iterator[pa.RecordBatch]:
         total, seen = None, 0
-        for batch in batches:
-            for w, n in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(w.as_py(), np.float32).astype(np.float64) * n
-                total, seen = part if total is None else total + part, seen + n
+        for part, n in parts:
+            total, seen = part * n if total is None else total + part * n, seen + n
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([(total / seen).astype(np.float32).tobytes()]), pa.array([seen], pa.int64())], names=["weights", "n"])
 
+    def models(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, int]]:
+        def model() -> tuple[np.ndarray, int]:
+            p, _, n = gru.train(shared.value, held)
+            return np.frombuffer(_packed(p), np.float32).astype(np.float64), n
+
+        now, held = None, []
+        for batch in batches:
+            for replica, symbols in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if held and replica != now:
+                    yield model()
+                    held = []
+                now = replica
+                held.append(np.frombuffer(symbols, np.uint16))
+        if held:
+            yield model()
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, int]]:
+        for batch in batches:
+            for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield np.frombuffer(w, np.float32).astype(np.float64), n
+
     schema = "weights binary, n long"
-    means = texts.mapInArrow(replica, schema).repartition(MERGERS).mapInArrow(merged, schema).collect()  # MERGERS rows at most
-    if not means:
+    means = texts.select("replica", "symbols").mapInArrow(lambda batches: summed(models(batches)), schema)
+    for width in (w for w in (MERGERS**2, MERGERS) if w < replicas):
+        means = means.repartition(width).mapInArrow(lambda batches: summed(rows(batches)), schema)
+    found = means.collect()  # MERGERS rows at most
+    if not found:
         return weights
-    total = sum(r.n for r in means)
-    return _unpacked(sum(np.frombuffer(bytes(r.weights), np.float32).astype(np.float64) * (r.n / total) for r in means), weights)
+    total = sum(r.n for r in found)
+    return _unpacked(sum(np.frombuffer(bytes(r.weights), np.float32).astype(np.float64) * (r.n / total) for r in found), weights)
 
 
-def scores(docs: DataFrame, training: Column, hot: int = HOT, symbols: int = SYMBOLS, classes: int = CLASSES, hidden: int = HIDDEN, shares=SHARES) -> DataFrame:
+def scores(docs: DataFrame, training: Column, hot: int = HOT, symbols: int = SYMBOLS, classes: int = CLASSES, hidden: int = HIDDEN, replica_tokens: int = REPLICA_TOKENS) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for ``docs(doc_id, text)``; ``training`` is a condition on its columns."""
-    docs = docs.select("doc_id", "text", training.alias("training"))
+    docs = docs.select("doc_id", "text", F.coalesce(training, F.lit(False)).alias("training"))
     seen = docs.filter("training")
     counts = written(word_counts(seen.select("text")), "word-counts")
     vocabulary = Vocabulary(counts, seen.select("doc_id").count(), hot, symbols, classes)
+    texts = written(encoded(docs, vocabulary), "lm-encoded")
     weights = gru.initial(vocabulary.n_symbols, vocabulary.classes, hidden, vocabulary.symbol_counts)
-    sixteenth = F.pmod(F.xxhash64(F.lit("share"), F.col("doc_id")), F.lit(16))
-    for low, high in shares:
-        weights = trained(seen.filter((sixteenth >= low) & (sixteenth < high)).select("text"), vocabulary, weights)
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, weights))  # both of parameter size
-
-    def flushed(rows: list[tuple], symbols_of: list[np.ndarray], v: Vocabulary, p: dict) -> pa.RecordBatch:
-        model = gru.score(p, symbols_of) / math.log(10)
-        *plain, tails = zip(*rows, strict=True)
-        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
-        arrays = [pa.array(c, k) for c, k in zip(plain, kinds, strict=True)]
-        return pa.RecordBatch.from_arrays([*arrays, pa.array(model), pa.array(tails, pa.list_(pa.binary()))], names=names)
+    if vocabulary.train_tokens:
+        replicas = -(-vocabulary.train_tokens // replica_tokens)
+        training_texts = written(dealt(texts, replicas), "lm-training")
+        for low, high in rounds(replicas):
+            weights = trained(training_texts.filter((F.col("replica") >= low) & (F.col("replica") < high)), weights, high - low)
+    shared = docs.sparkSession.sparkContext.broadcast(weights)  # of parameter size
+    plain = ["row", "doc_id", "held_out", "n_tokens", "logs", "other_logs", "n_other", "n_tail"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, p = shared.value
-        rows, symbols_of, held = [], [], 0
+        def scored() -> pa.RecordBatch:
+            model = gru.score(shared.value, symbols_of) / math.log(10)
+            return pa.RecordBatch.from_arrays([*pa.concat_batches(parts).columns, pa.array(model)], names=[*plain, "model"])
+
+        parts, symbols_of, held = [], [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                for row, doc_id, is_training, text in zip(*(c[at : at + 256].to_pylist() for c in batch.columns), strict=True):
-                    words = words_of(text)
-                    index = v.encoded(words)
-                    own = v.symbols(index)
-                    logs = v.log_counts[index]
-                    other = own[:-1] == v.other
-                    tail = [words[i] for i in np.flatnonzero(index < 0)]
-                    rows.append((row, doc_id, not is_training, len(words) + 1, float(logs.sum()) + v.end_log_count, float(logs[other].sum()), int(other.sum()), tail))
-                    symbols_of.append(own)
-                    held += len(own)
+                some = batch.slice(at, 256)
+                symbols_of += [np.frombuffer(x, np.uint16) for x in some.column(len(plain)).to_pylist()]
+                parts.append(some.select(plain))
+                held += sum(map(len, symbols_of[-some.num_rows :]))
                 if held > HELD_TOKENS:
-                    yield flushed(rows, symbols_of, v, p)
-                    rows, symbols_of, held = [], [], 0
-        if rows:
-            yield flushed(rows, symbols_of, v, p)
-
-    names = ["row", "doc_id", "held_out", "n_tokens", "logs", "other_logs", "n_other", "model", "tail"]
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, logs double, other_logs double, n_other long, model double, tail array<binary>"
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "training", "text")
-    scored = written(numbered.mapInArrow(run, schema), "lm-scored")
+                    yield scored()
+                    parts, symbols_of, held = [], [], 0
+        if parts:
+            yield scored()
+
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, logs double, other_logs double, n_other long, n_tail int, model double"
+    every = texts.withColumn("n_tail", F.size("tail")).select(*plain, "symbols").mapInArrow(run, schema)
     rare = counts.filter(F.expr(LEVEL) < vocabulary.level)
-    tail = scored.select("row", F.explode("tail").alias("word")).join(rare, "word").groupBy("row").agg(F.sum(F.log10(F.col("n") + F.lit(1.0))).alias("tail_logs"), F.count(F.lit(1)).alias("tail_known"))
-    every = scored.withColumn("n_tail", F.size("tail")).drop("tail")
+    tail = texts.select("row", F.explode("tail").alias("word")).join(rare, "word").groupBy("row").agg(F.sum(F.log10(F.col("n") + F.lit(1.0))).alias("tail_logs"), F.count(F.lit(1)).alias("tail_known"))
     out = every.join(tail, "row", "left").withColumn("tail_logs", F.coalesce("tail_logs", F.lit(0.0)))
     n, v = vocabulary.train_tokens, vocabulary.distinct
     known = F.col("n_tokens") - F.col("n_tail") - (0 if n else 1) + F.coalesce("tail_known", F.lit(0))
