@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparquill.storage import written
+from sparquill.storage import passing, written
 
 LOCAL_EDGES = 500_000
 
@@ -64,19 +64,20 @@ def _relabelled(labels: DataFrame | None, picked: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """``node`` and ``component`` (least node reachable) of every node of ``edges(a, b)``; loops and nulls are ignored."""
-    edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges")
-    labels: DataFrame | None = None
-    seed = 0
-    while edges.count() > local_edges:
-        seed += 1
-        picked = written(_picked(edges, seed), "picked")
-        labels = written(_relabelled(labels, picked), "labels")
-        left, right = picked.toDF("a", "to_a"), picked.toDF("b", "to_b")
-        moved = edges.join(left, "a").join(right, "b").filter("to_a <> to_b")
-        edges = written(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(), "edges")
-    last = _solved(edges)
-    if labels is None:
-        return last.select("node", F.col("to").alias("component"))
-    labels = written(_relabelled(labels, last), "labels")
-    least = labels.groupBy("label").agg(F.min("node").alias("component"))
-    return labels.join(least, "label").select("node", "component")
+    with passing(edges.sparkSession) as keep:
+        edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges")
+        labels: DataFrame | None = None
+        seed = 0
+        while edges.count() > local_edges:
+            seed += 1
+            picked = written(_picked(edges, seed), "picked")
+            labels = written(_relabelled(labels, picked), "labels")
+            left, right = picked.toDF("a", "to_a"), picked.toDF("b", "to_b")
+            moved = edges.join(left, "a").join(right, "b").filter("to_a <> to_b")
+            edges = written(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(), "edges")
+        last = _solved(edges)
+        if labels is None:
+            return keep(written(last.select("node", F.col("to").alias("component")), "components"))
+        labels = written(_relabelled(labels, last), "labels")
+        least = labels.groupBy("label").agg(F.min("node").alias("component"))
+        return keep(written(labels.join(least, "label").select("node", "component"), "components"))

@@ -9,12 +9,15 @@ substrings that the bounds allow. Pairs that meet are thinned by letter counts i
 distance. Linked lines form classes; of a class the first line, by document id and line number,
 stays and all others are dropped.
 
-Lines are compared without leading and trailing ASCII white space. Lines under ``NEAR_MIN``
-characters are compared for equality only: two edits would make any short lines alike. Equality is
-that of a 64-bit hash of the line.
+Lines are compared without leading and trailing ASCII white space. How many edits link two lines
+follows from the shorter one: one for each ``per_edit`` characters, ``edits`` at most, so a line
+under ``per_edit`` characters is linked by equality alone, as an edit would make any such lines alike.
+Equality is that of a 128-bit hash of the line.
 
-Only distinct lines take part in the join, so a line that fills a third of the corpus is one row
-in it; the joins back to occurrences are plain sort-merge joins that adaptive execution can split.
+Only distinct lines take part in the join, so a line that fills a third of the corpus is one row in
+it. What is decided on a line comes back to its occurrences by a join in which frequent lines, those
+that make a ``FREQUENT``-th of all occurrences or more, are broadcast: there are ``FREQUENT`` of them
+at most, and no task gets all rows of one. The same holds for large classes.
 
 Defined results: a null or empty text has no lines; blank lines have no class and are never
 dropped; a null ``doc_id`` sorts after all others; rows with equal id and text get equal decisions;
@@ -35,26 +38,29 @@ from pyspark.sql import functions as F
 
 from sparquill.llm.columns import documents
 from sparquill.llm.components import components
-from sparquill.storage import written
+from sparquill.storage import passing, written
 
 digest = xxhash.xxh3_64_intdigest  # of the UTF-8 form of a text
 
 EDITS = 2
-NEAR_MIN = 24
+PER_EDIT = 12
 ASCII_SPACE = " \t\n\x0b\f\r"
 # Frequent letters whose counts thin out the pairs.
 COUNTED = "etaoinsrhldcumfp"
 LETTER_PLACES = tuple((c, 4 * k) for k, c in enumerate(COUNTED))
 LAST_ID = (1 << 63) - 1
-FILTER_BITS, MERGERS = 25, 4
+FREQUENT = 10_000
+BROADCAST_IDS = 500_000
 
 
-def signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def line_ids(lines: list[str]) -> np.ndarray:
+    """The two halves of the 128-bit hash of each line, one row a line."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, lines)), np.int64).reshape(-1, 2)
 
 
-def line_id(line: str) -> int:
-    return signed(digest(line))
+def allowed(length: int, edits: int, per_edit: int) -> int:
+    """Edits that link a line of ``length`` with another as long or longer."""
+    return min(edits, length // per_edit)
 
 
 def letter_counts(line: str) -> int:
@@ -74,23 +80,24 @@ def segments(length: int, edits: int) -> list[tuple[int, int]]:
 
 
 @lru_cache(8192)
-def index_plan(length: int, edits: int) -> tuple[tuple[int, int, int], ...]:
+def index_plan(length: int, edits: int, per_edit: int) -> tuple[tuple[int, int, int], ...]:
     """Start, end and seed of the segments of a line of ``length``; the seed tells length and segment number."""
-    return tuple((at, at + size, length * 64 + i) for i, (at, size) in enumerate(segments(length, edits)))
+    k = allowed(length, edits, per_edit)
+    return tuple((at, at + size, length * 64 + i) for i, (at, size) in enumerate(segments(length, k))) if k else ()
 
 
 @lru_cache(8192)
-def probe_plan(n: int, edits: int, least: int) -> tuple[tuple[tuple[int, int, int], ...], np.ndarray]:
+def probe_plan(n: int, edits: int, per_edit: int) -> tuple[tuple[tuple[int, int, int], ...], np.ndarray]:
     """Start, end and seed of the substrings under which lines in reach of one of length ``n`` may be indexed, and which of them look for lines as long.
 
     Lines in reach are as long or shorter; the bounds on a substring's place are the multi-match-aware ones.
     """
     spans, level = [], []
-    for length in range(max(least, n - edits), n + 1):
-        shift = n - length
-        for i, (at, size) in enumerate(segments(length, edits)):
-            low = max(0, at - i, at + shift - (edits - i))
-            high = min(n - size, at + i, at + shift + (edits - i))
+    for length in range(max(0, n - edits), n + 1):
+        shift, k = n - length, allowed(length, edits, per_edit)
+        for i, (at, size) in enumerate(segments(length, k) if k and shift <= k else ()):
+            low = max(0, at - i, at + shift - (k - i))
+            high = min(n - size, at + i, at + shift + (k - i))
             spans += [(start, start + size, length * 64 + i) for start in range(low, high + 1)]
             level += [not shift] * (high + 1 - low)
     return tuple(spans), np.array(level, bool)
@@ -165,58 +172,36 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """``doc_id, row, line, id, chars``: each line with a word."""
+    """``doc_id, row, line, id, id2``: each line with a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                rows = [(d, r, i, line_id(x), len(x)) for d, r, t in zip(*(c.to_pylist() for c in part.columns), strict=True) for i, x in enumerate(_lines(t)) if x]
-                columns = zip(*rows, strict=True) if rows else ((),) * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "row", "line", "id", "chars"])
+                lines = [_lines(t) for t in part.column(2).to_pylist()]
+                number = np.array([i for some in lines for i, x in enumerate(some) if x], np.int32)
+                of = np.repeat(np.arange(len(lines)), [sum(map(bool, some)) for some in lines])
+                ids = line_ids([x for some in lines for x in some if x])
+                own = part.select(["doc_id", "row"]).take(pa.array(of, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(number), pa.array(ids[:, 0]), pa.array(ids[:, 1])], names=["doc_id", "row", "line", "id", "id2"])
 
-    return docs.select("doc_id", "row", "text").mapInArrow(run, "doc_id long, row long, line int, id long, chars long")
+    return docs.select("doc_id", "row", "text").mapInArrow(run, "doc_id long, row long, line int, id long, id2 long")
 
 
-def id_filter(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A bit for each low part that an id of ``ids(id)`` has. Its size is fixed, whatever the number of ids."""
-
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(1 << bits, bool)
-        for batch in batches:
-            own[batch.column(0).to_numpy() & ((1 << bits) - 1)] = True
-        if own.any():
-            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(own).tobytes()])], names=["bits"])
-
-    parts = ids.repartition(MERGERS).mapInArrow(marked, "bits binary").collect()  # MERGERS rows at most
-    out = np.zeros((1 << bits) // 8, np.uint8)
-    for r in parts:
-        out |= np.frombuffer(r.bits, np.uint8)
-    return out
-
-
-def distinct_lines(docs: DataFrame, least: int, only: np.ndarray | None = None) -> DataFrame:
-    """``id, line`` of each distinct line of ``least`` characters or more; repeats within a batch do not leave it.
-
-    ``only`` is an ``id_filter``: lines whose id it surely lacks are left out before the shuffle.
-    """
-    shared = None if only is None else docs.sparkSession.sparkContext.broadcast(only)
+def distinct_lines(docs: DataFrame, least: int) -> DataFrame:
+    """``id, id2, line`` of each distinct line of ``least`` characters or more; repeats within a batch do not leave it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 found = list({x for t in batch.column(0)[at : at + 1024].to_pylist() for x in _lines(t) if len(x) >= least})
-                ids = np.array([digest(x) for x in found], np.uint64).view(np.int64)
-                if shared is not None and len(ids):
-                    low = ids & (8 * len(shared.value) - 1)
-                    hit = np.flatnonzero(shared.value[low >> 3] >> (7 - (low & 7)).astype(np.uint8) & 1)
-                    ids, found = ids[hit], [found[i] for i in hit]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], names=["id", "line"])
+                ids = line_ids(found)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array(found, pa.string())], names=["id", "id2", "line"])
 
-    return docs.select("text").mapInArrow(run, "id long, line string").dropDuplicates(["id"])
+    return docs.select("text").mapInArrow(run, "id long, id2 long, line string").distinct()
 
 
-def entries(lines: DataFrame, edits: int, least: int, probes: bool) -> DataFrame:
+def entries(lines: DataFrame, edits: int, per_edit: int, probes: bool) -> DataFrame:
     """``key, id, letters, level`` for each index or probe entry of each line; ``level`` probes look for lines as long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,16 +211,16 @@ def entries(lines: DataFrame, edits: int, least: int, probes: bool) -> DataFrame
                 if not texts:
                     continue
                 if probes:
-                    plans, levels = zip(*(probe_plan(len(x), edits, least) for x in texts), strict=True)
+                    plans, levels = zip(*(probe_plan(len(x), edits, per_edit) for x in texts), strict=True)
                 else:
-                    plans = [index_plan(len(x), edits) for x in texts]
+                    plans = [index_plan(len(x), edits, per_edit) for x in texts]
                 keys = np.array([key for x, plan in zip(texts, plans, strict=True) for key in keys_of(x, plan)], np.uint64).view(np.int64)
                 letters = np.array([letter_counts(x) for x in texts], np.uint64).view(np.int64)
                 each = np.fromiter(map(len, plans), np.int64, len(plans))
                 level = np.concatenate(levels) if probes else np.zeros(len(keys), bool)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(ids, each)), pa.array(np.repeat(letters, each)), pa.array(level)], names=["key", "id", "letters", "level"])
 
-    return lines.mapInArrow(run, "key long, id long, letters long, level boolean")
+    return lines.select("id", "line").mapInArrow(run, "key long, id long, letters long, level boolean")
 
 
 def letter_distance(a: Column, b: Column) -> Column:
@@ -247,68 +232,75 @@ def letter_distance(a: Column, b: Column) -> Column:
     return total
 
 
-def linked_lines(docs: DataFrame, edits: int = EDITS, least: int = NEAR_MIN) -> DataFrame:
-    """``a < b``: ids of different lines within ``edits``; exact and complete."""
-    lines = distinct_lines(docs, least)
-    index = entries(lines, edits, least, probes=False).select("key", F.col("id").alias("id_a"), F.col("letters").alias("letters_a"))
-    probe = entries(lines, edits, least, probes=True).select("key", F.col("id").alias("id_b"), F.col("letters").alias("letters_b"), "level")
-    # Two lines of equal length find each other both ways; one way is enough.
-    apart = F.when(F.col("level"), F.col("id_a") < F.col("id_b")).otherwise(F.col("id_a") != F.col("id_b"))
-    near = apart & (letter_distance(F.col("letters_a"), F.col("letters_b")) <= 2 * edits)
-    met = index.join(probe, (index["key"] == probe["key"]) & near)
-    pairs = written(met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct(), "line-pairs")
-    wanted = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
-    texts = written(distinct_lines(docs, least, id_filter(wanted)).join(wanted, "id", "left_semi"), "line-texts")
-    both = pairs.join(texts.toDF("a", "line_a"), "a").join(texts.toDF("b", "line_b"), "b").select("a", "b", "line_a", "line_b")
+def linked_lines(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT) -> DataFrame:
+    """``a < b`` with ``a2, b2``: ids of different lines near enough to be linked; exact and complete."""
+    with passing(docs.sparkSession) as keep:
+        lines = written(distinct_lines(docs, per_edit), "lines")
+        index = entries(lines, edits, per_edit, probes=False).select("key", F.col("id").alias("id_a"), F.col("letters").alias("letters_a"))
+        probe = entries(lines, edits, per_edit, probes=True).select("key", F.col("id").alias("id_b"), F.col("letters").alias("letters_b"), "level")
+        # Two lines of equal length find each other both ways; one way is enough.
+        apart = F.when(F.col("level"), F.col("id_a") < F.col("id_b")).otherwise(F.col("id_a") != F.col("id_b"))
+        near = apart & (letter_distance(F.col("letters_a"), F.col("letters_b")) <= 2 * edits)
+        met = index.join(probe, (index["key"] == probe["key"]) & near)
+        pairs = written(met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct(), "line-pairs")
+        wanted = written(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct(), "paired-lines")
+        few = wanted.count() <= BROADCAST_IDS
+        texts = written(lines.join(F.broadcast(wanted) if few else wanted, "id", "left_semi"), "line-texts")
+        both = pairs.join(texts.toDF("a", "a2", "line_a"), "a").join(texts.toDF("b", "b2", "line_b"), "b").select("a", "a2", "b", "b2", "line_a", "line_b")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = pa.array([within(x, y, edits) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                pairs = zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)
+                good = pa.array([within(x, y, allowed(min(len(x), len(y)), edits, per_edit)) for x, y in pairs], pa.bool_())
+                yield pa.RecordBatch.from_arrays([c.filter(good) for c in batch.columns[:4]], names=["a", "a2", "b", "b2"])
 
-    return both.mapInArrow(run, "a long, b long")
+        return keep(written(both.mapInArrow(run, "a long, a2 long, b long, b2 long"), "line-links"))
 
 
-def decisions(docs: DataFrame, edits: int = EDITS, least: int = NEAR_MIN) -> DataFrame:
-    """``row, doc_id, n_lines, n_links, dropped, copy`` for each row of ``keyed`` documents that has a line; ``dropped`` are line numbers from 0.
+def joined_by_frequency(left: DataFrame, right: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
+    """``left`` with the columns of ``right`` (one row a key, ``n`` of them in ``left``, of ``total`` rows) or nulls.
 
-    ``n_links`` sums, over the document's lines, the other distinct lines each is linked with. ``copy``
-    says that one earlier document holds the first line of so many classes that this one looks
-    copied from it: half of its characters, or two lines with a tenth of them.
+    Keys with a ``FREQUENT``-th of the rows or more are broadcast, so no task gets all rows of one.
     """
-    links = written(linked_lines(docs, edits, least), "line-links")
-    degree = links.select(F.col("a").alias("id")).unionAll(links.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
-    classes = degree.join(components(links).withColumnRenamed("node", "id"), "id")
-    every = written(occurrences(docs).distinct(), "line-occurrences")
-    classed = every.join(classes, "id", "left").select("doc_id", "row", "line", "chars", F.coalesce("component", "id").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
-    place = F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("d"), "row", "line")
-    repeated = classed.groupBy("class").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("class", "first")
-    placed = classed.join(repeated, "class", "left")
-    late = F.col("first").isNotNull() & (place != F.col("first"))
-    placed = placed.withColumn("from", F.when(late & (F.col("first.row") != F.col("row")), F.col("first.row"))).withColumn("late", F.when(late, F.col("line")))
-    # collect_list passes over nulls: only the numbers of dropped lines are gathered, at most one document's.
-    by_source = placed.groupBy("row", "doc_id", "from").agg(F.count(F.lit(1)).alias("lines"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.collect_list("late").alias("late"))
-    other = F.col("from").isNotNull()
-    return (
-        by_source.groupBy("row", "doc_id")
-        .agg(
-            F.sum("lines").alias("n_lines"),
-            F.sum("links").alias("n_links"),
-            F.sort_array(F.flatten(F.collect_list("late"))).alias("dropped"),
-            F.sum("chars").alias("chars"),
-            F.max(F.when(other, F.col("chars"))).alias("most"),
-            F.max(F.when(other & (F.col("lines") > 1), F.col("chars"))).alias("most_of_two"),
+    is_frequent = F.col(n) * FREQUENT >= total
+    frequent = F.broadcast(right.filter(is_frequent))  # FREQUENT rows at most
+    others = left.join(frequent.select(*on), on, "left_anti").join(right.filter(~is_frequent), on, "left")
+    return others.unionByName(left.join(frequent, on))
+
+
+def decisions(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT) -> DataFrame:
+    """``row, doc_id, n_lines, n_links, dropped`` for each row of ``keyed`` documents that has a line; ``dropped`` are line numbers from 0.
+
+    ``n_links`` sums, over the document's lines, the other distinct lines each is linked with.
+    """
+    line = ["id", "id2"]
+    with passing(docs.sparkSession) as keep:
+        links = linked_lines(docs, edits, per_edit)
+        degree = links.select(F.col("a").alias("id"), F.col("a2").alias("id2")).unionAll(links.select("b", "b2")).groupBy(*line).agg(F.count(F.lit(1)).alias("links"))
+        linked = degree.join(components(links).withColumnRenamed("node", "id"), "id")
+        every = written(occurrences(docs).distinct(), "line-occurrences")
+        place = F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("d"), "row", "line")
+        by_line = every.groupBy(*line).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+        classed = written(by_line.join(linked, line, "left"), "line-classes")
+        near = classed.filter("component IS NOT NULL")
+        of_class = near.groupBy("component").agg(F.min("first").alias("class_first"), F.count(F.lit(1)).alias("members"))
+        placed = joined_by_frequency(near, of_class, ["component"], "members", near.count()).select(*line, "n", "links", F.col("class_first").alias("first"))
+        alone = classed.filter("component IS NULL AND n > 1").select(*line, "n", F.lit(0).cast("long").alias("links"), "first")
+        fate = written(placed.unionByName(alone), "line-fates")
+        found = joined_by_frequency(every, fate, line, "n", every.count())
+        late = F.when(F.col("first").isNotNull() & (place != F.col("first")), F.col("line"))
+        # collect_list passes over nulls: only the numbers of dropped lines are gathered, at most one document's.
+        by_row = found.withColumn("late", late).groupBy("row", "doc_id").agg(
+            F.count(F.lit(1)).alias("n_lines"), F.sum(F.coalesce("links", F.lit(0))).alias("n_links"), F.sort_array(F.collect_list("late")).alias("dropped")
         )
-        .withColumn("copy", F.coalesce(2 * F.col("most") >= F.col("chars"), F.lit(False)) | F.coalesce(10 * F.col("most_of_two") >= F.col("chars"), F.lit(False)))
-        .drop("chars", "most", "most_of_two")
-    )
+        return keep(written(by_row, "line-decisions"))
 
 
-def line_dedup(docs: DataFrame, edits: int = EDITS, least: int = NEAR_MIN) -> DataFrame:
+def line_dedup(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT) -> DataFrame:
     """``doc_id, n_lines, n_dropped, n_links, dropped`` of every row of ``docs``."""
     rows = keyed(documents(docs))
-    found = written(decisions(rows, edits, least), "line-decisions")
-    out = rows.select("doc_id", "row").join(found.drop("doc_id"), "row", "left")
+    found = decisions(rows, edits, per_edit).withColumnRenamed("doc_id", "own_id")
+    out = rows.select("doc_id", "row").join(found, (rows["row"] == found["row"]) & rows["doc_id"].eqNullSafe(found["own_id"]), "left")
     return out.select(
         "doc_id",
         F.coalesce("n_lines", F.lit(0)).alias("n_lines"),
@@ -318,17 +310,12 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, least: int = NEAR_MIN) -> Da
     )
 
 
-def without_repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = NEAR_MIN, spare_copies: bool = False) -> DataFrame:
-    """All rows and columns of ``docs``, with ``text`` cut to the lines that stay and its number of dropped lines in ``n_dropped``.
-
-    ``spare_copies`` leaves whole the documents that look copied from one other, for a later stage
-    that compares whole documents: cut to the lines that differ they would be unlike their source.
-    """
-    rows = keyed(documents(docs))
-    found = decisions(rows, edits, least).filter(F.size("dropped") > 0)
-    found = (found.filter(~F.col("copy")) if spare_copies else found).select(F.col("row").alias("__row"), F.col("dropped").alias("__dropped"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    joined = docs.join(found, F.xxhash64(docs["doc_id"].cast("long"), text) == F.col("__row"), "left")
+def without_repeated_lines(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT) -> DataFrame:
+    """All rows and columns of ``docs``, with ``text`` cut to the lines that stay; ``n_dropped``, a new or replaced column, is the number of those dropped."""
+    found = decisions(keyed(documents(docs)), edits, per_edit).filter(F.size("dropped") > 0)
+    found = found.select(F.col("row").alias("__row"), F.col("doc_id").alias("__id"), F.col("dropped").alias("__dropped"))
+    text, own_id = F.coalesce(F.col("text"), F.lit("")), docs["doc_id"].cast("long")
+    joined = docs.join(found, (F.xxhash64(own_id, text) == F.col("__row")) & own_id.eqNullSafe(F.col("__id")), "left")
     lines = F.split(text, "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__dropped"))
     cut = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
