@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparquill.llm import gru
-from sparquill.storage import written
+from sparquill.storage import passing, written
 
 HOT = 50_000
 SYMBOLS, CLASSES, HIDDEN = 1024, 32, 16
@@ -220,9 +220,10 @@ def scores(docs: DataFrame, training: Column, hot: int = HOT, symbols: int = SYM
     weights = gru.initial(vocabulary.n_symbols, vocabulary.classes, hidden, vocabulary.symbol_counts)
     if vocabulary.train_tokens:
         replicas = -(-vocabulary.train_tokens // replica_tokens)
-        training_texts = written(dealt(texts, replicas), "lm-training")
-        for low, high in rounds(replicas):
-            weights = trained(training_texts.filter((F.col("replica") >= low) & (F.col("replica") < high)), weights, high - low)
+        with passing(docs.sparkSession):
+            training_texts = written(dealt(texts, replicas), "lm-training")
+            for low, high in rounds(replicas):
+                weights = trained(training_texts.filter((F.col("replica") >= low) & (F.col("replica") < high)), weights, high - low)
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # of parameter size
     plain = ["row", "doc_id", "held_out", "n_tokens", "logs", "other_logs", "n_other", "n_tail"]
 
