@@ -10,15 +10,18 @@ candidates are confirmed by exact containment of the item's shingles, words comp
 
 At 80 percent and 16 probes a contained item is missed with probability 0.2**16, under 1e-11.
 
-The sketches and items are broadcast in blocks of at most ``block_items`` items, a block at a time
-over all documents, so what is broadcast has a bound whatever the benchmark's size.
+An item with fewer words than a shingle is one shingle, its whole sequence of words, and is contained
+where that sequence occurs.
+
+The sketches and items are broadcast in blocks of at most ``block_items`` items. Of several blocks
+one is in flight at a time: its finds are written before the next is collected, so driver, broadcast
+and tasks hold one block, whatever the benchmark's size.
 
 Words are split at ASCII white space, A-Z taken as lower case and ASCII punctuation left out.
 
-Defined results: null or blank texts and items, and items with fewer words than a shingle, match
-nothing; repeated rows of an item id or of a document give one result row each with the row they
-belong to; a null ``doc_id`` or ``item_id`` is carried as null; whole texts are searched; extra
-columns are ignored.
+Defined results: null or blank texts and items match nothing; repeated rows of an item id or of a
+document give one result row each with the row they belong to; a null ``doc_id`` or ``item_id`` is
+carried as null; whole texts are searched; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ from pyspark.sql import functions as F
 
 from sparquill.llm import hashing
 from sparquill.llm.columns import documents
+from sparquill.storage import written
 
 SHINGLE, PERCENT, PROBES = 5, 80, 16
 BLOCK_ITEMS = 20_000
@@ -53,24 +57,39 @@ def exact_shingles(text: bytes, n: int) -> set[bytes]:
 
 
 def sketches(items: list[tuple[int | None, str]], n: int, probes: int) -> dict:
-    """Sorted sketched hashes with the item of each; the items' exact shingles, ids and size partitions."""
+    """For each shingle length its sorted sketched hashes with the item of each; the items' ids, lengths, exact shingles and size partitions."""
     rng = np.random.default_rng(SEED)
     a = (rng.integers(0, 1 << 63, probes, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[:, None]
     b = rng.integers(0, 1 << 63, probes, dtype=np.uint64)[:, None]
-    hashes, owners, exact = [], [], []
+    exact, lengths, found = [], [], {}
     for i, (_, text) in enumerate(items):
         text = plain(text)
-        exact.append(exact_shingles(text, n))
+        lengths.append(min(n, len(text.split())))
+        exact.append(exact_shingles(text, lengths[-1]) if lengths[-1] else set())
         if exact[-1]:
             s = hashing.distinct_shingles(text, n)
             least = np.unique(s[hashing.mix(a * s + b).argmin(axis=1)])
-            hashes.append(least)
-            owners.append(np.full(len(least), i))
-    hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    owners = np.concatenate(owners) if owners else np.zeros(0, np.int64)
-    order = np.argsort(hashes, kind="stable")
+            found.setdefault(lengths[-1], []).append((least, np.full(len(least), i)))
+    tables = {}
+    for length, parts in found.items():
+        hashes, owners = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.argsort(hashes, kind="stable")
+        tables[length] = hashes[order], owners[order]
     sizes = np.array([len(e) for e in exact] or [0])
-    return {"hashes": hashes[order], "owners": owners[order], "exact": exact, "ids": [i for i, _ in items], "partition": np.floor(np.log2(np.maximum(sizes, 1))).astype(int)}
+    return {"tables": tables, "lengths": lengths, "exact": exact, "ids": [i for i, _ in items], "partition": np.floor(np.log2(np.maximum(sizes, 1))).astype(int)}
+
+
+def _looked_up(grams: np.ndarray, offsets: np.ndarray, table: tuple, bits: np.ndarray, candidates: dict[int, set[int]]) -> None:
+    """Adds the items any of whose sketched hashes is among ``grams`` to the candidates of the text that has it."""
+    sketched, owners = table
+    maybe = np.flatnonzero(bits[(grams & np.uint64(0xFFFFF)).astype(np.int64)])
+    place = np.searchsorted(sketched, grams[maybe])
+    hit = (place < len(sketched)) & (sketched[np.minimum(place, len(sketched) - 1)] == grams[maybe])
+    for where, p in zip(np.searchsorted(offsets, maybe[hit], side="right") - 1, place[hit], strict=True):
+        q = p
+        while q < len(sketched) and sketched[q] == sketched[p]:
+            candidates.setdefault(int(where), set()).add(int(owners[q]))
+            q += 1
 
 
 def _block(docs: DataFrame, items: DataFrame, n: int, percent: int, probes: int) -> DataFrame:
@@ -79,10 +98,10 @@ def _block(docs: DataFrame, items: DataFrame, n: int, percent: int, probes: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        sketched, owners = m["hashes"], m["owners"]
         # A bit for each possible low part of a sketched hash turns most shingles away before the sorted search.
-        bits = np.zeros(1 << 20, bool)
-        bits[(sketched & np.uint64(0xFFFFF)).astype(np.int64)] = True
+        bits = {length: np.zeros(1 << 20, bool) for length in m["tables"]}
+        for length, (sketched, _) in m["tables"].items():
+            bits[length][(sketched & np.uint64(0xFFFFF)).astype(np.int64)] = True
         least_size = np.ceil(percent / 100 * 2.0 ** m["partition"])  # of a document, for each item
         for batch in batches:
             out: list[tuple[int | None, int | None, int, int]] = []
@@ -91,25 +110,19 @@ def _block(docs: DataFrame, items: DataFrame, n: int, percent: int, probes: int)
                 texts = [plain(t) for t in batch.column(1)[at : at + 512].to_pylist()]
                 for first, some in hashing.slices(texts):
                     words, offsets = hashing.word_hashes(some)
-                    if len(words) < n or not len(sketched):
-                        continue
-                    grams = hashing.shingle_hashes(words, n)  # those across two texts are confirmed away below
-                    maybe = np.flatnonzero(bits[(grams & np.uint64(0xFFFFF)).astype(np.int64)])
-                    place = np.searchsorted(sketched, grams[maybe])
-                    hit = (place < len(sketched)) & (sketched[np.minimum(place, len(sketched) - 1)] == grams[maybe])
                     candidates: dict[int, set[int]] = {}
-                    for where, p in zip(np.searchsorted(offsets, maybe[hit], side="right") - 1, place[hit], strict=True):
-                        q = p
-                        while q < len(sketched) and sketched[q] == sketched[p]:
-                            candidates.setdefault(int(where), set()).add(int(owners[q]))
-                            q += 1
+                    for length, table in m["tables"].items():
+                        if len(words) >= length:  # shingles across two texts are confirmed away below
+                            _looked_up(hashing.shingle_hashes(words, length), offsets, table, bits[length], candidates)
                     for where, whose in sorted(candidates.items()):
-                        own = None
+                        own: dict[int, set[bytes]] = {}
                         for i in sorted(whose):
-                            if offsets[where + 1] - offsets[where] - n + 1 < least_size[i]:
+                            length = m["lengths"][i]
+                            if offsets[where + 1] - offsets[where] - length + 1 < least_size[i]:
                                 continue
-                            own = exact_shingles(some[where], n) if own is None else own
-                            shared_n, size = len(own & m["exact"][i]), len(m["exact"][i])
+                            if length not in own:
+                                own[length] = exact_shingles(some[where], length)
+                            shared_n, size = len(own[length] & m["exact"][i]), len(m["exact"][i])
                             if 100 * shared_n >= percent * size:
                                 out.append((ids[first + where], m["ids"][i], shared_n, size))
             columns = zip(*out, strict=True) if out else ((), (), (), ())
@@ -124,7 +137,9 @@ def contained(docs: DataFrame, items: DataFrame, n: int = SHINGLE, percent: int
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     blocks = max(1, -(-items.count() // block_items))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    return reduce(DataFrame.unionAll, [_block(docs, items.filter(block == i), n, percent, probes) for i in range(blocks)])
+    if blocks == 1:
+        return _block(docs, items, n, percent, probes)
+    return reduce(DataFrame.unionAll, [written(_block(docs, items.filter(block == i), n, percent, probes), "contained") for i in range(blocks)])
 
 
 def oracle(n: int = SHINGLE, percent: int = PERCENT) -> str:
@@ -132,13 +147,13 @@ def oracle(n: int = SHINGLE, percent: int = PERCENT) -> str:
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     marks = PUNCTUATION.replace("'", "''")
 
-    def sets(table: str, key: str) -> str:
-        words = f"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{upper}{marks}', '{lower}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
-        return f"SELECT {key}, CASE WHEN len(w) < {n} THEN [] ELSE list_distinct(list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n - 1}], ' '))) END AS s FROM (SELECT {key}, {words} AS w FROM {table})"
-
+    words = f"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{upper}{marks}', '{lower}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
     return f"""
-WITH d AS (SELECT doc_id, unnest(s) AS g FROM ({sets("documents", "doc_id")})),
-i AS (SELECT item_id, len(s) AS n_item, unnest(s) AS g FROM ({sets("benchmark", "item_id")}))
-SELECT doc_id, item_id, count(*) AS n_shared, n_item FROM d JOIN i USING (g)
+WITH docs AS (SELECT doc_id, {words} AS w FROM documents), items AS (SELECT item_id, {words} AS w FROM benchmark),
+lengths AS (SELECT DISTINCT least({n}, len(w)) AS m FROM items WHERE len(w) > 0),
+d AS (SELECT doc_id, m, unnest(list_distinct(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' ')))) AS g FROM docs, lengths WHERE len(w) >= m),
+sets AS (SELECT item_id, least({n}, len(w)) AS m, list_distinct(list_transform(range(1, len(w) - least({n}, len(w)) + 2), lambda i: array_to_string(w[i:i + least({n}, len(w)) - 1], ' '))) AS s FROM items WHERE len(w) > 0),
+i AS (SELECT item_id, m, len(s) AS n_item, unnest(s) AS g FROM sets)
+SELECT doc_id, item_id, count(*) AS n_shared, n_item FROM d JOIN i USING (m, g)
 GROUP BY doc_id, item_id, n_item HAVING 100 * count(*) >= {percent} * n_item
 """
