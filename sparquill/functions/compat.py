@@ -266,11 +266,11 @@ class _Text:
 
 
 def compat_tokens(text: str, stop: frozenset[str] = frozenset()) -> list[str]:
-    """Terms of one text, which starts with the space that documents have."""
+    """Terms of one text; documents start with a space, queries do not."""
     return _Text(text, stop).run()
 
 
-def compat_terms(text: Column, stop_words: tuple[str, ...] = ()) -> Column:
+def compat_terms(text: Column, stop_words: tuple[str, ...] = (), leading: bool = True) -> Column:
     """Array of compat terms of a text column; line ends count as spaces, as lines are joined by them."""
     stop = frozenset(stop_words)
 
@@ -278,4 +278,4 @@ def compat_terms(text: Column, stop_words: tuple[str, ...] = ()) -> Column:
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: compat_tokens(t, stop))
 
-    return run(F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\r\n]+", " ")))
+    return run(F.concat(F.lit(" " if leading else ""), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\r\n]+", " ")))

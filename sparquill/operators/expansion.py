@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparquill.functions.porter import stem_udf
 from sparquill.operators import ranking
-from sparquill.operators.index import STOP_WORDS, Index, terms
+from sparquill.operators.index import STOP_WORDS, Index, terms, vocabulary_ranks
 
 # Least similarity of neighbours, and the weight of important words.
 LEAST_JACCARD = 0.71
@@ -29,9 +29,10 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def parsed(queries: DataFrame, mode: str = "words", stop_words: tuple[str, ...] = STOP_WORDS, stem: bool = False) -> DataFrame:
     """``query_id, qpos, term`` of ``queries(query_id, text)``: tokenised as documents are, each term once, in order."""
-    tok = terms(queries.select("query_id", "text"), mode, stop_words).select("query_id", F.posexplode("terms").alias("qpos", "term"))
+    tok = terms(queries.select("query_id", "text"), mode, () if stem else stop_words, leading=False).select("query_id", F.posexplode("terms").alias("qpos", "term"))
     if stem:
         tok = tok.withColumn("term", F.when(F.col("term").rlike("^[a-z]+$"), stem_udf("term")).otherwise(F.col("term")))
+        tok = tok.filter(~F.col("term").isin(*stop_words)) if stop_words else tok
     first = tok.groupBy("query_id", "term").agg(F.min("qpos").alias("qpos"))
     w = Window.partitionBy("query_id").orderBy("qpos")
     return first.select("query_id", (F.row_number().over(w) - 1).alias("qpos"), "term")
@@ -42,24 +43,12 @@ def important(query_terms: DataFrame, thesaurus: DataFrame) -> DataFrame:
     return query_terms.join(thesaurus.select("term").distinct(), "term", "left_anti")
 
 
-def vocabulary_ranks(dictionary: DataFrame, partitions: int | None = None) -> DataFrame:
-    """``term, place``: dense positions from 0 in term order, without a window over all rows.
+def neighbours(query_terms: DataFrame, dictionary: DataFrame, reach: int = NEIGHBOURS, least: float = LEAST_JACCARD) -> DataFrame:
+    """``term, candidate, step``: vocabulary terms up to ``reach`` places away, similar in spelling. A term outside the vocabulary has none.
 
-    The vocabulary is ranged into partitions and numbered inside each; the partitions' sizes (one row
-    each) give the offsets.
+    A written dictionary has the places; others are ranked first.
     """
-    spark = dictionary.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = dictionary.select("term").repartitionByRange(n, "term").withColumn("part", F.spark_partition_id())
-    inside = ranged.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("term"))).persist()
-    sizes = inside.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    offsets = sizes.withColumn("offset", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    return inside.join(F.broadcast(offsets), "part").select("term", (F.coalesce("offset", F.lit(0)) + F.col("k") - 1).alias("place"))
-
-
-def neighbours(query_terms: DataFrame, dictionary: DataFrame, reach: int = NEIGHBOURS, least: float = LEAST_JACCARD) -> DataFrame:
-    """``term, candidate, step``: vocabulary terms up to ``reach`` places away, similar in spelling. A term outside the vocabulary has none."""
-    ranks = vocabulary_ranks(dictionary).persist()
+    ranks = (dictionary if "place" in dictionary.columns else vocabulary_ranks(dictionary)).select("term", "place")
     own = query_terms.select("term").distinct().join(ranks, "term")
     steps = F.array(*(F.lit(k) for k in range(-reach, reach + 1) if k))
     wanted = own.select("term", "place", F.explode(steps).alias("step")).select("term", "step", (F.col("place") + F.col("step")).alias("place"))

@@ -7,14 +7,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparquill.functions import tokenize
 from sparquill.functions.compat import compat_terms
-from sparquill.functions.porter import stemmed
-from sparquill.storage import new_path
+from sparquill.functions.porter import stem_udf, stemmed
+from sparquill.storage import new_path, passing, written
 
 STOP_WORDS = ("a", "and", "for", "in", "is", "it", "of", "on", "that", "the", "to")
 MODES = ("words", "clean", "compat")
@@ -22,14 +22,17 @@ MODES = ("words", "clean", "compat")
 LITERAL_WORDS = 1000
 
 
-def terms(docs: DataFrame, mode: str = "words", stop_words: tuple[str, ...] = STOP_WORDS, text: str = "text") -> DataFrame:
-    """``docs`` with ``terms``, the array of emitted terms in order. ``compat`` keeps every quirk of the original rules."""
+def terms(docs: DataFrame, mode: str = "words", stop_words: tuple[str, ...] = STOP_WORDS, text: str = "text", leading: bool = True) -> DataFrame:
+    """``docs`` with ``terms``, the array of emitted terms in order.
+
+    ``compat`` keeps every quirk of the original rules; there documents have a ``leading`` space, queries have none.
+    """
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
     if len(stop_words) > LITERAL_WORDS:
         raise ValueError("a stop list this long is given as a table: without_stop_words")
     if mode == "compat":
-        return docs.withColumn("terms", compat_terms(F.col(text), stop_words))
+        return docs.withColumn("terms", compat_terms(F.col(text), stop_words, leading))
     made = F.expr(getattr(tokenize, "words" if mode == "words" else "terms")(text))
     return docs.withColumn("terms", F.filter(made, lambda t: ~t.isin(*stop_words)) if stop_words else made)
 
@@ -79,24 +82,51 @@ def doc_norms(postings: DataFrame, dictionary: DataFrame, doc_stats: DataFrame)
     return weighed.groupBy("doc_id").agg(F.bround(F.sqrt(F.sum(x * x)), 4).alias("doc_norm"))
 
 
-def bigrams(termed: DataFrame, skip_last: bool = False) -> DataFrame:
+def bigrams(termed: DataFrame, skip_last: bool = False, stem: bool = False) -> DataFrame:
     """``term, next_term, cnt``. Pairs are cut from each row's array, so nothing is shuffled to find neighbours.
 
-    ``skip_last`` leaves out each document's last pair, as the original did.
+    ``skip_last`` leaves out each document's last pair, as the original did. With ``stem`` the first
+    term of a pair is its stem and the next one stays as it is.
     """
     followers = F.slice("terms", 2, F.greatest(F.size("terms") - (2 if skip_last else 1), F.lit(0)))
     pairs = F.zip_with(F.slice("terms", 1, F.size(followers)), followers, lambda a, b: F.struct(a.alias("term"), b.alias("next_term")))
-    return termed.select(F.explode(pairs).alias("p")).groupBy("p.term", "p.next_term").agg(F.count(F.lit(1)).alias("cnt"))
+    out = termed.select(F.explode(pairs).alias("p")).groupBy("p.term", "p.next_term").agg(F.count(F.lit(1)).alias("cnt"))
+    if not stem:
+        return out
+    key = F.when(F.col("term").rlike("^[a-z]+$"), stem_udf("term")).otherwise(F.col("term"))
+    return out.select(key.alias("term"), "next_term", "cnt").groupBy("term", "next_term").agg(F.sum("cnt").alias("cnt"))
 
 
 def top_next(bigrams: DataFrame, k: int = 5) -> DataFrame:
     """``term, rank, next_term, cnt``: the k most frequent successors of each term, ties by term."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("term").orderBy(F.desc("cnt"), "next_term")
     return bigrams.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("term", "rank", "next_term", "cnt")
 
 
+def vocabulary_ranks(dictionary: DataFrame, partitions: int | None = None) -> DataFrame:
+    """The rows of ``dictionary`` with ``place``: dense positions from 0 in term order, without a window over all rows.
+
+    The vocabulary is ranged into sorted partitions and numbered inside each as it is written; the
+    partitions' sizes (one row each) give the offsets.
+    """
+    spark = dictionary.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = dictionary.repartitionByRange(n, "term").sortWithinPartitions("term")
+    inside = written(ranged.withColumn("part", F.spark_partition_id()).withColumn("k", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "ranks")
+    sizes = inside.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    offsets = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+    return inside.join(F.broadcast(offsets), "part").select(*dictionary.columns, (F.col("offset") + F.col("k")).alias("place"))
+
+
+def display(dictionary: DataFrame) -> DataFrame:
+    """``value``: the dictionary as lines in display order, each letter's entries, sorted, under one heading; other terms come first."""
+    rows = listing(dictionary).withColumn("letter", shard(F.col("term")))
+    lines = rows.select("letter", F.lit(1).alias("kind"), "term", F.col("entry").alias("value")).unionByName(
+        rows.select("letter", F.lit(0).alias("kind"), F.lit("").alias("term"), F.col("heading").alias("value")).distinct()
+    )
+    return lines.orderBy("letter", "kind", "term").select("value")
+
+
 def listing(dictionary: DataFrame) -> DataFrame:
     """``heading, entry``, for display in term order: the first letter (``Numbers and Symbols`` for all else) and ``term : cf``."""
     letter = shard(F.col("term"))
@@ -108,20 +138,22 @@ class Index:
     """A written index; queries only read it."""
 
     postings: DataFrame
-    dictionary: DataFrame
+    dictionary: DataFrame  # term, df, cf, idf, place
+    next_words: DataFrame  # term, rank, next_term, cnt
     docs: DataFrame  # doc_id, n_terms, n_distinct, max_tf, doc_norm, lang, header
     n_docs: int
     avg_dl: int
     mode: str
     stem: bool
 
-    TABLES = ("postings", "dictionary", "docs")
+    TABLES = ("postings", "dictionary", "next_words", "docs")
 
     @classmethod
     def build(cls, docs: DataFrame, path: str | None = None, mode: str = "words", stop_words: tuple[str, ...] = STOP_WORDS, stem: bool = False) -> Index:
         """Tokenises ``docs(doc_id, text[, lang, header])`` once, writes all tables under ``path``, and opens them.
 
         Of rows that share a ``doc_id`` one counts, the first by text; rows with a null ``doc_id`` or text have no terms and rows with a null ``doc_id`` are left out.
+        With ``stem`` a term is a stop word if its stem is one.
         """
         spark = docs.sparkSession
         path = path or new_path(spark, "index")
@@ -130,16 +162,22 @@ class Index:
         # Only ids are shuffled to see whether any repeats; texts are only where one does.
         if not one.groupBy("doc_id").count().filter("count > 1").isEmpty():
             one = one.groupBy("doc_id").agg(F.min(F.struct("text", *extra)).alias("d")).select("doc_id", "d.*")
-        toks = tokens(terms(one, mode, stop_words))
-        if stem:
-            toks = stemmed(toks)
-        # Ranged by term and sorted: a query's terms are found by the row groups' statistics, without skewed letter shards.
-        postings(toks).repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-        posts = spark.read.parquet(f"{path}/postings")
-        stats = doc_stats(posts, one)
-        n_docs = one.select("doc_id").count()
-        dictionary(posts, n_docs).write.mode("overwrite").parquet(f"{path}/dictionary")
-        dic = spark.read.parquet(f"{path}/dictionary")
+        with passing(spark):
+            # Tokenised once, for postings and next words.
+            termed = written(terms(one, mode, () if stem else stop_words).select("doc_id", "terms"), "terms")
+            toks = tokens(termed)
+            if stem:
+                kept = stemmed(toks).filter(~F.col("term").isin(*stop_words)) if stop_words else stemmed(toks)
+                toks = kept.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1)
+            # Ranged and sorted: a query's terms are found by the row groups' statistics, and a frequent term spreads over files.
+            postings(toks).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+            posts = spark.read.parquet(f"{path}/postings")
+            stats = doc_stats(posts, one)
+            n_docs = one.select("doc_id").count()
+            vocabulary_ranks(dictionary(posts, n_docs)).write.mode("overwrite").parquet(f"{path}/dictionary")
+            dic = spark.read.parquet(f"{path}/dictionary")
+            said = termed.withColumn("terms", F.filter("terms", lambda t: ~t.isin(*stop_words))) if stem and stop_words else termed
+            top_next(bigrams(said, stem=stem)).repartitionByRange("term").sortWithinPartitions("term", "rank").write.mode("overwrite").parquet(f"{path}/next_words")
         names = [F.lit(None).cast("string").alias(c) if c not in extra else F.col(c) for c in ("lang", "header")]
         full = stats.join(doc_norms(posts, dic, stats), "doc_id", "left").join(one.select("doc_id", *names), "doc_id")
         full.withColumn("doc_norm", F.coalesce("doc_norm", F.lit(0.0))).write.mode("overwrite").parquet(f"{path}/docs")
@@ -150,6 +188,6 @@ class Index:
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Index:
         """Opens a written index; fails if a table is missing."""
-        posts, dic, docs, meta = (spark.read.parquet(f"{path}/{t}") for t in (*cls.TABLES, "meta"))
+        posts, dic, following, docs, meta = (spark.read.parquet(f"{path}/{t}") for t in (*cls.TABLES, "meta"))
         row, how = corpus_stats(docs).first(), meta.first()
-        return cls(posts, dic, docs, row.n_docs, row.avg_dl or 0, how.mode, how.stem)
+        return cls(posts, dic, following, docs, row.n_docs, row.avg_dl or 0, how.mode, how.stem)

@@ -35,7 +35,7 @@ def matches(index: Index, query_terms: DataFrame, languages: list[str] | None =
     ``query_terms`` is ``query_id, variant_id, qpos, term, weight``. A language filter takes candidates
     away but leaves N and df as they are.
     """
-    q = distinct_terms(query_terms).persist()
+    q = distinct_terms(query_terms)
     known = q.join(index.dictionary, "term", "left").withColumn("idf", F.coalesce("idf", F.lit(0.0)))
     if q.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
         known = F.broadcast(known)
@@ -123,6 +123,11 @@ def best(scores: DataFrame, k: int | None = TOP) -> DataFrame:
     return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 
+def by_score(results: DataFrame) -> DataFrame:
+    """``query_id, score, docs``: the ranked documents of each query that share a score, by id."""
+    return results.groupBy("query_id", "score").agg(F.sort_array(F.collect_list("doc_id")).alias("docs"))
+
+
 def occurrences(text: Column, word: Column) -> Column:
     """How often ``word`` starts at some character of ``text``, overlaps included."""
     starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))

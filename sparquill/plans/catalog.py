@@ -71,7 +71,7 @@ def postings_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similar neighbours in the vocabulary, found by places, without one window over all terms."""
     vocabulary = built(spark, sf_dir).dictionary.filter(F.length("term") > 1)
-    ranks = expansion.vocabulary_ranks(vocabulary).persist()
+    ranks = index.vocabulary_ranks(vocabulary.select("term"))
     after = ranks.select(F.col("term").alias("next_term"), (F.col("place") - 1).alias("place"))
     similarity = expansion.jaccard(F.col("term"), F.col("next_term"))
     return ranks.join(after, "place").filter(similarity >= expansion.LEAST_JACCARD).select("term", "next_term", F.bround(similarity, 4).alias("similarity"))
@@ -107,7 +107,7 @@ def sgml_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stemmed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return built(spark, sf_dir, stem=True).dictionary
+    return built(spark, sf_dir, stem=True).dictionary.drop("place")
 
 
 def bm25f(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,17 +139,18 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "positions": lambda s, d: built(s, d).postings.select("term", "doc_id", F.array_join("positions", " ").alias("positions")),
         "doc_stats": lambda s, d: built(s, d).docs.select("doc_id", "n_terms", "n_distinct", "max_tf"),
         "corpus_stats": corpus_stats,
-        "dictionary": lambda s, d: built(s, d).dictionary,
+        "dictionary": lambda s, d: built(s, d).dictionary.drop("place"),
         "doc_norm": lambda s, d: built(s, d).docs.select("doc_id", "doc_norm"),
         "bigram_counts": lambda s, d: index.bigrams(termed(s, d)),
-        "top5_next": lambda s, d: index.top_next(index.bigrams(termed(s, d))),
-        "autocomplete": lambda s, d: expansion.autocomplete(index.top_next(index.bigrams(termed(s, d))), f"{fixtures.QUERY[0]} "),
+        "top5_next": lambda s, d: built(s, d).next_words,
+        "autocomplete": lambda s, d: expansion.autocomplete(built(s, d).next_words, f"{fixtures.QUERY[0]} "),
         "dictionary_listing": lambda s, d: index.listing(built(s, d).dictionary),
         "postings_shards": postings_shards,
         "bm25_top50": bm25_top50,
         "cosine": lambda s, d: literal_scores(s, d).select("doc_id", F.bround("cosine", 4).alias("cosine")),
         "proximity": lambda s, d: literal_scores(s, d).select("doc_id", F.bround("proximity", 4).alias("proximity")),
         "combined_top50": lambda s, d: ranking.best(literal_scores(s, d)),
+        "equal_scores": lambda s, d: ranking.by_score(ranking.best(literal_scores(s, d))).withColumn("docs", F.array_join("docs", " ")),
         "batch_queries": batch_queries,
         "trec_run": lambda s, d: exports.run_lines(ranking.best(literal_scores(s, d))),
         "language_filter": lambda s, d: ranking.best(literal_scores(s, d, ["en", "es"])),

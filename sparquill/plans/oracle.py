@@ -129,6 +129,7 @@ def all_sql() -> dict[str, str]:
         "cosine": index_sql("SELECT doc_id, round_even(cosine, 4) AS cosine FROM scores", LITERAL, SCORES),
         "proximity": index_sql("SELECT doc_id, round_even(proximity, 4) AS proximity FROM scores", LITERAL, SCORES),
         "combined_top50": index_sql(BEST, LITERAL, SCORES),
+        "equal_scores": index_sql(f"SELECT query_id, score, string_agg(doc_id, ' ' ORDER BY doc_id) AS docs FROM ({BEST}) GROUP BY query_id, score", LITERAL, SCORES),
         "batch_queries": index_sql(BEST, BATCH, SCORES),
         "trec_run": index_sql(f"SELECT query_id || ' 0 ' || doc_id || ' ' || score || ' 1 3' AS value FROM ({BEST})", LITERAL, SCORES),
         "language_filter": index_sql(BEST.replace("FROM scores", "FROM scores JOIN docs USING (doc_id) WHERE lang IN ('en', 'es')"), LITERAL, SCORES),

@@ -38,7 +38,9 @@ def tagged(chunks: DataFrame) -> DataFrame:
     first = F.array_position(flags, True)
     text_lines = F.when(first > 0, F.slice(lines, first.cast("int"), F.size(lines))).otherwise(F.array().cast("array<string>"))
     text = F.concat_ws("", F.transform(F.filter(text_lines, lambda x: x != ""), lambda x: F.concat(F.lit(" "), F.lower(x))))
-    language = F.regexp_extract("value", r"<F P=105>([^<\n]*)(?:</F>)?", 1)
+    # The language stands in the head or the preamble; a mark in running text is none.
+    opening = F.when(first > 0, F.slice(lines, 1, first.cast("int") - 1)).otherwise(lines)
+    language = F.regexp_extract(F.concat_ws("\n", head, opening), r"<F P=105>([^<\n]*)(?:</F>)?", 1)
     out = rows.filter(F.col("value").contains("<TEXT>")).select(
         F.regexp_replace(F.regexp_extract(head, r"<DOCNO>([^<\n]*)</DOCNO>", 1), " ", "").alias("doc_id"),
         F.lower(F.trim(F.regexp_extract(head, r"<TI>([^\n]*?)(?:</TI>|\n|$)", 1))).alias("title"),

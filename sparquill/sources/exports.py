@@ -55,19 +55,29 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_posting_shards(index: Index, path: str) -> None:
-    """Postings partitioned by the first letter."""
+    """Postings partitioned by the first letter; a shard without terms is an empty folder."""
     index.postings.withColumn("shard", shard(F.col("term"))).write.mode("overwrite").partitionBy("shard").parquet(path)
+    spark = index.postings.sparkSession
+    for name in SHARDS:
+        folder = _shard_folder(spark, path, name)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
+
+
+def _shard_folder(spark: SparkSession, path: str, name: str):
+    jvm = spark.sparkContext._jvm
+    return jvm.org.apache.hadoop.fs.Path(path, "shard=" + jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(name))
 
 
 def has_posting_shards(spark: SparkSession, path: str) -> bool:
-    """Whether a folder holds a readable postings table with known shards only."""
+    """Whether a folder holds a readable postings table with all 27 shards and no other."""
     try:
         found = {str(r.shard) for r in spark.read.parquet(path).select("shard").distinct().collect()}
     except Exception as e:  # the path's reader says in many ways that there is no table
         if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e) or "UNRESOLVED_COLUMN" in str(e):
             return False
         raise
-    return found <= set(SHARDS)
+    folders = [_shard_folder(spark, path, name) for name in SHARDS]
+    return found <= set(SHARDS) and all(f.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(f) for f in folders)
 
 
 def clear(spark: SparkSession, path: str) -> None:
