@@ -15,9 +15,8 @@ under ``per_edit`` characters is linked by equality alone, as an edit would make
 Equality is that of a 128-bit hash of the line.
 
 Only distinct lines take part in the join, so a line that fills a third of the corpus is one row in
-it. What is decided on a line comes back to its occurrences by a join in which frequent lines, those
-that make a ``FREQUENT``-th of all occurrences or more, are broadcast: there are ``FREQUENT`` of them
-at most, and no task gets all rows of one. The same holds for large classes.
+it. What is decided on a line comes back to its occurrences by a join in which frequent lines are
+broadcast (``joined_by_frequency``), so no task gets all rows of one. The same holds for large classes.
 
 Defined results: a null or empty text has no lines; blank lines have no class and are never
 dropped; a null ``doc_id`` sorts after all others; rows with equal id and text get equal decisions;
@@ -38,6 +37,7 @@ from pyspark.sql import functions as F
 
 from sparquill.llm.columns import documents
 from sparquill.llm.components import components
+from sparquill.llm.frequent import joined_by_frequency
 from sparquill.storage import passing, written
 
 digest = xxhash.xxh3_64_intdigest  # of the UTF-8 form of a text
@@ -49,7 +49,6 @@ ASCII_SPACE = " \t\n\x0b\f\r"
 COUNTED = "etaoinsrhldcumfp"
 LETTER_PLACES = tuple((c, 4 * k) for k, c in enumerate(COUNTED))
 LAST_ID = (1 << 63) - 1
-FREQUENT = 10_000
 BROADCAST_IDS = 500_000
 
 
@@ -257,17 +256,6 @@ def linked_lines(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT)
         return keep(written(both.mapInArrow(run, "a long, a2 long, b long, b2 long"), "line-links"))
 
 
-def joined_by_frequency(left: DataFrame, right: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
-    """``left`` with the columns of ``right`` (one row a key, ``n`` of them in ``left``, of ``total`` rows) or nulls.
-
-    Keys with a ``FREQUENT``-th of the rows or more are broadcast, so no task gets all rows of one.
-    """
-    is_frequent = F.col(n) * FREQUENT >= total
-    frequent = F.broadcast(right.filter(is_frequent))  # FREQUENT rows at most
-    others = left.join(frequent.select(*on), on, "left_anti").join(right.filter(~is_frequent), on, "left")
-    return others.unionByName(left.join(frequent, on))
-
-
 def decisions(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT) -> DataFrame:
     """``row, doc_id, n_lines, n_links, dropped`` for each row of ``keyed`` documents that has a line; ``dropped`` are line numbers from 0.
 

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from sparquill.llm import hashing
 from sparquill.llm.columns import documents
 from sparquill.llm.components import components
+from sparquill.llm.frequent import joined_by_frequency
 from sparquill.storage import passing, written
 
 PERMUTATIONS, BAND, BLOCK = 65, 5, 256
@@ -147,13 +148,16 @@ def block_links(members: DataFrame, sets: DataFrame, percent: int, block: int =
     sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     large, of_block = F.col("n") >= block, lambda n: F.ceil(n / block).cast("int")
     totals = sizes.groupBy("key").agg(
+        F.sum("n").alias("members"),
         F.coalesce(of_block(F.sum(F.when(~large, F.col("n")))), F.lit(0)).alias("shared"),
         F.coalesce(F.sum(F.when(large, of_block(F.col("n")))), F.lit(0)).cast("int").alias("owned"),
     )
     # At most one row for ``block`` members of a bucket comes into its window.
     before = F.sum("own").over(Window.partitionBy("key").orderBy("component")) - F.col("own")
-    own = sizes.filter(large).withColumn("own", of_block(F.col("n"))).select("key", "component", "own", before.cast("int").alias("before"))
-    dealt = members.join(totals, "key").join(own, ["key", "component"], "left").withColumn("first", F.col("shared") + F.coalesce("before", F.lit(0)))
+    own = sizes.filter(large).withColumn("own", of_block(F.col("n"))).select("key", "component", "n", "own", before.cast("int").alias("before"))
+    every = members.count()
+    dealt = joined_by_frequency(members, written(totals, "bucket-sizes"), ["key"], "members", every)
+    dealt = joined_by_frequency(dealt, written(own, "own-blocks"), ["key", "component"], "n", every).withColumn("first", F.col("shared") + F.coalesce("before", F.lit(0)))
     place = F.xxhash64("doc_id")
     mine = F.when(F.col("own").isNull(), F.pmod(place, F.greatest("shared", F.lit(1)))).otherwise(F.col("first") + F.pmod(place, F.col("own")))
     others = F.filter(F.sequence(F.lit(0), F.col("shared") + F.col("owned") - 1), lambda x: F.col("own").isNull() | (x < F.col("first")) | (x >= F.col("first") + F.col("own")))
@@ -238,8 +242,11 @@ def near_duplicates(
         classes = written(usable.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
         reps = usable.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "f1", "f2", "n_shingles"], "left_semi").dropDuplicates(["doc_id", "f1", "f2"])
         entries = reps.select("doc_id", F.explode("keys").alias("key"))
-        buckets = entries.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
-        shared = written(entries.join(buckets, "key").select("key", "doc_id", "least", "most"), "shared")
+        # Large buckets are broadcast here and below: their rows stay where they are.
+        buckets = written(entries.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n")).filter("least < most"), "buckets")
+        n_entries = classes.count() * (2 * permutations // band)
+        met = joined_by_frequency(entries, buckets, ["key"], "n", n_entries).filter("least IS NOT NULL")
+        shared = written(met.select("key", "doc_id", "least", "most"), "shared")
         nodes = docs.filter("doc_id IS NOT NULL")
         ends = F.array(F.struct(F.least("least", "doc_id").alias("a"), F.greatest("least", "doc_id").alias("b")), F.struct(F.least("most", "doc_id").alias("a"), F.greatest("most", "doc_id").alias("b")))
         star = shared.select(F.explode(ends).alias("e")).select("e.*").filter("a < b").distinct()
@@ -248,8 +255,11 @@ def near_duplicates(
 
         # What the stars left apart: buckets that hold several components.
         labelled = shared.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+        labelled = written(labelled, "labelled")
         mixed = labelled.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("m")).filter("c1 < c2 AND m > 3")
-        apart = written(labelled.join(mixed.select("key"), "key"), "apart")
+        mixed = written(mixed.select("key", "m"), "mixed")
+        apart = joined_by_frequency(labelled, mixed, ["key"], "m", labelled.count()).filter("m IS NOT NULL")
+        apart = written(apart.select("key", "doc_id", "component"), "apart")
         sets = shingle_sets(nodes.join(apart.select("doc_id").distinct(), "doc_id", "left_semi"), n)
         more = block_links(apart, sets, percent)
         parts = components(links.unionAll(more))

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sparquill.llm import components, line_dedup, near_dedup
+from sparquill.llm import components, frequent, line_dedup, near_dedup
 
 ODD = [(900, None), (901, ""), (902, " \n "), (903, "two words"), (904, "Two Words"), (None, "no id at all here"), (None, "no id at all here")]
 
@@ -171,12 +171,12 @@ def test_lines_of_rows_without_id_and_of_one_id(spark):
 def test_joins_by_frequency(spark):
     left = spark.createDataFrame([(1 if i < 700 else i, i) for i in range(1000)], "k long, x long")
     counts = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("x").alias("top")).filter("k <> 900")
-    for frequent in (10_000, 100, 1):
-        line_dedup.FREQUENT, before = frequent, line_dedup.FREQUENT
+    for level in (10_000, 100, 1):
+        frequent.FREQUENT, before = level, frequent.FREQUENT
         try:
-            got = {(r.x, r.top) for r in line_dedup.joined_by_frequency(left, counts, ["k"], "n", 1000).collect()}
+            got = {(r.x, r.top) for r in frequent.joined_by_frequency(left, counts, ["k"], "n", 1000).collect()}
         finally:
-            line_dedup.FREQUENT = before
+            frequent.FREQUENT = before
         assert got == {(i, 699 if i < 700 else None if i == 900 else i) for i in range(1000)}
 
 
