@@ -11,9 +11,14 @@ FREQUENT = 10_000
 def joined_by_frequency(left: DataFrame, right: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
     """``left`` with the columns of ``right`` (one row a key, ``n`` of them in ``left``, of ``total`` rows) or nulls.
 
-    Keys with a ``FREQUENT``-th of the rows or more are broadcast, ``FREQUENT`` rows at most, so no task gets all rows of one.
+    Keys with a ``FREQUENT``-th of the rows or more, ``FREQUENT`` of them at most, are named in the plan by
+    their hashes and broadcast, so no task gets all rows of one. Both sides are parted alike, so a key whose
+    hash is that of another is only joined in the other part.
     """
-    is_frequent = F.col(n) * FREQUENT >= total
-    frequent = F.broadcast(right.filter(is_frequent))
-    others = left.join(frequent.select(*on), on, "left_anti").join(right.filter(~is_frequent), on, "left")
-    return others.unionByName(left.join(frequent, on))
+    place = F.xxhash64(*on)
+    hashes = [r[0] for r in right.filter(F.col(n) * FREQUENT >= total).select(place).collect()]
+    if not hashes:
+        return left.join(right, on, "left")
+    is_frequent = place.isin(hashes)
+    others = left.filter(~is_frequent).join(right.filter(~is_frequent), on, "left")
+    return others.unionByName(left.filter(is_frequent).join(F.broadcast(right.filter(is_frequent)), on, "left"))
