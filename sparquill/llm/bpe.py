@@ -25,6 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from sparquill.llm.columns import documents
+from sparquill.llm.memory import releasing
 
 LONG_WORD = 256
 CACHE_CHUNKS, CACHE_WORDS = 400_000, 250_000
@@ -181,7 +182,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                     names=["doc_id", "ids", "n_tokens", "decoded"],
                 )
 
-    return documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids string, n_tokens long, decoded string")
+    return documents(docs, id_col, text_col).mapInArrow(releasing(run), "doc_id long, ids string, n_tokens long, decoded string")
 
 
 def sha256_hex(text: str) -> str:

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparquill.llm.hashing import mix
+from sparquill.llm.memory import releasing
 
 DIMENSIONS = 4096
 PER_LANGUAGE = 400
@@ -188,5 +189,5 @@ def identify(docs: DataFrame, model: dict, *carried: str) -> DataFrame:
                 known, score, far = np.where(lettered, known, UNDETERMINED), np.where(lettered, score, 0.0), far | ~lettered
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(known, pa.string()), pa.array(score), pa.array(far)], names=schema.names)
 
-    return docs.select(F.col("text").alias("__text"), "doc_id", *carried).mapInArrow(run, schema)
+    return docs.select(F.col("text").alias("__text"), "doc_id", *carried).mapInArrow(releasing(run), schema)
 

@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from sparquill.llm.columns import documents
 from sparquill.llm.components import components
 from sparquill.llm.frequent import joined_by_frequency
+from sparquill.llm.memory import releasing
 from sparquill.storage import passing, written
 
 digest = xxhash.xxh3_64_intdigest  # of the UTF-8 form of a text
@@ -184,7 +185,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 own = part.select(["doc_id", "row"]).take(pa.array(of, pa.int64()))
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.array(number), pa.array(ids[:, 0]), pa.array(ids[:, 1])], names=["doc_id", "row", "line", "id", "id2"])
 
-    return docs.select("doc_id", "row", "text").mapInArrow(run, "doc_id long, row long, line int, id long, id2 long")
+    return docs.select("doc_id", "row", "text").mapInArrow(releasing(run), "doc_id long, row long, line int, id long, id2 long")
 
 
 def distinct_lines(docs: DataFrame, least: int) -> DataFrame:
@@ -197,7 +198,7 @@ def distinct_lines(docs: DataFrame, least: int) -> DataFrame:
                 ids = line_ids(found)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array(found, pa.string())], names=["id", "id2", "line"])
 
-    return docs.select("text").mapInArrow(run, "id long, id2 long, line string").distinct()
+    return docs.select("text").mapInArrow(releasing(run), "id long, id2 long, line string").distinct()
 
 
 def entries(lines: DataFrame, edits: int, per_edit: int, probes: bool) -> DataFrame:
@@ -219,7 +220,7 @@ def entries(lines: DataFrame, edits: int, per_edit: int, probes: bool) -> DataFr
                 level = np.concatenate(levels) if probes else np.zeros(len(keys), bool)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(ids, each)), pa.array(np.repeat(letters, each)), pa.array(level)], names=["key", "id", "letters", "level"])
 
-    return lines.select("id", "line").mapInArrow(run, "key long, id long, letters long, level boolean")
+    return lines.select("id", "line").mapInArrow(releasing(run), "key long, id long, letters long, level boolean")
 
 
 def letter_distance(a: Column, b: Column) -> Column:
@@ -253,7 +254,7 @@ def linked_lines(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT)
                 good = pa.array([within(x, y, allowed(min(len(x), len(y)), edits, per_edit)) for x, y in pairs], pa.bool_())
                 yield pa.RecordBatch.from_arrays([c.filter(good) for c in batch.columns[:4]], names=["a", "a2", "b", "b2"])
 
-        return keep(written(both.mapInArrow(run, "a long, a2 long, b long, b2 long"), "line-links"))
+        return keep(written(both.mapInArrow(releasing(run), "a long, a2 long, b long, b2 long"), "line-links"))
 
 
 def decisions(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT) -> DataFrame:

@@ -36,6 +36,7 @@ from sparquill.llm import hashing
 from sparquill.llm.columns import documents
 from sparquill.llm.components import components
 from sparquill.llm.frequent import joined_by_frequency
+from sparquill.llm.memory import releasing
 from sparquill.storage import passing, written
 
 PERMUTATIONS, BAND, BLOCK = 65, 5, 256
@@ -94,7 +95,7 @@ def signed(docs: DataFrame, n: int, permutations: int, band: int) -> DataFrame:
                     names=["doc_id", "n_shingles", "f1", "f2", "keys"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>")
+    return docs.mapInArrow(releasing(run), "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -121,7 +122,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
                 good[i] = 100 * (small + large - union) >= percent * union
             yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], names=["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(releasing(run), "a long, b long")
 
 
 def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -133,7 +134,7 @@ def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
                 sets = [hashing.distinct_shingles(hashing.lowered(t), n).tobytes() for t in batch.column(1)[at : at + 256].to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 256], pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary")
+    return docs.select("doc_id", "text").mapInArrow(releasing(run), "doc_id long, shingles binary")
 
 
 def block_links(members: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
@@ -188,7 +189,7 @@ def block_links(members: DataFrame, sets: DataFrame, percent: int, block: int =
                     if links:
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
 
-    return sorted_rows.mapInArrow(run, "a long, b long")
+    return sorted_rows.mapInArrow(releasing(run), "a long, b long")
 
 
 def linked(ids: np.ndarray, parts: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
