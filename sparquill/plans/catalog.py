@@ -159,8 +159,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "language_normalise": language_normalise,
         "important_words": important_words,
         "ngram_jaccard": ngram_jaccard,
-        "vocab_neighbours": lambda s, d: expansion.neighbours(built(s, d).dictionary.filter("df >= 5"), built(s, d).dictionary),
-        "vocab_neighbours_all": lambda s, d: expansion.neighbours(built(s, d).dictionary, built(s, d).dictionary),
+        "vocab_neighbours": lambda s, d: expansion.neighbours(built(s, d).dictionary, built(s, d).dictionary),
         "expand_variants": neighbour_variants,
         "variant_merge": lambda s, d: ranking.best(ranking.scored(built(s, d), neighbour_variants(s, d))),
         "search_expanded": search_expanded,

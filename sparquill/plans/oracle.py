@@ -138,7 +138,7 @@ def all_sql() -> dict[str, str]:
         "language_normalise": f"SELECT raw, CASE {FIRST_WORD} {NORMALISE} ELSE {FIRST_WORD} END AS lang FROM {values([(x,) for x in fixtures.LANGUAGES], 'raw')}",
         "important_words": f"SELECT q.query_id, q.qpos, q.term FROM {values(fixtures.QUERY_TERMS, 'query_id, qpos, term')} q WHERE q.term NOT IN ({', '.join(repr(t) for t in fixtures.THESAURUS)})",
         "ngram_jaccard": index_sql(f"SELECT term, next_term, round_even({jaccard('term', 'next_term')}, 4) AS similarity FROM (SELECT term, lead(term) OVER (ORDER BY term) AS next_term FROM dict WHERE length(term) > 1) WHERE next_term IS NOT NULL AND {jaccard('term', 'next_term')} >= 0.71"),
-        "vocab_neighbours": index_sql("SELECT term, candidate, step FROM near_terms", "qt AS (SELECT term FROM dict WHERE df >= 5)", NEIGHBOURS),
+        "vocab_neighbours": index_sql("SELECT term, candidate, step FROM near_terms", "qt AS (SELECT term FROM dict)", NEIGHBOURS),
         "expand_variants": index_sql("SELECT query_id, variant_id, qpos, term, weight FROM full_qt", LITERAL, NEIGHBOURS, VARIANTS),
         "variant_merge": index_sql(BEST, LITERAL.replace("qt AS", "qt0 AS"), NEIGHBOURS.replace("FROM qt)", "FROM qt0)"), VARIANTS.replace("FROM qt ", "FROM qt0 ").replace("FROM qt)", "FROM qt0)").replace("JOIN qt q", "JOIN qt0 q").replace("full_qt AS", "qt AS"), SCORES),
         "title_lang_from_pages": f"SELECT page_id, {PAGE_TITLE} AS title, {PAGE_LANG} AS lang FROM pages",

@@ -240,5 +240,5 @@ def test_neighbours_of_the_whole_dictionary(spark, tmp_path):
     pairs = {w: {w[i : i + 2] for i in range(len(w) - 1)} for w in words}
     alike = lambda a, b: len(pairs[a] & pairs[b]) >= 0.71 * len(pairs[a] | pairs[b]) > 0
     expected = {(a, b, j - i) for i, a in enumerate(words) for j, b in enumerate(words) if 0 < abs(i - j) <= 2 and alike(a, b)}
-    found = [tuple(x) for x in catalog.all_queries()["vocab_neighbours_all"](spark, str(tmp_path)).select("term", "candidate", "step").collect()]
+    found = [tuple(x) for x in catalog.all_queries()["vocab_neighbours"](spark, str(tmp_path)).select("term", "candidate", "step").collect()]
     assert expected and sorted(found) == sorted(expected)
