@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparquill.llm import bpe, chat, decontaminate, language_id, line_dedup, lm_score, near_dedup, quality, token_counts, toxicity
+from sparquill.llm import bpe, chat, decontaminate, filter_audit, language_id, line_dedup, lm_score, near_dedup, periodic, quality, token_counts, token_files, toxicity
 from sparquill.llm.columns import documents, fold
 
 
@@ -76,6 +76,32 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("spans", spans)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of which a tenth get a periodic tail; the runs as digests, and the one of greatest exponent."""
+    out = periodic.periodic_runs(periodic.planted(table(spark, sf_dir, "documents")))
+    most = out.withColumn("most", periodic.strongest(F.col("runs")))
+    return most.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "most.start",
+        "most.length",
+        "most.period",
+        F.floor(F.lit(1000) * F.col("most.length") / F.col("most.period")).cast("long").alias("exponent_milli"),
+        F.sha2(periodic.run_lines(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str, vocabulary_path: str | None = None) -> DataFrame:
+    """Written with end id 2, and read back from the files."""
+    path = token_files.write_token_files(table(spark, sf_dir, "documents"), vocabulary_path or vocabulary("byte_bpe_50k.json"), end_id=2)
+    return token_files.read_checksums(spark, path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -88,8 +114,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_token_counts": op9_token_counts,
         "op10_chat_format": op10_chat_format,
+        "op11_filter_audit": op11_filter_audit,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_token_files": op13_token_files,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_near_dedup": near_dedup.oracle(4, 80), "op6_decontaminate": decontaminate.oracle(), "op10_chat_format": chat.SQL}
+    return {"op3_near_dedup": near_dedup.oracle(4, 80), "op6_decontaminate": decontaminate.oracle(), "op10_chat_format": chat.SQL, "op11_filter_audit": filter_audit.SQL}
