@@ -1,6 +1,7 @@
 """The suffix stemmer of Porter (1980), with the published later changes bli to ble and logi to log.
 
-Stemming runs over the distinct vocabulary, Arrow batch by batch, and is joined back.
+Token arrays are stemmed inside their rows, Arrow batch by batch, each distinct word of a batch once;
+no token is shuffled for it.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ import re
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,6 +104,16 @@ def vocabulary_stems(vocabulary: DataFrame) -> DataFrame:
     return distinct.withColumn("stem", F.when(F.col("term").rlike("^[a-z]+$"), stem_udf("term")).otherwise(F.col("term")))
 
 
-def stemmed(tokens: DataFrame) -> DataFrame:
-    """Tokens with each term replaced by its stem: stemmed once per distinct word."""
-    return tokens.join(vocabulary_stems(tokens), "term").select("doc_id", "pos", F.col("stem").alias("term"))
+def stem_or_self(word: str) -> str:
+    """The stem of a word of the letters a-z; other terms stay."""
+    return stem(word) if word.isascii() and word.isalpha() and word.islower() else word
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def stemmed(terms: pa.Array) -> pa.Array:
+    """Arrays of terms with each term replaced by its stem."""
+    coded = terms.flatten().dictionary_encode()
+    stems = pa.array([stem_or_self(w) for w in coded.dictionary.to_pylist()], pa.string())
+    sizes = terms.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    ends = pa.array([0, *sizes.cumsum().tolist()], pa.int32())
+    return pa.ListArray.from_arrays(ends, stems.take(coded.indices))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparquill.functions.porter import stem_udf
 from sparquill.operators import ranking
 from sparquill.operators.index import STOP_WORDS, Index, terms, vocabulary_ranks
+from sparquill.operators.lookup import gathered, in_ranges, one_of
 
 # Least similarity of neighbours, and the weight of important words.
 LEAST_JACCARD = 0.71
@@ -49,17 +50,27 @@ def neighbours(query_terms: DataFrame, dictionary: DataFrame, reach: int = NEIGH
     A written dictionary has the places; others are ranked first.
     """
     ranks = (dictionary if "place" in dictionary.columns else vocabulary_ranks(dictionary)).select("term", "place")
-    own = query_terms.select("term").distinct().join(ranks, "term")
+    own, near = query_terms.select("term").distinct(), ranks
+    asked = gathered(own)
+    if asked:  # few terms: the dictionary, sorted by term and so by place, is read where they and their neighbours are
+        own, places = gathered(F.broadcast(asked[0]).join(ranks.filter(one_of("term", {r.term for r in asked[1]})), "term"))
+        near = ranks.filter(in_ranges("place", [(r.place - reach, r.place + reach) for r in places]))
+    else:
+        own = own.join(ranks, "term")
     steps = F.array(*(F.lit(k) for k in range(-reach, reach + 1) if k))
     wanted = own.select("term", "place", F.explode(steps).alias("step")).select("term", "step", (F.col("place") + F.col("step")).alias("place"))
-    found = wanted.join(ranks.withColumnRenamed("term", "candidate"), "place")
+    found = wanted.join(near.withColumnRenamed("term", "candidate"), "place")
     return found.filter(jaccard(F.col("term"), F.col("candidate")) >= least).select("term", "candidate", "step")
 
 
 def stems_in_vocabulary(query_terms: DataFrame, dictionary: DataFrame) -> DataFrame:
     """``term, candidate``: stems that differ from their term and are in the vocabulary."""
     stems = query_terms.select("term").distinct().withColumn("candidate", F.when(F.col("term").rlike("^[a-z]+$"), stem_udf("term")).otherwise(F.col("term")))
-    return stems.filter("term <> candidate").join(dictionary.select(F.col("term").alias("candidate")), "candidate", "left_semi").select("term", "candidate")
+    stems, vocabulary = stems.filter("term <> candidate"), dictionary
+    asked = gathered(stems)
+    if asked:
+        stems, vocabulary = asked[0], dictionary.filter(one_of("term", {r.candidate for r in asked[1]}))
+    return stems.join(vocabulary.select(F.col("term").alias("candidate")), "candidate", "left_semi").select("term", "candidate")
 
 
 def candidates(query_terms: DataFrame, index: Index, synonyms: DataFrame | None = None) -> DataFrame:

@@ -18,6 +18,8 @@ from sparquill.storage import new_path, passing, written
 
 STOP_WORDS = ("a", "and", "for", "in", "is", "it", "of", "on", "that", "the", "to")
 MODES = ("words", "clean", "compat")
+#: Terms with this part of all postings are frequent; so many of them at most.
+FREQUENT = 10_000
 #: Stop lists up to this size travel as literals inside the plan, larger ones are joined.
 LITERAL_WORDS = 1000
 
@@ -75,13 +77,29 @@ def doc_stats(postings: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.select("doc_id").distinct().join(own, "doc_id", "left").select("doc_id", zero("n_terms"), zero("n_distinct"), zero("max_tf"))
 
 
+def with_idf(postings: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """``term, doc_id, tf, idf``. Terms with a ``FREQUENT``-th of all postings, that many at most, are broadcast, so no task gets all postings of one; the rest is joined."""
+    total = dictionary.agg(F.sum("df")).first()[0] or 0
+    names = [r.term for r in dictionary.filter(F.col("df") * FREQUENT >= total).select("term").collect()]
+    posts, idf = postings.select("term", "doc_id", "tf"), dictionary.select("term", "idf")
+    frequent = F.col("term").isin(names)
+    if not names:
+        return posts.join(idf, "term")
+    return posts.filter(~frequent).join(idf.filter(~frequent), "term").unionByName(posts.filter(frequent).join(F.broadcast(idf.filter(frequent)), "term"))
+
+
 def doc_norms(postings: DataFrame, dictionary: DataFrame, doc_stats: DataFrame) -> DataFrame:
     """``doc_id, doc_norm``: length of the idf-weighted relative-frequency vector, four places half-even."""
-    weighed = postings.select("term", "doc_id", "tf").join(dictionary.select("term", "idf"), "term").join(doc_stats.select("doc_id", "n_terms"), "doc_id")
+    weighed = with_idf(postings, dictionary).join(doc_stats.select("doc_id", "n_terms"), "doc_id")
     x = F.col("idf") * F.col("tf") / F.col("n_terms")
     return weighed.groupBy("doc_id").agg(F.bround(F.sqrt(F.sum(x * x)), 4).alias("doc_norm"))
 
 
+def field_postings(docs: DataFrame, field: str) -> DataFrame:
+    """``term, doc_id, field, tf`` of the array column ``field_terms``."""
+    return docs.select("doc_id", F.explode("field_terms").alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("tf")).select("term", "doc_id", F.lit(field).alias("field"), "tf")
+
+
 def bigrams(termed: DataFrame, skip_last: bool = False, stem: bool = False) -> DataFrame:
     """``term, next_term, cnt``. Pairs are cut from each row's array, so nothing is shuffled to find neighbours.
 
@@ -133,20 +151,62 @@ def listing(dictionary: DataFrame) -> DataFrame:
     return dictionary.select(F.when(letter == "#", F.lit("Numbers and Symbols")).otherwise(letter).alias("heading"), "term", F.concat_ws(" : ", "term", "cf").alias("entry"))
 
 
+def one_row_an_id(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, lang, header`` without null ids; of rows that share an id the least by text."""
+    extra = [F.col(c).cast("string").alias(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("lang", "header")]
+    one = docs.filter("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *extra)
+    # Only ids are shuffled to see whether any repeats; texts are only where one does.
+    if one.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return one
+    return one.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "header")).alias("d")).select("doc_id", "d.*")
+
+
+def tokenised(docs: DataFrame, mode: str = "words", stop_words: tuple[str, ...] = STOP_WORDS, stem: bool = False) -> DataFrame:
+    """``doc_id, lang, header, terms, field_terms``: one row an id, all that an index is made of.
+
+    With ``stem`` also ``said``, the terms before stemming, as next words show them. ``header`` are its terms joined by spaces.
+    """
+    kept = (lambda c: F.filter(c, lambda t: ~t.isin(*stop_words))) if stop_words else (lambda c: c)
+    of_text = terms(one_row_an_id(docs), mode, () if stem else stop_words).withColumnRenamed("terms", "said")
+    both = terms(of_text, mode, () if stem else stop_words, text="header").withColumnRenamed("terms", "field_terms")
+    if stem:
+        both = both.select("doc_id", "lang", kept("said").alias("said"), kept(stemmed("said")).alias("terms"), kept(stemmed("field_terms")).alias("field_terms"))
+    else:
+        both = both.select("doc_id", "lang", F.col("said").alias("terms"), "field_terms")
+    return both.withColumn("header", F.array_join("field_terms", " "))
+
+
+def pairs(tokenised: DataFrame, stem: bool = False) -> DataFrame:
+    """``term, next_term, cnt`` of the rows of ``tokenised``: a term as indexed and the one said after it."""
+    return bigrams(tokenised.select("doc_id", F.col("said" if stem else "terms").alias("terms")), stem=stem)
+
+
+def write_sorted(table: DataFrame, path: str, *keys: str) -> None:
+    """Ranged and sorted: keys are found by the row groups' statistics, and a frequent key spreads over files."""
+    table.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+
+
+def write_meta(spark: SparkSession, path: str, mode: str, stem: bool) -> None:
+    kinds = T.StructType([T.StructField("mode", T.StringType()), T.StructField("stem", T.BooleanType())])
+    spark.createDataFrame([(mode, stem)], kinds).write.mode("overwrite").parquet(f"{path}/meta")
+
+
 @dataclass(frozen=True)
 class Index:
     """A written index; queries only read it."""
 
-    postings: DataFrame
+    postings: DataFrame  # term, doc_id, tf, positions
     dictionary: DataFrame  # term, df, cf, idf, place
     next_words: DataFrame  # term, rank, next_term, cnt
-    docs: DataFrame  # doc_id, n_terms, n_distinct, max_tf, doc_norm, lang, header
+    fields: DataFrame  # term, doc_id, field, tf: terms outside the text, so far of the header
+    docs: DataFrame  # doc_id, n_terms, n_distinct, max_tf, doc_norm, lang, header (its terms, joined by spaces)
     n_docs: int
     avg_dl: int
+    avg_header: float
     mode: str
     stem: bool
 
-    TABLES = ("postings", "dictionary", "next_words", "docs")
+    TABLES = ("postings", "dictionary", "next_words", "fields", "docs")
 
     @classmethod
     def build(cls, docs: DataFrame, path: str | None = None, mode: str = "words", stop_words: tuple[str, ...] = STOP_WORDS, stem: bool = False) -> Index:
@@ -157,37 +217,30 @@ class Index:
         """
         spark = docs.sparkSession
         path = path or new_path(spark, "index")
-        extra = [c for c in ("lang", "header") if c in docs.columns]
-        one = docs.filter("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *extra)
-        # Only ids are shuffled to see whether any repeats; texts are only where one does.
-        if not one.groupBy("doc_id").count().filter("count > 1").isEmpty():
-            one = one.groupBy("doc_id").agg(F.min(F.struct("text", *extra)).alias("d")).select("doc_id", "d.*")
         with passing(spark):
-            # Tokenised once, for postings and next words.
-            termed = written(terms(one, mode, () if stem else stop_words).select("doc_id", "terms"), "terms")
-            toks = tokens(termed)
-            if stem:
-                kept = stemmed(toks).filter(~F.col("term").isin(*stop_words)) if stop_words else stemmed(toks)
-                toks = kept.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1)
-            # Ranged and sorted: a query's terms are found by the row groups' statistics, and a frequent term spreads over files.
-            postings(toks).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+            # Tokenised once, for all tables.
+            termed = written(tokenised(docs, mode, stop_words, stem), "terms")
+            write_sorted(postings(tokens(termed)), f"{path}/postings", "term", "doc_id")
             posts = spark.read.parquet(f"{path}/postings")
-            stats = doc_stats(posts, one)
-            n_docs = one.select("doc_id").count()
+            stats = doc_stats(posts, termed)
+            n_docs = termed.count()
             vocabulary_ranks(dictionary(posts, n_docs)).write.mode("overwrite").parquet(f"{path}/dictionary")
             dic = spark.read.parquet(f"{path}/dictionary")
-            said = termed.withColumn("terms", F.filter("terms", lambda t: ~t.isin(*stop_words))) if stem and stop_words else termed
-            top_next(bigrams(said, stem=stem)).repartitionByRange("term").sortWithinPartitions("term", "rank").write.mode("overwrite").parquet(f"{path}/next_words")
-        names = [F.lit(None).cast("string").alias(c) if c not in extra else F.col(c) for c in ("lang", "header")]
-        full = stats.join(doc_norms(posts, dic, stats), "doc_id", "left").join(one.select("doc_id", *names), "doc_id")
-        full.withColumn("doc_norm", F.coalesce("doc_norm", F.lit(0.0))).write.mode("overwrite").parquet(f"{path}/docs")
-        meta = spark.createDataFrame([(mode, stem)], T.StructType([T.StructField("mode", T.StringType()), T.StructField("stem", T.BooleanType())]))
-        meta.write.mode("overwrite").parquet(f"{path}/meta")
+            write_sorted(top_next(pairs(termed, stem)), f"{path}/next_words", "term", "rank")
+            write_sorted(field_postings(termed, "header"), f"{path}/fields", "term", "doc_id")
+            full = stats.join(doc_norms(posts, dic, stats), "doc_id", "left").join(termed.select("doc_id", "lang", "header"), "doc_id")
+            full.withColumn("doc_norm", F.coalesce("doc_norm", F.lit(0.0))).write.mode("overwrite").parquet(f"{path}/docs")
+        write_meta(spark, path, mode, stem)
         return cls.open(spark, path)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Index:
-        """Opens a written index; fails if a table is missing."""
-        posts, dic, following, docs, meta = (spark.read.parquet(f"{path}/{t}") for t in (*cls.TABLES, "meta"))
+        """Opens a written index; fails if a table is missing. An index that grows (``segments``) is opened with all that was committed."""
+        from sparquill.operators import segments  # which builds on this module
+
+        if segments.grows(spark, path):
+            return segments.Segments(spark, path).index()
+        posts, dic, following, fields, docs, meta = (spark.read.parquet(f"{path}/{t}") for t in (*cls.TABLES, "meta"))
         row, how = corpus_stats(docs).first(), meta.first()
-        return cls(posts, dic, following, docs, row.n_docs, row.avg_dl or 0, how.mode, how.stem)
+        header = docs.agg(F.avg(F.length("header"))).first()[0] or 1.0
+        return cls(posts, dic, following, fields, docs, row.n_docs, row.avg_dl or 0, header, how.mode, how.stem)

@@ -1,8 +1,9 @@
 """Scoring: BM25, weighted cosine and ordered-pair proximity, over all variants of all queries at once.
 
-Query terms are few, so they are broadcast to the postings if they number at most
-``BROADCAST_TERMS`` (counted, not assumed); otherwise the planner joins them as it sees fit. Only
-documents with a query term are ever touched.
+Query terms are few. They are gathered if they number at most ``BROADCAST_TERMS`` (counted, not
+assumed): the scans of dictionary and postings then read the row groups of these terms only, and the
+terms are broadcast. More terms are joined as the planner sees fit. Only documents with a query term
+are ever touched.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparquill.operators.index import Index
+from sparquill.operators.lookup import gathered, one_of
 
 # Parameters of the scores.
 K1, B, B_PROXIMITY = 1.2, 0.75, 0.5
@@ -18,6 +20,7 @@ COSINE_WEIGHT, COSINE_WEIGHT_STEMMED = 0.5, 1.0
 HEADER_WEIGHT = 0.4
 TOP = 50
 BROADCAST_TERMS = 100_000
+HEADER_TERMS = 1000
 
 VARIANT = ("query_id", "variant_id")
 
@@ -29,17 +32,25 @@ def distinct_terms(query_terms: DataFrame) -> DataFrame:
     return first.withColumn("qpos", F.row_number().over(w) - 1)
 
 
+def of_terms(table: DataFrame, terms: set[str]) -> DataFrame:
+    """The rows of a table sorted by term that have one of the terms; other row groups are not read."""
+    return table.filter(one_of("term", terms))
+
+
 def matches(index: Index, query_terms: DataFrame, languages: list[str] | None = None) -> DataFrame:
     """One row per variant and candidate document: statistics and a list of its query terms with positions.
 
     ``query_terms`` is ``query_id, variant_id, qpos, term, weight``. A language filter takes candidates
     away but leaves N and df as they are.
     """
-    q = distinct_terms(query_terms)
-    known = q.join(index.dictionary, "term", "left").withColumn("idf", F.coalesce("idf", F.lit(0.0)))
-    if q.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        known = F.broadcast(known)
-    hit = index.postings.join(known, "term")
+    q, dictionary, postings = distinct_terms(query_terms), index.dictionary, index.postings
+    small = gathered(q, BROADCAST_TERMS)
+    if small:
+        q, rows = small
+        dictionary, postings = (of_terms(t, {r.term for r in rows}) for t in (dictionary, postings))
+    known = q.join(dictionary, "term", "left").withColumn("idf", F.coalesce("idf", F.lit(0.0)))
+    known = F.broadcast(known) if small else known
+    hit = postings.join(known, "term")
     docs = index.docs.filter(F.col("lang").isin(*languages)) if languages else index.docs
     grouped = hit.groupBy(*VARIANT, "doc_id").agg(F.sort_array(F.collect_list(F.struct("qpos", "term", "tf", "df", "idf", "weight", "positions"))).alias("hits"))
     of_variant = known.groupBy(*VARIANT).agg(
@@ -134,14 +145,23 @@ def occurrences(text: Column, word: Column) -> Column:
     return F.size(F.filter(starts, lambda i: F.substring(text, i, F.length(word)) == word))
 
 
-def header_scores(docs: DataFrame, query_terms: DataFrame) -> DataFrame:
-    """``query_id, doc_id, header_score``: occurrences of each query term in the header over its relative length."""
-    average = docs.agg(F.avg(F.length(F.coalesce("header", F.lit("")))).alias("avg_len"))
-    rows = docs.select("doc_id", F.coalesce("header", F.lit("")).alias("header")).join(F.broadcast(average))
-    q = query_terms.groupBy("query_id").agg(F.collect_set("term").alias("qterms"))
-    each = rows.join(q)  # a stated query set against all documents
-    tf = lambda t: occurrences(F.col("header"), t) / (F.lit(1.0) + (F.length("header") / F.col("avg_len") - 1.0))
-    return each.select("query_id", "doc_id", F.when(F.length("header") > 0, _sum(F.array_sort("qterms"), tf)).otherwise(F.lit(0.0)).alias("header_score"))
+def header_scores(index: Index, query_terms: DataFrame) -> DataFrame:
+    """``query_id, doc_id, header_score``: occurrences of the query terms in the header over its relative length; documents without one are left out.
+
+    A query term occurs in a header term as often as it starts at some character of it. So the gathered query terms
+    are sought in the vocabulary of the headers, and its terms' field postings are joined by term.
+    """
+    small = gathered(query_terms.select("query_id", "term").distinct(), HEADER_TERMS)
+    if small is None:
+        raise ValueError(f"queries of more than {HEADER_TERMS} terms together are scored in blocks")
+    headers = index.fields.filter("field = 'header'")
+    kind = query_terms.schema["query_id"].dataType.simpleString()
+    wanted = F.array(*(F.struct(F.lit(r.query_id).alias("query_id"), F.lit(r.term).alias("word")) for r in small[1])).cast(f"array<struct<query_id:{kind},word:string>>")
+    sought = headers.select("term").distinct().select("term", F.explode(F.filter(wanted, lambda w: F.contains(F.col("term"), w["word"]))).alias("w"))
+    counted = sought.select("w.query_id", "term", occurrences(F.col("term"), F.col("w.word")).alias("n")).groupBy("query_id", "term").agg(F.sum("n").alias("n"))
+    hits = headers.join(counted, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("tf") * F.col("n")).alias("htf"))
+    lengths = index.docs.select("doc_id", F.length("header").alias("len"))
+    return hits.join(lengths, "doc_id").select("query_id", "doc_id", (F.col("htf") / (F.lit(1.0) + (F.col("len") / F.lit(index.avg_header) - 1.0))).alias("header_score"))
 
 
 def bm25f(n_docs: int, avg_dl: int, avg_header: float) -> Column:
@@ -166,8 +186,11 @@ def tf_over_max(index: Index, term: str) -> DataFrame:
 
 def with_all_terms(scores: DataFrame, index: Index, required: DataFrame) -> DataFrame:
     """Scores of documents that hold every term of ``required(query_id, term)``; queries without required terms pass whole."""
-    need = required.select("query_id", "term").distinct()
-    has = index.postings.select("term", "doc_id").join(need, "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("has"))
+    need, postings = required.select("query_id", "term").distinct(), index.postings
+    small = gathered(need, BROADCAST_TERMS)
+    if small:
+        need, postings = F.broadcast(small[0]), of_terms(postings, {r.term for r in small[1]})
+    has = postings.select("term", "doc_id").join(need, "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("has"))
     n = need.groupBy("query_id").agg(F.count(F.lit(1)).alias("needed"))
     joined = scores.join(n, "query_id", "left").join(has, ["query_id", "doc_id"], "left")
     return joined.filter(F.coalesce("needed", F.lit(0)) == F.coalesce("has", F.lit(0))).select(*scores.columns)

@@ -113,12 +113,11 @@ def stemmed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bm25f(spark: SparkSession, sf_dir: str) -> DataFrame:
     ix = built(spark, sf_dir)
     rows = ranking.matches(ix, expansion.plain(literal_query(spark)))
-    average = ix.docs.agg(F.avg(F.length("header"))).first()[0] or 1.0
-    return rows.select("doc_id", F.bround(ranking.bm25f(ix.n_docs, ix.avg_dl, average), 4).alias("bm25f"))
+    return rows.select("doc_id", F.bround(ranking.bm25f(ix.n_docs, ix.avg_dl, ix.avg_header), 4).alias("bm25f"))
 
 
 def header_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = ranking.header_scores(built(spark, sf_dir).docs, literal_query(spark))
+    out = ranking.header_scores(built(spark, sf_dir), literal_query(spark))
     return out.select("query_id", "doc_id", F.bround("header_score", 4).alias("header_score"))
 
 

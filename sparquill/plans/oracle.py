@@ -18,10 +18,17 @@ def values(rows: list[tuple], columns: str) -> str:
 
 
 STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
-WORDS = f"list_filter({tokenize.words('text', DUCKDB)}, lambda s: s NOT IN ({STOP}))"
+
+
+def kept_words(x: str) -> str:
+    return f"list_filter({tokenize.words(x, DUCKDB)}, lambda s: s NOT IN ({STOP}))"
+
+
+WORDS = kept_words("text")
+HEADER_WORDS = kept_words("split_part(text, chr(10), 1)")
 
 INDEX = f"""
-words AS (SELECT doc_id, lang, split_part(text, chr(10), 1) AS header, {WORDS} AS w FROM documents),
+words AS (SELECT doc_id, lang, array_to_string({HEADER_WORDS}, ' ') AS header, {WORDS} AS w FROM documents),
 tok AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS pos FROM words),
 post AS (SELECT term, doc_id, CAST(count(*) AS INT) AS tf, list(pos ORDER BY pos) AS positions FROM tok GROUP BY term, doc_id),
 sizes AS (SELECT d.doc_id, d.lang, d.header, CAST(coalesce(sum(tf), 0) AS BIGINT) AS n_terms, count(tf) AS n_distinct, CAST(coalesce(max(tf), 0) AS BIGINT) AS max_tf
@@ -151,7 +158,7 @@ def all_sql() -> dict[str, str]:
     q["autocomplete"] = index_sql(f"SELECT rank, next_term FROM ({top}) WHERE term = '{fixtures.QUERY[0]}'", bi)
     tf = lambda w: f"len(list_filter(range(1, greatest(length(header), 1) + 1), lambda i: substring(header, i, {len(w)}) = '{w}'))"
     q["header_score"] = index_sql(
-        "SELECT 1 AS query_id, doc_id, round_even(CASE WHEN length(header) > 0 THEN " + " + ".join(f"{tf(w)} / (1.0 + (length(header) / avg_len - 1.0))" for w in sorted(fixtures.QUERY)) + " ELSE 0.0 END, 4) AS header_score FROM docs, (SELECT avg(length(header)) AS avg_len FROM docs)"
+        "SELECT 1 AS query_id, doc_id, round_even(htf / (1.0 + (length(header) / avg_len - 1.0)), 4) AS header_score FROM (SELECT doc_id, header, " + " + ".join(map(tf, fixtures.QUERY)) + " AS htf FROM docs), (SELECT avg(length(header)) AS avg_len FROM docs) WHERE htf > 0"
     )
     htf = f"len(list_filter(range(1, greatest(length(header), 1) + 1), lambda i: substring(header, i, length(k.term)) = k.term))"  # noqa: F541
     q["bm25f"] = index_sql(

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparquill.operators.index import Index, shard
 from sparquill.sources.corpus import normal_language
 
 DOC_COLUMNS = ["doc_id", "max_tf", "n_distinct", "n_terms", "lang", "doc_norm", "header"]
+#: Documents of a posting line of text.
+LINE_DOCS = 100_000
 SHARDS = ["#", *map(chr, range(ord("a"), ord("z") + 1))]
 
 
@@ -80,6 +82,79 @@ def has_posting_shards(spark: SparkSession, path: str) -> bool:
     return found <= set(SHARDS) and all(f.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(f) for f in folders)
 
 
+def posting_lines(index: Index) -> DataFrame:
+    """``shard, term, piece, line``: a term's postings as text, ``doc tf position ...`` for each document, closed by a comma each.
+
+    The postings of a frequent term are cut into pieces of about ``LINE_DOCS`` documents, so that no
+    row holds an unbounded list; all but its first documents, by id, may stand in any piece.
+    """
+    entry = F.concat_ws(" ", F.col("doc_id").cast("string"), F.col("tf").cast("string"), F.array_join(F.transform("positions", lambda p: p.cast("string")), " "))
+    pieces = F.ceil(F.col("df") / LINE_DOCS)
+    sized = index.postings.join(index.dictionary.filter(F.col("df") > LINE_DOCS).select("term", pieces.alias("pieces")), "term", "left")
+    cut = sized.withColumn("piece", F.coalesce(F.pmod(F.xxhash64("doc_id"), "pieces"), F.lit(0)))
+    lines = cut.groupBy("term", "piece").agg(F.sort_array(F.collect_list(F.struct("doc_id", entry.alias("e")))).alias("entries"))
+    return lines.select(shard(F.col("term")).alias("shard"), "term", "piece", F.array_join(F.transform("entries", lambda x: F.concat(x["e"], F.lit(","))), "").alias("line"))
+
+
+def write_posting_runs(index: Index, path: str) -> None:
+    """Sorted runs as text, by shard: a line with a term, then one with its postings; a term's further pieces repeat both.
+
+    Runs are what a merge of runs expects: lines of one term in several runs are put one after the other.
+    """
+    rows = posting_lines(index).repartitionByRange("shard", "term", "piece").sortWithinPartitions("shard", "term", "piece")
+    rows.select("shard", F.concat_ws("\n", "term", "line").alias("value")).write.mode("overwrite").partitionBy("shard").text(path)
+    spark = index.postings.sparkSession
+    for name in SHARDS:
+        folder = _shard_folder(spark, path, name)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file, line_no, value`` of all text files below a folder; lines count from 0 in each file, whatever the size of its splits."""
+    raw = spark.read.option("recursiveFileLookup", "true").text(path)
+    ids = raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"))
+    # Ids go up within a split; the splits' line counts, one row each, give the offsets.
+    splits = ids.groupBy("file", "at").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = splits.select("file", "at", "least", before.alias("before"))
+    return ids.join(offsets, ["file", "at"]).select("file", (F.col("id") - F.col("least") + F.col("before")).alias("line_no"), "value")
+
+
+def parsed_postings(lines: DataFrame) -> DataFrame:
+    """``term, doc_id, tf, positions`` of ``lines(term, line)``; a document that stands in several pieces of a term is joined."""
+    entries = lines.select("term", F.explode(F.filter(F.split("line", ","), lambda e: F.trim(e) != "")).alias("e")).select("term", F.split(F.trim("e"), " ").alias("p"))
+    return entries.select("term", F.col("p")[0].alias("doc_id"), F.col("p")[1].cast("int").alias("tf"), F.slice("p", 3, F.size("p")).cast("array<int>").alias("positions"))
+
+
+def read_posting_runs(spark: SparkSession, path: str) -> DataFrame:
+    """Postings of runs as ``write_posting_runs`` makes them: every other line is a term."""
+    rows = numbered_lines(spark, path).withColumn("entry", F.floor(F.col("line_no") / 2))
+    first = F.col("line_no") % 2 == 0
+    paired = rows.groupBy("file", "entry").agg(F.max(F.when(first, F.col("value"))).alias("term"), F.max(F.when(~first, F.col("value"))).alias("line"))
+    return parsed_postings(paired)
+
+
+def read_posting_files(spark: SparkSession, path: str, dictionary: DataFrame) -> DataFrame:
+    """Postings of an old folder: a text file for each of the 27 shards, whose lines hold no term.
+
+    ``dictionary(term, line_no)`` points to them, as the old dictionary file does (``read_old_dictionary``).
+    The shard is the character before ``.txt`` in the file's name.
+    """
+    rows = numbered_lines(spark, path).withColumn("shard", F.regexp_extract("file", r"([a-z#]|%23)\.txt$", 1))
+    rows = rows.withColumn("shard", F.when(F.col("shard") == "%23", F.lit("#")).otherwise(F.col("shard"))).filter("shard <> ''")
+    pointers = dictionary.select("term", F.col("line_no").cast("long").alias("line_no"), shard(F.col("term")).alias("shard"))
+    return parsed_postings(pointers.join(rows, ["shard", "line_no"]).select("term", F.col("value").alias("line")))
+
+
+def read_old_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """``term, df, cf, idf, line_no, next_terms`` from lines of term length, term, df, cf, idf, line number and next words."""
+    n = F.regexp_extract("value", r"^(\d+) ", 1)
+    rows = spark.read.text(path).withColumn("n", n).filter("n <> ''").withColumn("rest", F.expr("substring(value, length(n) + 2)"))
+    rows = rows.withColumn("term", F.expr("rtrim(substring(rest, 1, int(n)))")).withColumn("f", F.expr("filter(split(substring(rest, int(n) + 2), ' '), x -> x <> '')"))
+    f = F.col("f")
+    return rows.select("term", f[0].cast("long").alias("df"), f[1].cast("long").alias("cf"), f[2].cast("double").alias("idf"), f[3].cast("long").alias("line_no"), F.slice("f", 5, F.size("f")).alias("next_terms"))
+
+
 def clear(spark: SparkSession, path: str) -> None:
     """Deletes an index folder that this engine wrote, and nothing else: it must hold the index tables."""
     jvm = spark.sparkContext._jvm

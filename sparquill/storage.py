@@ -58,9 +58,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def remove(spark: SparkSession, path: str) -> None:
+def _place(spark: SparkSession, path: str) -> tuple:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place, store = _place(spark, path)
+    store.delete(place, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place, store = _place(spark, path)
+    return store.exists(place)
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    """Creates an empty file, whole or not at all."""
+    place, store = _place(spark, path)
+    store.create(place, True).close()
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    place, store = _place(spark, path)
+    return sorted(f.getPath().getName() for f in store.listStatus(place)) if store.exists(place) else []
 
 
 @contextmanager

@@ -1,22 +1,24 @@
-"""Growing an index from a stream of new documents."""
+"""A searchable index that grows from a stream of new documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from sparquill.operators.index import STOP_WORDS, postings, terms, tokens
+from sparquill.operators.index import STOP_WORDS, Index
+from sparquill.operators.segments import Segments
 
 
-def ingest(docs: DataFrame, path: str, checkpoint: str, mode: str = "words", stop_words: tuple[str, ...] = STOP_WORDS, once: bool = True) -> StreamingQuery:
-    """Appends the postings of streamed ``docs(doc_id, text)`` to ``path``, a batch at a time.
+def ingest(docs: DataFrame, path: str, checkpoint: str, mode: str = "words", stop_words: tuple[str, ...] = STOP_WORDS, once: bool = True, stem: bool = False) -> StreamingQuery:
+    """Adds streamed ``docs(doc_id, text[, lang, header])`` to the growing index at ``path``, a batch as a segment.
 
-    A batch overwrites its own folder, so a batch that is tried again after a failure is not counted
-    twice. Statistics are derived from the postings when they are read.
+    A segment has its batch's number and is committed when it is whole, so a batch that is tried again
+    after a failure is not counted twice. Of an id in several batches the last one counts.
+    ``Index.open`` gives the index of all batches committed so far.
     """
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        postings(tokens(terms(batch.filter("doc_id IS NOT NULL"), mode, stop_words))).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        Segments(batch.sparkSession, path, mode, stop_words, stem).add(batch, batch_id)
 
     writer = docs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
@@ -24,4 +26,4 @@ def ingest(docs: DataFrame, path: str, checkpoint: str, mode: str = "words", sto
 
 def ingested(spark: SparkSession, path: str) -> DataFrame:
     """All postings taken in so far."""
-    return spark.read.parquet(path).drop("batch")
+    return Index.open(spark, path).postings
