@@ -56,7 +56,8 @@ def read_model(path: str) -> dict:
 class WordBPE:
     """Encodes and decodes texts with one vocabulary."""
 
-    def __init__(self, model: dict):
+    def __init__(self, model: dict, cache_chunks: int = CACHE_CHUNKS, cache_words: int = CACHE_WORDS):
+        self.cache_chunks, self.cache_words = cache_chunks, cache_words
         self.vocab, self.suffix, self.special = model["vocab"], model["suffix"], model["special"]
         self.tokens = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
         self.rank = {pair: i for i, pair in enumerate(model["merges"])}
@@ -112,7 +113,7 @@ class WordBPE:
     def _word(self, word: str) -> tuple[str, str]:
         hit = self.pieces.get(word)
         if hit is None:
-            if len(self.pieces) >= CACHE_WORDS:
+            if len(self.pieces) >= self.cache_words:
                 self.pieces.clear()
             parts = self.parts(word)
             hit = self.pieces[word] = " ".join([str(self.vocab[p]) for p in parts]), " ".join(parts)
@@ -138,7 +139,7 @@ class WordBPE:
             for chunk in plain.encode().split():
                 hit = cache.get(chunk)
                 if hit is None:
-                    if len(cache) >= CACHE_CHUNKS:
+                    if len(cache) >= self.cache_chunks:
                         cache.clear()
                     hit = cache[chunk] = self._chunk(chunk)
                 if hit[0]:
@@ -154,20 +155,22 @@ class WordBPE:
         return " ".join(self.tokens[i] for i in ids if i in self.tokens)
 
 
-_encoders: dict[str, WordBPE] = {}
+_encoders: dict[tuple, WordBPE] = {}
 
 
-def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", cache_chunks: int = CACHE_CHUNKS, cache_words: int = CACHE_WORDS) -> DataFrame:
     """``doc_id``, ``ids`` (decimal, joined by spaces), ``n_tokens`` and ``decoded`` of every whole text.
 
-    The vocabulary has a fixed size; the driver reads the file once and broadcasts it.
+    The vocabulary has a fixed size; the driver reads the file once and broadcasts it. The cache sizes are
+    a worker's memory against its time, about 300 bytes an entry; they change no result.
     """
     model = docs.sparkSession.sparkContext.broadcast(read_model(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _encoders:  # a worker process keeps its encoder and word cache across tasks
-            _encoders[path] = WordBPE(model.value)
-        bpe = _encoders[path]
+        key = path, cache_chunks, cache_words
+        if key not in _encoders:  # a worker process keeps its encoder and word cache across tasks
+            _encoders[key] = WordBPE(model.value, cache_chunks, cache_words)
+        bpe = _encoders[key]
         for batch in batches:
             doc_ids, texts = batch.column(0), batch.column(1)
             for at in range(0, len(texts), 256):
