@@ -31,6 +31,18 @@ LONG_WORD = 256
 CACHE_CHUNKS, CACHE_WORDS = 400_000, 250_000
 NO_RANK = 1 << 60
 
+# Code points, in hexadecimal, that the library's Unicode tables class, order or lower-case in another way
+# than those of Python 3.13 and of the regex module (letters and marks of later versions). Texts with one go to the library's own steps.
+OTHER_TABLES = """
+558 58b-58c 7fd 88f 898-89f 8ca-8d3 9fe c3c c5c cdc d3b-d3c eba 1715 1abf-1ace 1c89 1df6-1dfa 208f 209d-209f a7cb-a7cc a7ce-a7cf a7d2 a7d4
+a7da a7dc-a7dd a7e2 a7f1 a82c ab6c-ab6d 107bb-107bf 10940-10959 10d24-10d27 10d50-10d65 10eab-10eac 10ec5-10ec7 10ed9-10eee 10efd-10eff
+10f46-10f50 10f82-10f85 11070 1133b 1145e 11839-1183a 11930 1193d-1193e 11943 119e0 11a34 11a47 11a99 11b0a 11d42 11d44-11d45 11d97
+11db0-11ddb 11de0-11de9 11df1 11f41-11f42 1246f 12475-1247f 12550-12686 16ea0-16eb8 16ebb-16ed3 16ff0-16ff6 187f8-187ff 18cd6-18cda
+18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e08f 1e130-1e136
+1e2ae 1e2ec-1e2ef 1e4ec-1e4ef 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead
+323b0-33479 3d000-3fc3f
+"""
+
 
 def byte_alphabet() -> list[str]:
     """The printable character of each byte in byte-level vocabularies: itself if visible, else from U+0100 on."""
@@ -63,11 +75,26 @@ class WordBPE:
         self.rank = {pair: i for i, pair in enumerate(model["merges"])}
         self.words = regex.compile(model["pattern"])
         self.alphabet = byte_alphabet()
+        self.pattern = model["pattern"]
+        self.other = re.compile("[" + "".join("-".join(chr(int(c, 16)) for c in r.split("-")) for r in OTHER_TABLES.split()) + "]")
         self.cut = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
         self.letters = str.maketrans({chr(b): c for b, c in enumerate(self.alphabet)})
         self.cache: dict[bytes, tuple[str, str]] = {}
         self.pieces: dict[str, tuple[str, str]] = {}  # the same for single pre-tokens
 
+    def normal(self, text: str) -> str:
+        """Composed and in lower case, character by character: a final capital sigma is no special case."""
+        if not text.isascii() and self.other.search(text):
+            from tokenizers import normalizers
+
+            return normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str(text)
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+    def library_words(self, text: str) -> list[str]:
+        from tokenizers import Regex, pre_tokenizers
+
+        return [w for w, _ in pre_tokenizers.Split(Regex(self.pattern), "removed", invert=True).pre_tokenize_str(text)]
+
     def parts(self, word: str) -> list[str]:
         """The merged parts of one pre-token."""
         chars = list(word.encode().decode("latin-1").translate(self.letters))
@@ -121,7 +148,9 @@ class WordBPE:
 
     def _chunk(self, chunk: bytes) -> tuple[str, str]:
         """Ids and tokens of a run without ASCII white space, each joined by spaces."""
-        found = [self._word(w) for w in self.words.findall(chunk.decode())]
+        text = chunk.decode()
+        words = self.library_words(text) if not chunk.isascii() and self.other.search(text) else self.words.findall(text)
+        found = [self._word(w) for w in words]
         return found[0] if len(found) == 1 else (" ".join([i for i, _ in found]), " ".join([t for _, t in found]))
 
     def encode_joined(self, text: str) -> tuple[str, str]:
@@ -134,9 +163,7 @@ class WordBPE:
                 ids.append(str(self.special[piece]))
                 decoded.append(piece)
                 continue
-            # Lower-casing goes character by character: a final capital sigma is no special case.
-            plain = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
-            for chunk in plain.encode().split():
+            for chunk in self.normal(piece).encode().split():
                 hit = cache.get(chunk)
                 if hit is None:
                     if len(cache) >= self.cache_chunks:
