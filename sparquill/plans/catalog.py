@@ -11,7 +11,7 @@ from sparquill.functions import tokenize
 from sparquill.functions.porter import vocabulary_stems
 from sparquill.operators import expansion, index, ranking
 from sparquill.operators.index import Index
-from sparquill.plans import fixtures
+from sparquill.plans import fixtures, rules
 from sparquill.sources import corpus, exports
 
 _indexes: dict[tuple[str, str, bool], Index] = {}
@@ -54,8 +54,7 @@ def bm25_top50(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def batch_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     ix = built(spark, sf_dir)
-    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return ranking.best(ranking.scored(ix, expansion.plain(expansion.parsed(queries))))
+    return ranking.best(ranking.scored(ix, expansion.plain(expansion.parsed(batch(spark, sf_dir)))))
 
 
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,14 +89,19 @@ def search_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expansion.search(built(spark, sf_dir), queries, thesaurus)
 
 
+def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
 def important_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = spark.createDataFrame(fixtures.QUERY_TERMS, "query_id int, qpos int, term string")
-    return expansion.important(q, spark.createDataFrame([(t,) for t in fixtures.THESAURUS], "term string")).select("query_id", "qpos", "term")
+    """Terms of the batch of queries that the thesaurus, the vocabulary's more frequent terms, does not know."""
+    known = built(spark, sf_dir).dictionary.filter(F.col("df") >= fixtures.KNOWN_DF).select("term")
+    return expansion.important(expansion.parsed(batch(spark, sf_dir)), known).select("query_id", "qpos", "term")
 
 
 def language_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = spark.createDataFrame([(x,) for x in fixtures.LANGUAGES], "raw string")
-    return raw.select("raw", corpus.normal_language(F.col("raw")).alias("lang"))
+    raw = table(spark, sf_dir, "documents").select("doc_id", F.expr(rules.RAW_LANGUAGE).alias("raw"))
+    return raw.select("doc_id", "raw", corpus.normal_language(F.col("raw")).alias("lang"))
 
 
 def sgml_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,9 +126,14 @@ def header_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rule(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The terms of a phrase behind each document's text, found by the tokenizer over the whole."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        cases = spark.createDataFrame(list(enumerate(fixtures.PHRASES[name])), "case_id int, phrase string")
-        return cases.select("case_id", "phrase", F.array_join(F.expr(tokenize.terms("phrase")), "|").alias("terms"))
+        docs = table(spark, sf_dir, "documents").withColumn("phrase", F.expr(rules.phrase(name)))
+        whole = F.concat(F.coalesce("text", F.lit("")), F.lit(f" {rules.MARK} "), "phrase", F.lit(" y"))
+        found = docs.select("doc_id", "phrase", whole.alias("whole")).withColumn("t", F.expr(tokenize.terms("whole")))
+        behind = F.array_position(F.reverse("t"), rules.MARK)  # counted from the end; the last term is y
+        return found.select("doc_id", "phrase", F.array_join(F.slice("t", (F.size("t") - behind + 2).cast("int"), (behind - 2).cast("int")), "|").alias("terms"))
 
     return run
 
@@ -170,7 +179,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "header_score": header_score,
         "bm25f": bm25f,
     }
-    return q | {f"rule_{name}": rule(name) for name in fixtures.PHRASES}
+    return q | {f"rule_{name}": rule(name) for name in rules.RULES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,22 +1,6 @@
-"""Literal inputs of the registered queries: a query, phrases for the token rules, odd language names."""
+"""Literal inputs of the registered queries: a query and a thesaurus."""
 
 QUERY = ("with", "this", "thor")
-QUERY_TERMS = [(1, 0, "with"), (1, 1, "thing"), (1, 2, "zymurgy"), (2, 0, "this"), (2, 1, "qanat")]
 THESAURUS = ("with", "thing", "this")
-LANGUAGES = ("Rusian", "russia", "span", "spansih text", "Tigrigna", "trigrignya", "engligh", "eng", "english", "french language", "Germanlanguage", "")
-
-PHRASES = {
-    "numbers": ("x 1,000 y", "x 2000000 y", "x 1500000 y", "x 3.50 y", "x 1000000 y", "x f16 y", "x 1,2,3 y"),
-    "percent": ("x 10 percent y", "x 10% y", "x 7.5 percentage y", "x percent y", "x 1 percent 2 percent y"),
-    "money": ("x $100 y", "x $5 million y", "x 5 million dollars y", "x 20 dollars y", "x $1,234.50 y", "x dollars y"),
-    "magnitude": ("x 5 million y", "x 3 billion y", "x 1.5 trillion y", "x million y"),
-    "bn": ("x 5bn y", "x 1.25bn y", "x bn y"),
-    "between": ("x between 5 and 9 y", "x between us y", "x between 5 and y"),
-    "km": ("x 7 kilometers y", "x 7.5 km y", "x km y"),
-    "ampm": ("x 5 pm y", "x 5:05 pm y", "x 12 pm y", "x 12 am y", "x 7.30 am y", "x pm y", "x 25 pm y"),
-    "fraction": ("x 3 1/2 y", "x 1/3 y", "x 1/0 y", "x 10/4 y"),
-    "date_numeric": ("x 1.8.15 y", "x 13/2/1999 y", "x 2/13/1999 y", "x 99/99/99 y", "x 1/8/95 y"),
-    "date_text": ("x 16 january 1993 y", "x 16th january 93 y", "x june 1994 y", "x june 5 y", "x june 5, 1994 y", "x 5 june y", "x may y", "x 45 may y", "x 3rd of may y"),
-    "punct": ("x far-east y", "x a-b-c y", 'x "quoted," y', "x u.s. y", "x --- y", "x don't y"),
-    "tags": ("x <b> y", "x [text] y", "x <f p=106> y", "x <p>word y"),
-}
+#: Terms in so many documents or more are what the thesaurus of the batch query knows.
+KNOWN_DF = 3

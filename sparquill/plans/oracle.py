@@ -5,8 +5,7 @@ from __future__ import annotations
 from sparquill.functions import tokenize
 from sparquill.functions.dialect import DUCKDB
 from sparquill.operators.index import STOP_WORDS
-from sparquill.plans import fixtures
-from sparquill.sources.corpus import LANGUAGE_FIXES
+from sparquill.plans import fixtures, rules, stems
 
 
 def values(rows: list[tuple], columns: str) -> str:
@@ -24,6 +23,7 @@ def kept_words(x: str) -> str:
     return f"list_filter({tokenize.words(x, DUCKDB)}, lambda s: s NOT IN ({STOP}))"
 
 
+ALL_WORDS = tokenize.words("text", DUCKDB)
 WORDS = kept_words("text")
 HEADER_WORDS = kept_words("split_part(text, chr(10), 1)")
 
@@ -107,18 +107,24 @@ full_qt AS (SELECT query_id, variant_id, qpos, term, 1 AS weight FROM rewritten
 """
 
 
-def rule(name: str) -> str:
-    cases = [(i, p) for i, p in enumerate(fixtures.PHRASES[name])]
-    return f"SELECT case_id, phrase, array_to_string({tokenize.terms('phrase', DUCKDB)}, '|') AS terms FROM {values(cases, 'case_id, phrase')}"
-
-
-NORMALISE = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in LANGUAGE_FIXES.items())
-FIRST_WORD = "regexp_replace(string_split(lower(raw), ' ')[1], 'language.*$', '')"
-
 PAGE_TITLE = r"lower(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)))"
 PAGE_LANG = r"""nullif(regexp_replace(lower(trim(regexp_extract(html, '(?i)<html[^>]* lang="([^"]*)"', 1))), '\P{L}$', ''), '')"""
 
 
+# The literal query with all its expansions: neighbours, stems, words the thesaurus does not know alone and with double weight.
+EXPANDED = (
+    LITERAL.replace("qt AS", "qt0 AS"),
+    NEIGHBOURS.replace("FROM qt)", "FROM qt0)"),
+    stems.stems_sql("qt0"),
+    "stem_terms AS (SELECT term, stem AS candidate FROM stems WHERE stem <> term AND stem IN (SELECT term FROM dict))",
+    VARIANTS.replace("FROM qt ", "FROM qt0 ").replace("FROM qt)", "FROM qt0)").replace("JOIN qt q", "JOIN qt0 q").replace("FROM near_terms", "FROM near_terms UNION SELECT term, candidate FROM stem_terms"),
+    f"known_words AS (SELECT query_id, term FROM qt0 WHERE term NOT IN ({', '.join(repr(t) for t in fixtures.THESAURUS)}))",
+    "every_variant AS (SELECT query_id, variant_id, qpos, term FROM full_qt UNION ALL SELECT query_id, 'word:' || term, 0, term FROM known_words)",
+    "qt AS (SELECT e.query_id, e.variant_id, e.qpos, e.term, CASE WHEN k.term IS NULL THEN 1 ELSE 2 END AS weight FROM every_variant e LEFT JOIN known_words k ON k.query_id = e.query_id AND k.term = e.term)",
+    SCORES,
+)
+
+
 def all_sql() -> dict[str, str]:
     q = {
         "tokens_basic": index_sql("SELECT doc_id, pos, term FROM tok"),
@@ -142,8 +148,13 @@ def all_sql() -> dict[str, str]:
         "language_filter": index_sql(BEST.replace("FROM scores", "FROM scores JOIN docs USING (doc_id) WHERE lang IN ('en', 'es')"), LITERAL, SCORES),
         "all_terms_filter": index_sql(f"SELECT query_id, doc_id, score FROM scores JOIN (SELECT doc_id FROM post WHERE term IN ({', '.join(repr(t) for t in fixtures.QUERY)}) GROUP BY doc_id HAVING count(*) = {len(fixtures.QUERY)}) USING (doc_id)", LITERAL, SCORES),
         "language_facet": "SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL",
-        "language_normalise": f"SELECT raw, CASE {FIRST_WORD} {NORMALISE} ELSE {FIRST_WORD} END AS lang FROM {values([(x,) for x in fixtures.LANGUAGES], 'raw')}",
-        "important_words": f"SELECT q.query_id, q.qpos, q.term FROM {values(fixtures.QUERY_TERMS, 'query_id, qpos, term')} q WHERE q.term NOT IN ({', '.join(repr(t) for t in fixtures.THESAURUS)})",
+        "language_normalise": rules.LANGUAGE_SQL,
+        "important_words": index_sql(f"SELECT query_id, CAST(qpos AS INT) AS qpos, term FROM qt WHERE NOT EXISTS (SELECT 1 FROM dict WHERE dict.term = qt.term AND df >= {fixtures.KNOWN_DF})", BATCH),
+        "porter_stem": index_sql("SELECT term, stem FROM stems", stems.stems_sql("dict")),
+        "stemmed_index": f"""WITH words AS (SELECT doc_id, unnest({ALL_WORDS}) AS term FROM documents), {stems.stems_sql("words")},
+          kept AS (SELECT doc_id, stem FROM words JOIN stems USING (term) WHERE stem NOT IN ({STOP}))
+          SELECT stem AS term, count(DISTINCT doc_id) AS df, count(*) AS cf, round_even(log2((SELECT count(*) FROM documents) // count(DISTINCT doc_id)), 2) AS idf FROM kept GROUP BY stem""",
+        "search_expanded": index_sql(BEST, *EXPANDED),
         "ngram_jaccard": index_sql(f"SELECT term, next_term, round_even({jaccard('term', 'next_term')}, 4) AS similarity FROM (SELECT term, lead(term) OVER (ORDER BY term) AS next_term FROM dict WHERE length(term) > 1) WHERE next_term IS NOT NULL AND {jaccard('term', 'next_term')} >= 0.71"),
         "vocab_neighbours": index_sql("SELECT term, candidate, step FROM near_terms", "qt AS (SELECT term FROM dict)", NEIGHBOURS),
         "expand_variants": index_sql("SELECT query_id, variant_id, qpos, term, weight FROM full_qt", LITERAL, NEIGHBOURS, VARIANTS),
@@ -168,6 +179,6 @@ def all_sql() -> dict[str, str]:
         LITERAL,
         SCORES,
     )
-    return q | {f"rule_{name}": rule(name) for name in fixtures.PHRASES}
+    return q | {f"rule_{name}": rules.sql(name) for name in rules.RULES}
 
 

@@ -27,7 +27,8 @@ def tagged(chunks: DataFrame) -> DataFrame:
 
     Text lines are lower-cased and joined by spaces, with one space in front; blank lines go. Lines
     with a language or article type before the first other line of the body are not text. A chunk
-    without an id, or without a body, is no document.
+    without an id, or without a body, is no document. Documents that share an id all come; an index
+    counts one of them.
     """
     rows = chunks.select(F.regexp_replace("value", "\r", "").alias("value"))
     head, body = F.regexp_extract("value", r"(?s)^(.*?)<TEXT>", 1), F.regexp_extract("value", r"(?s)<TEXT>[^\n]*(.*)$", 1)
@@ -47,7 +48,7 @@ def tagged(chunks: DataFrame) -> DataFrame:
         clean_language(language).alias("lang"),
         text.alias("text"),
     )
-    return out.filter("doc_id <> ''").dropDuplicates(["doc_id"])
+    return out.filter("doc_id <> ''")
 
 
 def clean_language(raw: Column) -> Column:
