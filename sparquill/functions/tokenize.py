@@ -105,7 +105,9 @@ def term(t: str, d: Spark = SPARK) -> str:
     fraction = f"(coalesce({d.number(f"nullif({d.group(t, f'^(\\d+){m}')}, '')")}, 0) + CAST({top} AS DOUBLE) / nullif(CAST({bottom} AS DOUBLE), 0))"
     rounded = f"{'bround' if d.name == 'spark' else 'round_even'}({fraction}, 2)"
     date = r"^\d{1,4}[./]\d{1,2}[./](\d{4}|\d{1,2})$"
+    # Every rule needs a digit or a mark; plain words, nearly all tokens, are through with one test.
     return f"""CASE
+  WHEN NOT {like(f'[0-9{m}]')} THEN {t}
   WHEN {like(f'{m}dollars$')} AND {like(f'{m}(million|billion|trillion){m}')} THEN concat({amount(scaled, d)}, ' dollars')
   WHEN {like(f'{m}dollars$')} THEN concat({amount(_clean_number(p1, d), d)}, ' dollars')
   WHEN {like(f'{m}(million|billion|trillion)$')} THEN concat({amount(scaled, d)}, CASE WHEN {like(r'^\$')} THEN ' dollars' ELSE '' END)

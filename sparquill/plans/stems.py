@@ -1,13 +1,14 @@
 """The suffix stemmer as SQL for DuckDB, by patterns over the letters, apart from ``functions.porter``.
 
 With C for a run of consonants and V for one of vowels a stem's measure is told by patterns: over zero
-if it holds VC, one if it is (C)VC(V), over one if it holds VCVC.
+if it holds VC, one if it is (C)VC(V), over one if it holds VCVC. A y is a vowel behind a consonant.
 """
 
 from __future__ import annotations
 
 C, V = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
-OVER_0, ONE, OVER_1, VOWEL = f"^({C})?{V}{C}", f"^({C})?{V}{C}({V})?$", f"^({C})?{V}{C}{V}{C}", f"^({C})?[aeiouy]"
+START = f"^({C}{V}|[aeiou]+)"  # a leading y is a consonant
+OVER_0, ONE, OVER_1, VOWEL = f"{START}{C}", f"{START}{C}({V})?$", f"{START}{C}{V}{C}", f"^({C}[aeiouy]|[aeiou])"
 SHORT = f"^{C}[aeiouy][^aeiouwxy]$"
 
 # Suffixes and what they become, longest first where one ends in another.
@@ -42,7 +43,7 @@ def _drops(x: str) -> str:
 def stems_sql(source: str) -> str:
     """CTEs that end in ``stems(term, stem)`` for the distinct terms of ``source(term)``."""
     cut = "CASE WHEN suffix(w, 'ed') THEN left(w, length(w) - 2) WHEN suffix(w, 'ing') THEN left(w, length(w) - 3) END"
-    mended = f"CASE WHEN {_is('c', '(at|bl|iz)$')} THEN c || 'e' WHEN length(c) > 1 AND right(c, 1) = c[-2] AND {_is('c', '[^aeioulszy]$')} THEN left(c, length(c) - 1) WHEN {_is('c', ONE)} AND {_is('c', SHORT)} THEN c || 'e' ELSE c END"
+    mended = f"CASE WHEN {_is('c', '(at|bl|iz)$')} THEN c || 'e' WHEN length(c) > 1 AND right(c, 1) = c[-2] AND ({_is('c', '[^aeioulszy]$')} OR {_is('c', '((^|[aeiou])y|[^aeiouy])(yy)+$')}) THEN left(c, length(c) - 1) WHEN {_is('c', ONE)} AND {_is('c', SHORT)} THEN c || 'e' ELSE c END"
     return f"""
 s0 AS (SELECT DISTINCT term, term AS w, regexp_matches(term, '^[a-z]+$') AND length(term) > 2 AS s FROM {source}),
 s1 AS (SELECT term, s, CASE WHEN suffix(w, 'sses') OR suffix(w, 'ies') THEN left(w, length(w) - 2) WHEN suffix(w, 'ss') THEN w WHEN suffix(w, 's') THEN left(w, length(w) - 1) ELSE w END AS w FROM s0 WHERE s),
