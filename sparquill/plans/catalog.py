@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 from sparquill.functions import tokenize
 from sparquill.functions.porter import vocabulary_stems
 from sparquill.operators import expansion, index, ranking
+from sparquill.operators.bounds import Bounds
 from sparquill.operators.index import Index
+from sparquill.operators.segments import Segments
 from sparquill.plans import fixtures, rules
 from sparquill.sources import corpus, exports
+from sparquill.storage import new_path
 
 _indexes: dict[tuple[str, str, bool], Index] = {}
+_bounds: dict[tuple[str, str], Bounds] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +51,15 @@ def literal_scores(spark: SparkSession, sf_dir: str, languages: list[str] | None
     return ranking.scored(built(spark, sf_dir), expansion.plain(literal_query(spark)), languages)
 
 
+def bounded_top50(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``combined_top50``; blocks of documents that cannot reach them are not read."""
+    ix = built(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _bounds:
+        _bounds[key] = Bounds.build(ix)
+    return _bounds[key].search(expansion.plain(literal_query(spark)))
+
+
 def bm25_top50(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = literal_scores(spark, sf_dir).select("query_id", "doc_id", F.bround("bm25", 3).alias("score"))
     return ranking.best(scores).select("doc_id", "score", "rank")
@@ -57,6 +70,26 @@ def batch_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.best(ranking.scored(ix, expansion.plain(expansion.parsed(batch(spark, sf_dir)))))
 
 
+def merged_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dictionary of an index that grew: first lines of all documents, then whole documents in two segments that replace them, then the toxic ones deleted, and a merge in between."""
+    docs, labels = documents(spark, sf_dir), table(spark, sf_dir, "labels")
+    growing = Segments(spark, new_path(spark, "growing"))
+    growing.add(docs.withColumn("text", F.col("header")))
+    growing.add(docs.filter("lang IN ('en', 'de')"))
+    growing.index()
+    growing.add(docs.filter("lang IS NULL OR lang NOT IN ('en', 'de')"))
+    growing.delete(labels.filter("toxic = 1"))
+    return growing.index().dictionary
+
+
+def posting_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings written as text runs by shard and read back."""
+    ix, path = built(spark, sf_dir), new_path(spark, "runs")
+    exports.write_posting_runs(ix, path)
+    back = exports.read_posting_runs(spark, path)
+    return back.select("term", F.col("doc_id").cast("long").alias("doc_id"), "tf", F.array_join("positions", " ").alias("positions"))
+
+
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     ix = built(spark, sf_dir)
     return index.corpus_stats(ix.docs).crossJoin(ix.dictionary.agg(F.count(F.lit(1)).alias("n_terms")))
@@ -154,10 +187,13 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "autocomplete": lambda s, d: expansion.autocomplete(built(s, d).next_words, f"{fixtures.QUERY[0]} "),
         "dictionary_listing": lambda s, d: index.listing(built(s, d).dictionary),
         "postings_shards": postings_shards,
+        "posting_lines": posting_lines,
+        "merged_segments": merged_segments,
         "bm25_top50": bm25_top50,
         "cosine": lambda s, d: literal_scores(s, d).select("doc_id", F.bround("cosine", 4).alias("cosine")),
         "proximity": lambda s, d: literal_scores(s, d).select("doc_id", F.bround("proximity", 4).alias("proximity")),
         "combined_top50": lambda s, d: ranking.best(literal_scores(s, d)),
+        "bounded_top50": bounded_top50,
         "equal_scores": lambda s, d: ranking.by_score(ranking.best(literal_scores(s, d))).withColumn("docs", F.array_join("docs", " ")),
         "batch_queries": batch_queries,
         "trec_run": lambda s, d: exports.run_lines(ranking.best(literal_scores(s, d))),

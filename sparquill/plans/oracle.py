@@ -138,10 +138,13 @@ def all_sql() -> dict[str, str]:
         "bigram_counts": index_sql("SELECT term, next_term, count(*) AS cnt FROM (SELECT term, lead(term) OVER (PARTITION BY doc_id ORDER BY pos) AS next_term FROM tok) WHERE next_term IS NOT NULL GROUP BY ALL"),
         "dictionary_listing": index_sql("SELECT CASE WHEN regexp_matches(term, '^[a-z]') THEN term[1] ELSE 'Numbers and Symbols' END AS heading, term, term || ' : ' || cf AS entry FROM dict"),
         "postings_shards": index_sql("SELECT CASE WHEN regexp_matches(term, '^[a-z]') THEN term[1] ELSE '#' END AS shard, count(*) AS n_postings, count(DISTINCT term) AS n_terms FROM post GROUP BY 1"),
+        "posting_lines": index_sql("SELECT term, doc_id, tf, array_to_string(positions, ' ') AS positions FROM post"),
+        "merged_segments": index_sql("SELECT term, df, cf, idf, row_number() OVER (ORDER BY term) - 1 AS place FROM dict").replace("FROM documents)", "FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))"),
         "bm25_top50": index_sql("SELECT doc_id, score, rank FROM (SELECT doc_id, round_even(bm25, 3) AS score, row_number() OVER (ORDER BY round_even(bm25, 3) DESC, doc_id) AS rank FROM scores) WHERE rank <= 50", LITERAL, SCORES),
         "cosine": index_sql("SELECT doc_id, round_even(cosine, 4) AS cosine FROM scores", LITERAL, SCORES),
         "proximity": index_sql("SELECT doc_id, round_even(proximity, 4) AS proximity FROM scores", LITERAL, SCORES),
         "combined_top50": index_sql(BEST, LITERAL, SCORES),
+        "bounded_top50": index_sql(BEST, LITERAL, SCORES),
         "equal_scores": index_sql(f"SELECT query_id, score, string_agg(doc_id, ' ' ORDER BY doc_id) AS docs FROM ({BEST}) GROUP BY query_id, score", LITERAL, SCORES),
         "batch_queries": index_sql(BEST, BATCH, SCORES),
         "trec_run": index_sql(f"SELECT query_id || ' 0 ' || doc_id || ' ' || score || ' 1 3' AS value FROM ({BEST})", LITERAL, SCORES),

@@ -210,3 +210,27 @@ def test_old_posting_folder(spark, large, tmp_path):
     own = {str(x) for x in ix.postings.select("term", F.col("doc_id").cast("string").alias("doc_id"), "tf", "positions").collect()}
     assert {str(x) for x in found.filter("term <> '5 m'").collect()} == own
     assert [(x.doc_id, x.tf, x.positions) for x in found.filter("term = '5 m'").collect()] == [("1", 2, [7, 9])]
+
+
+def test_bounded_search_gives_the_same_rows_from_fewer_postings(spark, tmp_path):
+    from sparquill.operators.bounds import Bounds
+
+    r = random.Random(9)
+    rare = [f"rare{chr(97 + i)}" for i in range(6)]
+    # Documents on one subject have neighbouring ids; everything else is noise.
+    rows = [(i, f"{t} {' '.join(r.choices(rare, k=6)) if 300 <= i < 360 else ''}", "en", "") for i, t in enumerate(texts(1200, 10))]
+    ix = Index.build(frame(spark, rows), str(tmp_path / "ix"))
+    bounds = Bounds.build(ix, str(tmp_path / "bounds"), block_docs=32)
+    for text, k in (("rarea rareb walking", 10), ("rarec", 5), ("walking waax", 3), ("rarea missing", 2000), ("missing", 5)):
+        q = expansion.plain(expansion.parsed(spark.createDataFrame([(1, text), (2, "rared")], "query_id int, text string")))
+        assert sorted(bounds.search(q, k).collect()) == sorted(ranking.best(ranking.scored(ix, q), k).collect())
+    # No document exceeds the bound of its block.
+    q = expansion.plain(expansion.parsed(spark.createDataFrame([(1, "rarea rareb walking the waax")], "query_id int, text string")))
+    places = {d: i for i, d in enumerate(sorted(x.doc_id for x in ix.docs.filter("n_terms > 0").collect()))}
+    bound = {x.block: x.bound for x in bounds.of_blocks(q).collect()}
+    assert all(x.score <= bound[places[x.doc_id] // 32] for x in ranking.scored(ix, q).collect())
+    q = expansion.plain(expansion.parsed(spark.createDataFrame([(1, "rarea rareb walking")], "query_id int, text string")))
+    terms = {"rarea", "rareb", "walking"}
+    left = ranking.of_terms(bounds.left_to_score(q, 10).postings, terms)
+    assert left.count() < ranking.of_terms(ix.postings, terms).count() / 3
+    assert "PushedFilters" in left._jdf.queryExecution().toString() and "LessThanOrEqual(doc_id" in left._jdf.queryExecution().toString()
