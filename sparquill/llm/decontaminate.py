@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 
 from sparquill.llm import hashing
 from sparquill.llm.columns import documents
-from sparquill.storage import written
+from sparquill.operators.index import vocabulary_ranks
+from sparquill.storage import passing, written
 
 SHINGLE, PERCENT, PROBES = 5, 80, 16
 BLOCK_ITEMS = 20_000
@@ -136,10 +137,14 @@ def contained(docs: DataFrame, items: DataFrame, n: int = SHINGLE, percent: int
     docs = documents(docs)
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     blocks = max(1, -(-items.count() // block_items))
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     if blocks == 1:
         return _block(docs, items, n, percent, probes)
-    return reduce(DataFrame.unionAll, [written(_block(docs, items.filter(block == i), n, percent, probes), "contained") for i in range(blocks)])
+    # Items are numbered in the order of their hash, so each block has ``block_items`` at most, repeated rows included.
+    with passing(docs.sparkSession) as keep:
+        numbered = written(vocabulary_ranks(items.withColumn("term", F.xxhash64("item_id", "text"))), "items")
+        block = F.floor(F.col("place") / block_items)
+        found = [keep(written(_block(docs, numbered.filter(block == i), n, percent, probes), "contained")) for i in range(blocks)]
+    return reduce(DataFrame.unionAll, found)
 
 
 def oracle(n: int = SHINGLE, percent: int = PERCENT) -> str:

@@ -257,6 +257,21 @@ def linked_lines(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT)
         return keep(written(both.mapInArrow(releasing(run), "a long, a2 long, b long, b2 long"), "line-links"))
 
 
+def line_components(links: DataFrame, lines: DataFrame) -> DataFrame:
+    """``id, id2, component`` of all linked ``lines(id, id2)``.
+
+    A line's node is the first half of its hash. Lines that share it, with different second halves, take a
+    number made of both, so that they are not taken for one line.
+    """
+    shared = lines.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id")
+    if shared.isEmpty():
+        return lines.select("id", "id2").join(components(links).withColumnRenamed("node", "id"), "id")
+    marked = lines.select("id", "id2").join(shared.withColumn("both", F.lit(True)), "id", "left")
+    nodes = written(marked.select("id", "id2", F.when(F.col("both"), F.xxhash64("id", "id2")).otherwise(F.col("id")).alias("node")), "line-nodes")
+    ends = links.join(nodes.toDF("a", "a2", "x"), ["a", "a2"]).join(nodes.toDF("b", "b2", "y"), ["b", "b2"])
+    return nodes.join(components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))), "node").select("id", "id2", "component")
+
+
 def decisions(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT) -> DataFrame:
     """``row, doc_id, n_lines, n_links, dropped`` for each row of ``keyed`` documents that has a line; ``dropped`` are line numbers from 0.
 
@@ -266,7 +281,8 @@ def decisions(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT) ->
     with passing(docs.sparkSession) as keep:
         links = linked_lines(docs, edits, per_edit)
         degree = links.select(F.col("a").alias("id"), F.col("a2").alias("id2")).unionAll(links.select("b", "b2")).groupBy(*line).agg(F.count(F.lit(1)).alias("links"))
-        linked = degree.join(components(links).withColumnRenamed("node", "id"), "id")
+        degree = written(degree, "linked-lines")
+        linked = degree.join(line_components(links, degree), line)
         every = written(occurrences(docs).distinct(), "line-occurrences")
         place = F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("d"), "row", "line")
         by_line = every.groupBy(*line).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))

@@ -240,9 +240,9 @@ def near_duplicates(
         every = written(signed(docs, n, permutations, band), "signed")
         sets_of = keep(written(every.drop("keys"), "fingerprints"))
         usable = every.filter("doc_id IS NOT NULL AND n_shingles > 0")
-        classes = written(usable.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-        reps = usable.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "f1", "f2", "n_shingles"], "left_semi").dropDuplicates(["doc_id", "f1", "f2"])
-        entries = reps.select("doc_id", F.explode("keys").alias("key"))
+        classes = written(usable.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("held_by")), "classes")
+        reps = usable.join(classes.select(F.col("rep").alias("doc_id"), "f1", "f2", "n_shingles"), ["doc_id", "f1", "f2", "n_shingles"], "left_semi").dropDuplicates(["doc_id", "f1", "f2"])
+        entries = written(reps.select("doc_id", F.explode("keys").alias("key")), "entries")
         # Large buckets are broadcast here and below: their rows stay where they are.
         buckets = written(entries.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n")).filter("least < most"), "buckets")
         n_entries = classes.count() * (2 * permutations // band)
@@ -265,9 +265,11 @@ def near_duplicates(
         more = block_links(apart, sets, percent)
         parts = components(links.unionAll(more))
 
-        of_rep = classes.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("component"))
+        of_rep = classes.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("f1", "f2", "n_shingles", "held_by", F.coalesce("component", "rep").alias("component"))
         of_rep = keep(written(of_rep, "class-components"))
-    out = sets_of.join(of_rep, ["f1", "f2", "n_shingles"], "left")
+    # A text that many documents hold is a frequent key; texts without words have none and are not joined.
+    worded = joined_by_frequency(sets_of.filter("f1 IS NOT NULL"), of_rep, ["f1", "f2", "n_shingles"], "held_by", of_rep.agg(F.sum("held_by")).first()[0] or 0)
+    out = worded.drop("held_by").unionByName(sets_of.filter("f1 IS NULL").withColumn("component", F.lit(None).cast("long")))
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

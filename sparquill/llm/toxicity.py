@@ -18,8 +18,8 @@ of least id hash.
 
 Defined results: a null label is the negative class; a null or empty text has no features and the
 probability of the intercept; without labels, or with one class only, the probability is that
-class's share (0 without labels); of repeated labels for an id each counts; a null ``doc_id`` is
-scored and not learned from; whole texts are read; extra columns are ignored.
+class's share (0 without labels); of repeated labels for an id each counts, of repeated documents of
+a labelled id the least text is learned from; a null ``doc_id`` is scored and not learned from; whole texts are read; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -202,7 +202,10 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_labe
     """A chain over ``categories`` (name: SQL condition on a row of ``labels``), fitted on at most ``max_labelled`` texts."""
     marked = labels.select(F.col("doc_id").cast("long").alias("label_id"), *(F.coalesce(F.expr(c).cast("int"), F.lit(0)).alias(f"y{i}") for i, c in enumerate(categories.values())))
     sample = marked.filter("label_id IS NOT NULL").orderBy(F.xxhash64("label_id"), "label_id").limit(max_labelled)
-    joined = documents(docs).join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"))
+    # One text an id, so that no more texts than labels are gathered, however often an id is repeated.
+    ids = sample.select("label_id").distinct()
+    one = documents(docs).join(F.broadcast(ids), F.col("doc_id") == F.col("label_id"), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    joined = one.join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -240,3 +240,49 @@ def test_shared_passages_lose_their_repeated_lines(spark):
     assert found == expected
     again = line_dedup.line_dedup(corpus_pipeline.by_lines(spark, df, ""))
     assert again.agg(F.sum("n_dropped")).first()[0] == 0
+
+
+def test_lines_that_share_half_a_hash_stay_apart(spark):
+    from sparquill.llm.line_dedup import line_components
+
+    for second in ((1, 2), (1, 3)):  # with and without a shared first half
+        ids = [(second[0], 1), (second[1] if second[1] != 2 else 1, 2), (5, 0), (6, 0)]
+        lines = spark.createDataFrame(ids, "id long, id2 long")
+        links = spark.createDataFrame([(*ids[0], *ids[2]), (*ids[1], *ids[3])], "a long, a2 long, b long, b2 long")
+        got = {(r.id, r.id2): r.component for r in line_components(links, lines).collect()}
+        assert set(got) == set(ids) and got[ids[0]] == got[ids[2]] != got[ids[1]] == got[ids[3]]
+
+
+def test_items_are_dealt_by_number(spark):
+    from sparquill.llm import decontaminate
+
+    docs = spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (2, "nothing of it")], "doc_id long, text string")
+    rows = [(1, "three four five six seven")] * 6 + [(i, f"item number {i} is not there at all") for i in range(2, 9)]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    seen = []
+    block = decontaminate._block
+
+    def counted(docs, items, *more):
+        seen.append(items.count())
+        return block(docs, items, *more)
+
+    decontaminate._block = counted
+    try:
+        found = decontaminate.contained(docs, items, block_items=4).collect()
+    finally:
+        decontaminate._block = block
+    assert sum(seen) == len(rows) and max(seen) == 4  # equal rows do not fall into one block
+    assert {(r.doc_id, r.item_id) for r in found} == {(1, 1)}
+
+
+def test_repeated_documents_of_a_label_are_one_text(spark):
+    from pyspark.sql import functions as F
+
+    from sparquill.llm import toxicity
+
+    docs = [(i, "bad awful word" if i % 2 else "fine good text") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    more = frame.unionByName(frame.withColumn("text", F.concat("text", F.lit(" zz"))))
+    plain, repeated = (toxicity.fit(d, labels, {"toxic": "toxic = 1"}) for d in (frame, more))
+    assert [w.tolist() for w in plain["models"]] == [w.tolist() for w in repeated["models"]]
