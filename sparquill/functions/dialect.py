@@ -19,6 +19,10 @@ class Spark:
         """Group ``k`` of the first match, empty without one."""
         return f"regexp_extract({x}, {self.text(pattern)}, {k})"
 
+    def every(self, x: str, pattern: str) -> str:
+        """Array of the first groups of all matches."""
+        return f"regexp_extract_all({x}, {self.text(pattern)}, 1)"
+
     def like(self, x: str, pattern: str) -> str:
         return f"({x} RLIKE {self.text(pattern)})"
 

@@ -48,8 +48,17 @@ PHRASES = [
 ]
 
 
+#: What is taken from a token's ends, and what a plain word may hold inside; neither holds the white space between tokens.
+EDGES, INSIDE = r"[^\p{L}\p{Nd}%#$ \n\r\t]", r"[^\p{Nd}\p{P}\p{S} \n\r\t]"
+#: A plain word with the edges around it, from one white space to the next. Edges are not given back, so a token is tried once.
+WORD = rf"(?<![^ \n\r\t]){EDGES}*+(\p{{L}}(?:{INSIDE}*\p{{L}})?){EDGES}*+(?![^ \n\r\t])"
+
+
 def normalised(x: str, d: Spark = SPARK) -> str:
     flat = d.replaced(f"concat(' ', lower(coalesce({x}, '')))", r"[\n\r\t]+", " ")
+    if d is SPARK:  # over the whole text at once, with looks at what stands around
+        bare = d.replaced(d.replaced(flat, TAG, ""), rf"(?<![^ ]){EDGES}++|{EDGES}++(?![^ ])", "")
+        return d.replaced(f"concat(' ', trim({bare}), ' ')", r"(?<=[^ ]) +(?=[^ ])", "  ")
     tokens = d.mapped(d.split(d.replaced(flat, TAG, ""), " "), "t", d.replaced("t", EDGE, ""))
     return f"concat(' ', {d.joined(d.kept(tokens, 'u', chr(117) + " <> ''"), '  ')}, ' ')"
 
@@ -129,19 +138,30 @@ def term(t: str, d: Spark = SPARK) -> str:
 def parts(t: str, d: Spark = SPARK) -> str:
     """A term, or the compound and its two parts where letters stand on both sides of a single mark of punctuation."""
     pair = r"^([^\p{P}]*\p{L}[^\p{P}]*)\p{P}+([^\p{P}]*\p{L}[^\p{P}]*)$"
-    return f"CASE WHEN {d.like(t, pair)} THEN {d.array(t, d.group(t, pair, 1), d.group(t, pair, 2))} ELSE {d.array(t)} END"
+    # Without punctuation the pair would be sought in vain, at the cost of its backtracking.
+    plain = f"WHEN NOT {d.like(t, r'\p{P}')} THEN {d.array(t)} " if d is SPARK else ""
+    return f"CASE {plain}WHEN {d.like(t, pair)} THEN {d.array(t, d.group(t, pair, 1), d.group(t, pair, 2))} ELSE {d.array(t)} END"
 
 
 def terms(x: str, d: Spark = SPARK) -> str:
     """Array of the clean terms of a text, in order."""
-    tokens = d.kept(d.split(phrased(normalised(x, d), d), " "), "s", "s <> ''")
-    finals = d.mapped(tokens, "v", term("v", d))
-    split = d.flat(d.mapped(finals, "w", parts("w", d)))
-    return d.kept(split, "z", d.like("z", r"[\p{L}\p{Nd}]"))
+
+    def made(text: str, ruled: bool) -> str:
+        tokens = d.kept(d.split(text, " "), "s", "s <> ''")
+        finals = d.mapped(tokens, "v", term("v", d)) if ruled else tokens
+        split = d.flat(d.mapped(finals, "w", parts("w", d)))
+        return d.kept(split, "z", d.like("z", r"[\p{L}\p{Nd}]"))
+
+    plain = normalised(x, d)
+    ruled = made(phrased(plain, d), True)
+    # All rules for phrases and tokens need a digit or a mark; most texts have none.
+    return f"CASE WHEN {d.like(f'coalesce({x}, {chr(39) * 2})', f'[0-9{MARK}]')} THEN {ruled} ELSE {made(plain, False)} END" if d is SPARK else ruled
 
 
 def words(x: str, d: Spark = SPARK) -> str:
     """Array of the plain words of a text: with a letter, without digit or inner punctuation."""
+    if d is SPARK:
+        return d.every(f"lower(coalesce({x}, ''))", WORD)
     flat = d.replaced(f"concat(' ', lower(coalesce({x}, '')))", r"[\n\r\t]+", " ")
     tokens = d.mapped(d.split(flat, " "), "t", d.replaced("t", EDGE, ""))
     return d.kept(tokens, "u", f"({d.like('u', r'\p{L}')} AND NOT {d.like('u', r'[\p{Nd}\p{P}\p{S}]')})")

@@ -70,3 +70,19 @@ def test_stop_words_go_before_positions(spark):
 )
 def test_stems(word, expected):
     assert stem(word) == expected
+
+
+def test_whole_text_patterns_are_those_of_single_tokens(spark):
+    """The patterns over a whole text give what each token by itself gives (any other dialect object takes that way)."""
+    import random
+
+    from sparquill.functions.dialect import Spark
+
+    r = random.Random(11)
+    parts = ["a", "B", "é", "e\u0301", "\u0301", "1", "$", "%", "#", "-", ".", "'", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\xa0", "漢", "😀", "<b", ">", "[text]", "between", "5", "and", "june", "٣", "ǅ", "_"]
+    texts = ["".join(r.choices(parts, k=r.randrange(0, 40))) for _ in range(4000)] + [None, "", " ", "x" * 5000 + "$", "-" * 5000, "a-" * 3000]
+    df = spark.createDataFrame([(t,) for t in texts], "p string")
+    for made in (tokenize.words, tokenize.normalised, tokenize.terms):
+        rows = df.select("p", F.expr(made("p")).alias("whole"), F.expr(made("p", Spark())).alias("single")).collect()
+        for row in rows:
+            assert row.whole == row.single, (made.__name__, row.p)
