@@ -54,6 +54,11 @@ def postings(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("term", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
+def write_postings(tokens: DataFrame, path: str) -> None:
+    """The postings of tokens, ranged and sorted by term and document. Tokens are ranged first: the groups are then where they are written, and one shuffle does for both."""
+    postings(tokens.repartitionByRange("term", "doc_id")).sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(path)
+
+
 def shard(term: Column) -> Column:
     """First letter a-z, or # for all else."""
     return F.when(term.rlike("^[a-z]"), F.substring(term, 1, 1)).otherwise(F.lit("#"))
@@ -220,7 +225,7 @@ class Index:
         with passing(spark):
             # Tokenised once, for all tables.
             termed = written(tokenised(docs, mode, stop_words, stem), "terms")
-            write_sorted(postings(tokens(termed)), f"{path}/postings", "term", "doc_id")
+            write_postings(tokens(termed), f"{path}/postings")
             posts = spark.read.parquet(f"{path}/postings")
             stats = doc_stats(posts, termed)
             n_docs = termed.count()

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparquill.operators.index import STOP_WORDS, Index, dictionary, doc_norms, doc_stats, field_postings, pairs, postings, tokenised, tokens, top_next, vocabulary_ranks, write_meta, write_sorted
+from sparquill.operators.index import STOP_WORDS, Index, dictionary, doc_norms, doc_stats, field_postings, pairs, tokenised, tokens, top_next, vocabulary_ranks, write_meta, write_postings, write_sorted
 from sparquill.storage import exists, mark, names, passing, remove, written
 
 
@@ -61,7 +61,7 @@ class Segments:
         if number not in self.numbers():
             with passing(docs.sparkSession):
                 tokenised(docs, self.mode, self.stop_words, self.stem).write.mode("overwrite").parquet(f"{self.path}/terms/number={number}")
-                write_sorted(postings(tokens(self._read("terms", [number]))), f"{self.path}/postings/number={number}", "term", "doc_id")
+                write_postings(tokens(self._read("terms", [number])), f"{self.path}/postings/number={number}")
             mark(self.spark, f"{self.path}/commits/{number}")
         return number
 

@@ -186,6 +186,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "top5_next": lambda s, d: built(s, d).next_words,
         "autocomplete": lambda s, d: expansion.autocomplete(built(s, d).next_words, f"{fixtures.QUERY[0]} "),
         "dictionary_listing": lambda s, d: index.listing(built(s, d).dictionary),
+        "dictionary_display": lambda s, d: index.display(built(s, d).dictionary),
         "postings_shards": postings_shards,
         "posting_lines": posting_lines,
         "merged_segments": merged_segments,

@@ -137,6 +137,7 @@ def all_sql() -> dict[str, str]:
         "doc_norm": index_sql("SELECT doc_id, doc_norm FROM docs"),
         "bigram_counts": index_sql("SELECT term, next_term, count(*) AS cnt FROM (SELECT term, lead(term) OVER (PARTITION BY doc_id ORDER BY pos) AS next_term FROM tok) WHERE next_term IS NOT NULL GROUP BY ALL"),
         "dictionary_listing": index_sql("SELECT CASE WHEN regexp_matches(term, '^[a-z]') THEN term[1] ELSE 'Numbers and Symbols' END AS heading, term, term || ' : ' || cf AS entry FROM dict"),
+        "dictionary_display": index_sql("SELECT term || ' : ' || cf AS value FROM dict UNION ALL SELECT DISTINCT CASE WHEN regexp_matches(term, '^[a-z]') THEN term[1] ELSE 'Numbers and Symbols' END FROM dict"),
         "postings_shards": index_sql("SELECT CASE WHEN regexp_matches(term, '^[a-z]') THEN term[1] ELSE '#' END AS shard, count(*) AS n_postings, count(DISTINCT term) AS n_terms FROM post GROUP BY 1"),
         "posting_lines": index_sql("SELECT term, doc_id, tf, array_to_string(positions, ' ') AS positions FROM post"),
         "merged_segments": index_sql("SELECT term, df, cf, idf, row_number() OVER (ORDER BY term) - 1 AS place FROM dict").replace("FROM documents)", "FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))"),

@@ -88,6 +88,15 @@ def test_scores_are_those_of_unpruned_plans(spark, large, monkeypatch):
     assert near == sorted(expansion.neighbours(q, ix.dictionary, least=0.1).collect()) and near
 
 
+def test_neighbours_are_read_by_place(spark, large):
+    """The lookup of places is a range filter of the scan, which the dictionary is sorted by."""
+    ix, *_ = large
+    asked = spark.createDataFrame([("walking",), ("missing",)], "term string")
+    place = {r.term: r.place for r in ix.dictionary.collect()}["walking"]
+    plan = expansion.neighbours(asked, ix.dictionary)._jdf.queryExecution().toString()
+    assert f"GreaterThanOrEqual(place,{place - 2})" in plan and f"LessThanOrEqual(place,{place + 2})" in plan
+
+
 def test_header_scores(spark, large):
     ix, _, docs = large
     q = spark.createDataFrame([(1, "walk"), (1, "waax"), (2, "nothing")], "query_id int, term string")
