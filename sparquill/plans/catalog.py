@@ -16,6 +16,9 @@ from sparquill.operators.segments import Segments
 from sparquill.plans import fixtures, rules
 from sparquill.sources import corpus, exports
 from sparquill.storage import new_path
+from sparquill.streaming.ingest import ingest
+
+STREAM_FILES = 4
 
 _indexes: dict[tuple[str, str, bool], Index] = {}
 _bounds: dict[tuple[str, str], Bounds] = {}
@@ -82,6 +85,36 @@ def merged_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return growing.index().dictionary
 
 
+def streamed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dictionary of the searchable index that grows from a stream of the documents, a file a batch."""
+    path = new_path(spark, "streamed")
+    docs = documents(spark, sf_dir)
+    docs.repartition(STREAM_FILES, "doc_id").write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    ingest(stream, f"{path}/index", f"{path}/progress").awaitTermination()
+    return Index.open(spark, f"{path}/index").dictionary
+
+
+def trimmed_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles as the character trim leaves them, of lines made from each document's first line."""
+    docs = documents(spark, sf_dir)
+    line = F.concat(F.lit("<H3> <TI>"), F.coalesce("header", F.lit("")), F.lit("</TI></H3>"))
+    return docs.select("doc_id", corpus.over_trimmed_title(line).alias("title"))
+
+
+def stop_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens without the words that a fourth of the documents hold, a stop list that is a table."""
+    ix = built(spark, sf_dir)
+    stop = ix.dictionary.filter(F.col("df") * 4 >= ix.n_docs).select("term")
+    return index.without_stop_words(index.tokens(termed(spark, sf_dir)), stop)
+
+
+def stemmed_top50(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stems in documents and query, and the cosine in full weight."""
+    query = spark.createDataFrame([(1, " ".join(fixtures.QUERY))], "query_id int, text string")
+    return ranking.best(ranking.scored(built(spark, sf_dir, stem=True), expansion.plain(expansion.parsed(query, stem=True))))
+
+
 def posting_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings written as text runs by shard and read back."""
     ix, path = built(spark, sf_dir), new_path(spark, "runs")
@@ -190,6 +223,10 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "postings_shards": postings_shards,
         "posting_lines": posting_lines,
         "merged_segments": merged_segments,
+        "streamed_index": streamed_index,
+        "trimmed_titles": trimmed_titles,
+        "stop_word_table": stop_word_table,
+        "stemmed_top50": stemmed_top50,
         "bm25_top50": bm25_top50,
         "cosine": lambda s, d: literal_scores(s, d).select("doc_id", F.bround("cosine", 4).alias("cosine")),
         "proximity": lambda s, d: literal_scores(s, d).select("doc_id", F.bround("proximity", 4).alias("proximity")),

@@ -125,6 +125,13 @@ EXPANDED = (
 )
 
 
+# Tokens by their stems, without those whose stem is a stop word, counted again; stems of the query likewise.
+STEMMED_TOP = index_sql(BEST, LITERAL.replace("qt AS", "qt0 AS"), "qt AS (SELECT query_id, variant_id, qpos, stem AS term, weight FROM qt0 JOIN stems USING (term))", SCORES.replace("0.5 * cosine", "1.0 * cosine"))
+STEMMED_TOP = STEMMED_TOP.replace("tok AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS pos FROM words)", f"""said AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS nth FROM (SELECT doc_id, {ALL_WORDS} AS w FROM documents)),
+{stems.stems_sql(f"(SELECT term FROM said UNION SELECT unnest({list(fixtures.QUERY)}))")},
+tok AS (SELECT doc_id, stem AS term, row_number() OVER (PARTITION BY doc_id ORDER BY nth) - 1 AS pos FROM said JOIN stems USING (term) WHERE stem NOT IN ({STOP}))""")
+
+
 def all_sql() -> dict[str, str]:
     q = {
         "tokens_basic": index_sql("SELECT doc_id, pos, term FROM tok"),
@@ -140,6 +147,10 @@ def all_sql() -> dict[str, str]:
         "dictionary_display": index_sql("SELECT term || ' : ' || cf AS value FROM dict UNION ALL SELECT DISTINCT CASE WHEN regexp_matches(term, '^[a-z]') THEN term[1] ELSE 'Numbers and Symbols' END FROM dict"),
         "postings_shards": index_sql("SELECT CASE WHEN regexp_matches(term, '^[a-z]') THEN term[1] ELSE '#' END AS shard, count(*) AS n_postings, count(DISTINCT term) AS n_terms FROM post GROUP BY 1"),
         "posting_lines": index_sql("SELECT term, doc_id, tf, array_to_string(positions, ' ') AS positions FROM post"),
+        "streamed_index": index_sql("SELECT term, df, cf, idf, row_number() OVER (ORDER BY term) - 1 AS place FROM dict"),
+        "trimmed_titles": "SELECT doc_id, lower(trim(trim('<H3> <TI>' || split_part(coalesce(text, ''), chr(10), 1) || '</TI></H3>', '<H3> TI'), '</TIH3<>')) AS title FROM documents",
+        "stop_word_table": index_sql("SELECT doc_id, pos, term FROM tok WHERE term NOT IN (SELECT term FROM dict, corpus WHERE df * 4 >= n_docs)"),
+        "stemmed_top50": STEMMED_TOP,
         "merged_segments": index_sql("SELECT term, df, cf, idf, row_number() OVER (ORDER BY term) - 1 AS place FROM dict").replace("FROM documents)", "FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))"),
         "bm25_top50": index_sql("SELECT doc_id, score, rank FROM (SELECT doc_id, round_even(bm25, 3) AS score, row_number() OVER (ORDER BY round_even(bm25, 3) DESC, doc_id) AS rank FROM scores) WHERE rank <= 50", LITERAL, SCORES),
         "cosine": index_sql("SELECT doc_id, round_even(cosine, 4) AS cosine FROM scores", LITERAL, SCORES),

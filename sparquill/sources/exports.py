@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparquill.operators.index import Index, shard
+from sparquill.operators.segments import grows
 from sparquill.sources.corpus import normal_language
 
 DOC_COLUMNS = ["doc_id", "max_tf", "n_distinct", "n_terms", "lang", "doc_norm", "header"]
@@ -156,10 +157,10 @@ def read_old_dictionary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def clear(spark: SparkSession, path: str) -> None:
-    """Deletes an index folder that this engine wrote, and nothing else: it must hold the index tables."""
+    """Deletes an index folder that this engine wrote, and nothing else: it must hold the index tables, or be an index that grows."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not all(fs.exists(jvm.org.apache.hadoop.fs.Path(target, t)) for t in (*Index.TABLES, "meta")):
+    if not grows(spark, path) and not all(fs.exists(jvm.org.apache.hadoop.fs.Path(target, t)) for t in (*Index.TABLES, "meta")):
         raise ValueError(f"{path} is no index of this engine")
     fs.delete(target, True)

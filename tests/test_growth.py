@@ -31,7 +31,7 @@ def documents(n, seed, first=0):
 def leaf_rows(df):
     """Rows that the scans of a plan without shuffles gave."""
     execution = df._jdf.queryExecution()
-    df._jdf.count if False else execution.toRdd().count()
+    execution.toRdd().count()
     leaves = execution.executedPlan().collectLeaves()
     return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
 
@@ -174,6 +174,8 @@ def test_segment_that_failed_or_is_repeated(spark, tmp_path):
     assert contents(Index.open(spark, path)) == contents(Index.build(frame(spark, rows)))
     growing.add(frame(spark, documents(5, 6, first=100)), 1)
     assert Index.open(spark, path).n_docs == 15
+    exports.clear(spark, path)
+    assert not (tmp_path / "growing").exists()
 
 
 def test_streamed_batches_are_searchable(spark, tmp_path):
@@ -211,7 +213,7 @@ def test_old_posting_folder(spark, large, tmp_path):
     for s in exports.SHARDS:
         own = sorted(t for t in lines if (t[0] if "a" <= t[0] <= "z" else "#") == s)
         numbers |= {t: i for i, t in enumerate(own)}
-        (tmp_path / "old" / f"[Posting]-{s}.txt").write_text("".join(lines[t] + "\n" for t in own))
+        (tmp_path / "old" / f"postings-{s}.txt").write_text("".join(lines[t] + "\n" for t in own))
     (tmp_path / "dictionary.txt").write_text("".join(f"{len(t)} {t} 1 2 0.5 {n} next word\n" for t, n in numbers.items()))
     dic = exports.read_old_dictionary(spark, str(tmp_path / "dictionary.txt"))
     assert {(r.term, r.line_no) for r in dic.collect()} == set(numbers.items()) and dic.filter("term = '5 m'").first().next_terms == ["next", "word"]
