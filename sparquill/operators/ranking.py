@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparquill.operators.index import Index
-from sparquill.operators.lookup import gathered, one_of
+from sparquill.operators.lookup import RANGES, gathered, one_of
 
 # Parameters of the scores.
 K1, B, B_PROXIMITY = 1.2, 0.75, 0.5
@@ -33,8 +33,8 @@ def distinct_terms(query_terms: DataFrame) -> DataFrame:
 
 
 def of_terms(table: DataFrame, terms: set[str]) -> DataFrame:
-    """The rows of a table sorted by term that have one of the terms; other row groups are not read."""
-    return table.filter(one_of("term", terms))
+    """The rows of a table sorted by term that have one of the terms, without reading other row groups; of more than ``RANGES`` terms the join that follows tells, as so many tests a row cost more than it saves."""
+    return table if len(terms) > RANGES else table.filter(one_of("term", terms))
 
 
 def matches(index: Index, query_terms: DataFrame, languages: list[str] | None = None) -> DataFrame:
