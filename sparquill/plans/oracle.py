@@ -184,7 +184,7 @@ def all_sql() -> dict[str, str]:
     q["autocomplete"] = index_sql(f"SELECT rank, next_term FROM ({top}) WHERE term = '{fixtures.QUERY[0]}'", bi)
     tf = lambda w: f"len(list_filter(range(1, greatest(length(header), 1) + 1), lambda i: substring(header, i, {len(w)}) = '{w}'))"
     q["header_score"] = index_sql(
-        "SELECT 1 AS query_id, doc_id, round_even(htf / (1.0 + (length(header) / avg_len - 1.0)), 4) AS header_score FROM (SELECT doc_id, header, " + " + ".join(map(tf, fixtures.QUERY)) + " AS htf FROM docs), (SELECT avg(length(header)) AS avg_len FROM docs) WHERE htf > 0"
+        "SELECT 1 AS query_id, doc_id, CASE WHEN htf > 0 THEN round_even(htf / (1.0 + (length(header) / avg_len - 1.0)), 4) ELSE 0.0 END AS header_score FROM (SELECT doc_id, header, " + " + ".join(map(tf, fixtures.QUERY)) + " AS htf FROM docs), (SELECT avg(length(header)) AS avg_len FROM docs)"
     )
     htf = f"len(list_filter(range(1, greatest(length(header), 1) + 1), lambda i: substring(header, i, length(k.term)) = k.term))"  # noqa: F541
     q["bm25f"] = index_sql(

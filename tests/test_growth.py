@@ -111,6 +111,16 @@ def test_header_scores(spark, large):
     assert ranking.header_scores(ix, q.filter("false")).count() == 0
 
 
+def test_header_score_has_every_document(spark, tmp_path):
+    from sparquill.plans import catalog, fixtures
+
+    word = fixtures.QUERY[0]
+    rows = [(1, f"{word} other\nrest", "en"), (2, "nothing here", "en"), (3, None, None), (4, f"\n{word}", "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.header_score for r in catalog.header_score(spark, str(tmp_path)).collect()}
+    assert got.keys() == {1, 2, 3, 4} and got[1] > 0 and got[2] == got[3] == got[4] == 0
+
+
 def test_stemmed_build_shuffles_no_tokens_for_stems(spark):
     from sparquill.functions.porter import stem, stemmed
 
