@@ -121,6 +121,14 @@ def test_header_score_has_every_document(spark, tmp_path):
     assert got.keys() == {1, 2, 3, 4} and got[1] > 0 and got[2] == got[3] == got[4] == 0
 
 
+def test_occurrences_in_one_pass(spark):
+    cases = [("aaaa", "aa"), ("", "x"), ("", ""), ("abc", ""), ("a.b.c a.b", "a.b"), (r"x\Ey\E", r"\E"), ("é😀é😀", "😀é"), ("abc", "d"), ("a" * 100_000, "aaa")]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, t string, w string")
+    got = {r.i: r.n for r in df.select("i", ranking.occurrences(F.col("t"), F.col("w")).alias("n")).collect()}
+    assert got == {i: sum(t.startswith(w, k) for k in range(max(len(t), 1))) for i, (t, w) in enumerate(cases)}
+    assert "substring" not in df.select(ranking.occurrences(F.col("t"), F.col("w")))._jdf.queryExecution().toString()
+
+
 def test_stemmed_build_shuffles_no_tokens_for_stems(spark):
     from sparquill.functions.porter import stem, stemmed
 
