@@ -129,6 +129,33 @@ def test_occurrences_in_one_pass(spark):
     assert "substring" not in df.select(ranking.occurrences(F.col("t"), F.col("w")))._jdf.queryExecution().toString()
 
 
+def test_postings_are_made_in_the_row(spark):
+    rows = [(1, ["b", "a", "b", "é", "b"]), (2, []), (3, None), (4, [f"w{i % 997}" for i in range(50_000)])]
+    made = index.with_posts(spark.createDataFrame(rows, "doc_id long, terms array<string>"), "terms", "posts")
+    got = {(r.doc_id, p.term): (p.tf, p.positions) for r in made.collect() for p in r.posts or ()}
+    expected: dict = {}
+    for d, words in rows:
+        for i, w in enumerate(words or ()):
+            expected.setdefault((d, w), []).append(i)
+    assert got == {k: (len(v), v) for k, v in expected.items()}
+    assert {tuple(r) for r in index.doc_stats(made).collect()} == {(1, 5, 3, 3), (2, 0, 0, 0), (3, 0, 0, 0), (4, 50_000, 997, 51)}
+    for table in (index.doc_stats(made), made):
+        assert "Exchange" not in table._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_one_file_are_dealt_to_many_tasks(spark, tmp_path, monkeypatch):
+    docs = spark.range(400).selectExpr("id AS doc_id", "repeat('word ', 50) AS text")
+    docs.coalesce(1).write.parquet(str(tmp_path / "one"))
+    monkeypatch.setattr(index, "TASK_CHARS", 10_000)
+    dealt = index.spread(spark.read.parquet(str(tmp_path / "one")))
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= 8 and sum(sizes) == 400 and max(sizes) < 100
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    with index.sized(spark, 100 * index.TASK_ROWS):
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "100"
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
 def test_stemmed_build_shuffles_no_tokens_for_stems(spark):
     from sparquill.functions.porter import stem, stemmed
 
