@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +88,15 @@ def test_whole_text_patterns_are_those_of_single_tokens(spark):
         rows = df.select("p", F.expr(made("p")).alias("whole"), F.expr(made("p", Spark())).alias("single")).collect()
         for row in rows:
             assert row.whole == row.single, (made.__name__, row.p)
+
+
+def test_rules_see_only_what_stands_near_digits(spark):
+    """A long text with one phrase is cut into stretches that give it back; those with digits, which the rules go over, stay short."""
+    texts = ["word " * 300 + "between 5 and 7 " + "and may million " * 200, "may 5 2010 " + "x " * 50 + "3 million dollars y 4", "a b 5", "a", "5", "x 1\x012 a b c d e 7 km"]
+    cut = f"regexp_extract_all(n, r'{tokenize.NEAR}|{tokenize.PLAIN}', 0)"
+    rows = spark.createDataFrame([(t,) for t in texts], "p string").select("p", F.expr(tokenize.normalised("p")).alias("n")).select("p", "n", F.expr(cut).alias("s")).collect()
+    for r in rows:
+        assert "".join(r.s) == r.n
+        assert all(len(s.split()) <= 10 for s in r.s if re.search("[0-9\x01]", s))
+    made = spark.createDataFrame([(t,) for t in texts], "p string").select(F.expr(tokenize.terms("p")).alias("t")).collect()
+    assert made[0].t[299:302] == ["word", "5-7", "and"] and made[1].t[0] == "2010-05-05" and made[1].t[-3:] == ["3 m dollars", "y", "4"] and made[5].t[-1] == "7 km"
