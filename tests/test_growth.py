@@ -290,3 +290,27 @@ def test_bounded_search_gives_the_same_rows_from_fewer_postings(spark, tmp_path)
     left = ranking.of_terms(bounds.left_to_score(q, 10).postings, terms)
     assert left.count() < ranking.of_terms(ix.postings, terms).count() / 3
     assert "PushedFilters" in left._jdf.queryExecution().toString() and "LessThanOrEqual(doc_id" in left._jdf.queryExecution().toString()
+
+
+def test_posts_of_slices_with_nulls_and_offsets():
+    import pyarrow as pa
+
+    rows = [["x"], ["b", "a", "b", "é", "b"], None, [], ["a", "😀", "a"]]
+    got = index.posts_of_slice(pa.array(rows, pa.list_(pa.string()))[1:]).to_pylist()
+    assert [[(p["term"], p["tf"], p["positions"]) for p in r] for r in got] == [[("a", 1, [1]), ("b", 3, [0, 2, 4]), ("é", 1, [3])], [], [], [("a", 2, [0, 2]), ("😀", 1, [1])]]
+    assert index.posts_of_slice(pa.array([None, []], pa.list_(pa.string()))).to_pylist() == [[], []]
+
+
+def test_an_index_without_next_words_has_the_same_other_tables(spark, tmp_path):
+    rows = frame(spark, documents(30, 4))
+    bare, whole = Index.build(rows, str(tmp_path / "bare"), next_words=False), Index.build(rows, str(tmp_path / "whole"))
+    assert bare.next_words is None and not (tmp_path / "bare" / "next_words").exists()
+    for t in ("postings", "dictionary", "fields", "docs"):
+        assert sorted(map(str, getattr(bare, t).collect())) == sorted(map(str, getattr(whole, t).collect()))
+
+
+def test_norms_take_frequent_terms_from_documents(spark, large, monkeypatch):
+    ix, *_ = large
+    monkeypatch.setattr(index, "FREQUENT", 10)
+    expected = sorted(index.doc_norms(ix.postings, ix.dictionary, ix.docs).collect())
+    assert sorted(index.doc_norms(ix.postings, ix.dictionary, ix.docs, ix.postings.repartition("doc_id")).collect()) == expected
