@@ -314,3 +314,12 @@ def test_norms_take_frequent_terms_from_documents(spark, large, monkeypatch):
     monkeypatch.setattr(index, "FREQUENT", 10)
     expected = sorted(index.doc_norms(ix.postings, ix.dictionary, ix.docs).collect())
     assert sorted(index.doc_norms(ix.postings, ix.dictionary, ix.docs, ix.postings.repartition("doc_id")).collect()) == expected
+
+
+def test_postings_meet_their_documents_before_their_queries(spark, large):
+    """Hits of many queries are not shuffled: one exchange takes the postings to their documents, none has a query's columns before the best are ranked."""
+    ix, *_ = large
+    rows = [(i, "0", k, r.term, 1) for i in range(20) for k, r in enumerate(ix.dictionary.orderBy("term").limit(3).collect())]
+    plan = ranking.matches(ix, spark.createDataFrame(rows, "query_id int, variant_id string, qpos int, term string, weight int"))._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert any("hashpartitioning(doc_id" in e for e in exchanges) and not any("doc_id" in e and "query_id" in e for e in exchanges)
