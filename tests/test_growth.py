@@ -323,3 +323,68 @@ def test_postings_meet_their_documents_before_their_queries(spark, large):
     plan = ranking.matches(ix, spark.createDataFrame(rows, "query_id int, variant_id string, qpos int, term string, weight int"))._jdf.queryExecution().executedPlan().toString()
     exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert any("hashpartitioning(doc_id" in e for e in exchanges) and not any("doc_id" in e and "query_id" in e for e in exchanges)
+
+
+@pytest.fixture
+def plans(spark, monkeypatch):
+    """The plans of what is written, by path."""
+    kind, found = type(spark.range(1).write), {}
+    before = kind.parquet
+
+    def parquet(self, path, *args, **kw):
+        found[path] = self._df._jdf.queryExecution().executedPlan().toString()
+        return before(self, path, *args, **kw)
+
+    monkeypatch.setattr(kind, "parquet", parquet)
+    return found
+
+
+def test_bounds_are_made_where_the_postings_are_read(spark, tmp_path, plans):
+    from sparquill.operators.bounds import UNIT_BM25, UNIT_SHARE, Bounds
+
+    rows = documents(300, 12)
+    ix = Index.build(frame(spark, rows), str(tmp_path / "ix"), next_words=False)
+    bounds = Bounds.build(ix, str(tmp_path / "bounds"), block_docs=16)
+    assert "Exchange" not in plans[str(tmp_path / "bounds" / "bounds")] and "Join" not in plans[str(tmp_path / "bounds" / "bounds")]
+    places = {d: i // 16 for i, d in enumerate(sorted(x.doc_id for x in ix.docs.filter("n_terms > 0").collect()))}
+    lengths, most = {x.doc_id: x.n_terms for x in ix.docs.collect()}, {}
+    for p in ix.postings.collect():
+        n, at = lengths[p.doc_id], (p.term, places[p.doc_id])
+        made = (ranking.K1 + 1) * p.tf / (ranking.K1 * (1 - ranking.B + ranking.B * n / ix.avg_dl) + p.tf), p.tf / n
+        most[at] = tuple(map(max, most.get(at, made), made))
+    got = {(x.term, x.block): (x.bm25 / UNIT_BM25, x.share / UNIT_SHARE) for x in bounds.bounds.groupBy("term", "block").agg(F.max("bm25").alias("bm25"), F.max("share").alias("share")).collect()}
+    assert got.keys() == most.keys() and all(0 <= g - m <= 0.00101 for at in most for g, m in zip(got[at], most[at]))
+
+
+def test_bounds_of_merged_postings_and_of_named_documents(spark, tmp_path):
+    from sparquill.operators.bounds import Bounds
+
+    growing = Segments(spark, str(tmp_path / "growing"))
+    growing.add(frame(spark, documents(120, 13)))
+    named = frame(spark, documents(120, 13)).withColumn("doc_id", F.concat(F.lit("é-"), "doc_id"))
+    q = expansion.plain(expansion.parsed(spark.createDataFrame([(1, "walking waax"), (2, "missing")], "query_id int, text string")))
+    for k, ix in enumerate((growing.index(), Index.build(named, str(tmp_path / "named"), next_words=False))):
+        found = Bounds.build(ix, str(tmp_path / f"bounds-{k}"), block_docs=8).search(q, 5)
+        assert sorted(found.collect()) == sorted(ranking.best(ranking.scored(ix, q), 5).collect()) != []
+
+
+def test_postings_are_counted_as_they_are_written(spark, tmp_path, plans):
+    """One shuffle makes postings, and norms join no posting by its term, whichever terms are dealt out as frequent."""
+    ix = Index.build(frame(spark, documents(200, 14)), str(tmp_path / "ix"), next_words=False)
+    assert plans[str(tmp_path / "ix" / "postings")].count("Exchange rangepartitioning") == 1 and "Exchange hashpartitioning" not in plans[str(tmp_path / "ix" / "postings")]
+    termed = index.with_stats(index.tokenised(frame(spark, documents(200, 14)))).persist()
+    assert sorted(termed.select("doc_id", "n_terms", "n_distinct", "max_tf").collect()) == sorted(index.doc_stats(termed).collect())
+    df = {x.term: x.df for x in ix.dictionary.collect()}
+    expected = sorted(ix.postings.collect(), key=lambda p: (p.term, p.doc_id))
+    norms = sorted(index.doc_norms(ix.postings, ix.dictionary, ix.docs).collect())
+    for k, frequent in enumerate(([], sorted(df, key=df.get)[-3:], sorted(df))):
+        path = str(tmp_path / f"counted-{k}")
+        index.write_counted_postings(termed, path, frequent)
+        made = spark.read.parquet(path)
+        assert sorted(made.select("term", "doc_id", "tf", "positions").collect(), key=lambda p: (p.term, p.doc_id)) == expected
+        assert {(x.term, x.df) for x in made.collect()} == {(t, None if t in frequent else n) for t, n in df.items()}
+        assert sorted(index.counted_norms(made, ix.dictionary, ix.docs, frequent).collect()) == norms
+        for name in made.inputFiles():
+            keys = [(x.term, x.doc_id) for x in spark.read.parquet(name).coalesce(1).collect()]
+            assert keys == sorted(keys)
+    termed.unpersist()
