@@ -388,3 +388,13 @@ def test_postings_are_counted_as_they_are_written(spark, tmp_path, plans):
             keys = [(x.term, x.doc_id) for x in spark.read.parquet(name).coalesce(1).collect()]
             assert keys == sorted(keys)
     termed.unpersist()
+
+
+def test_large_tables_of_a_build_are_compressed_well(spark, tmp_path):
+    from pyarrow import parquet
+
+    from sparquill.operators.bounds import Bounds
+
+    Bounds.build(Index.build(frame(spark, documents(20, 15)), str(tmp_path / "ix"), next_words=False), str(tmp_path / "bounds"))
+    for table in ("ix/postings", "bounds/bounds"):
+        assert {parquet.ParquetFile(f).metadata.row_group(0).column(0).compression for f in (tmp_path / table).glob("*.parquet") if parquet.ParquetFile(f).num_row_groups} == {"ZSTD"}
