@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -97,13 +102,33 @@ def posting_lines(index: Index) -> DataFrame:
     return lines.select(shard(F.col("term")).alias("shard"), "term", "piece", F.array_join(F.transform("entries", lambda x: F.concat(x["e"], F.lit(","))), "").alias("line"))
 
 
-def write_posting_runs(index: Index, path: str) -> None:
+def runs_of(postings: DataFrame) -> DataFrame:
+    """``shard, value``: the lines of a run for each task that reads ``postings``, which are sorted by term within it; nothing is shuffled or joined.
+
+    A term's postings are cut after ``LINE_DOCS`` documents, and where a task or a batch of rows ends.
+    """
+    entry = F.concat(F.concat_ws(" ", F.col("doc_id").cast("string"), F.col("tf").cast("string"), F.array_join(F.transform("positions", lambda p: p.cast("string")), " ")), F.lit(","))
+    most = LINE_DOCS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, most):
+                rows = batch.slice(i, most)
+                term, entries = rows["term"], rows["entry"]
+                starts = np.flatnonzero(np.concatenate([[True], pc.not_equal(term[1:], term[:-1]).to_numpy(zero_copy_only=False)]))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(term)), pa.int32()), entries.cast(pa.string()))
+                named = term.take(pa.array(starts)).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([named, pc.binary_join_element_wise(named, pc.binary_join(lists, ""), "\n")], names=["term", "value"])
+
+    return postings.select("term", entry.alias("entry")).mapInArrow(run, "term string, value string").select(shard(F.col("term")).alias("shard"), "value")
+
+
+def write_posting_runs(index: Index, path: str, compression: str = "none") -> None:
     """Sorted runs as text, by shard: a line with a term, then one with its postings; a term's further pieces repeat both.
 
     Runs are what a merge of runs expects: lines of one term in several runs are put one after the other.
     """
-    rows = posting_lines(index).repartitionByRange("shard", "term", "piece").sortWithinPartitions("shard", "term", "piece")
-    rows.select("shard", F.concat_ws("\n", "term", "line").alias("value")).write.mode("overwrite").partitionBy("shard").text(path)
+    runs_of(index.postings).write.mode("overwrite").partitionBy("shard").text(path, compression=compression)
     spark = index.postings.sparkSession
     for name in SHARDS:
         folder = _shard_folder(spark, path, name)
@@ -128,11 +153,23 @@ def parsed_postings(lines: DataFrame) -> DataFrame:
 
 
 def read_posting_runs(spark: SparkSession, path: str) -> DataFrame:
-    """Postings of runs as ``write_posting_runs`` makes them: every other line is a term."""
-    rows = numbered_lines(spark, path).withColumn("entry", F.floor(F.col("line_no") / 2))
+    """Postings of runs as ``write_posting_runs`` makes them: every other line is a term.
+
+    A posting line ends with a comma, so a comma and a line end part the pairs of lines, each of which is read as one row.
+    No term of ``words`` or ``clean`` ends with a comma; runs where one does are read by the numbers of their lines.
+    """
+    pairs = spark.read.option("recursiveFileLookup", "true").option("lineSep", ",\n").text(path)
+    odd = pairs.filter(~F.col("value").rlike(r"\A[^\n]*\n[^\n]*\z"))
+    if not odd.isEmpty():
+        return parsed_postings(paired_lines(numbered_lines(spark, path)))
+    return parsed_postings(pairs.select(F.substring_index("value", "\n", 1).alias("term"), F.substring_index("value", "\n", -1).alias("line")))
+
+
+def paired_lines(numbered: DataFrame) -> DataFrame:
+    """``term, line`` of the rows of ``numbered_lines``, by file: a term and the line behind it."""
+    rows = numbered.withColumn("entry", F.floor(F.col("line_no") / 2))
     first = F.col("line_no") % 2 == 0
-    paired = rows.groupBy("file", "entry").agg(F.max(F.when(first, F.col("value"))).alias("term"), F.max(F.when(~first, F.col("value"))).alias("line"))
-    return parsed_postings(paired)
+    return rows.groupBy("file", "entry").agg(F.max(F.when(first, F.col("value"))).alias("term"), F.max(F.when(~first, F.col("value"))).alias("line"))
 
 
 def read_posting_files(spark: SparkSession, path: str, dictionary: DataFrame) -> DataFrame:
